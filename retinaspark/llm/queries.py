@@ -33,9 +33,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    found = simhash.cluster(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    found = mixing.plan(common.table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", F.try_element_at("positions", F.lit(1)).alias("position")).orderBy("position", "doc_id")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op3_simhash": op3_simhash,
     "op6_toxicity": op6_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
