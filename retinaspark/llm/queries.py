@@ -40,6 +40,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -51,6 +57,7 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op3_simhash": op3_simhash,
     "op6_toxicity": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op10_mixing": op10_mixing,
 }
 
