@@ -46,6 +46,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    out = common.fresh_dir(spark, "warc")
+    warc.archive(common.table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -58,7 +66,23 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for those that it can express.
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS data FROM pages
+        ), q AS (
+            SELECT page_id, octet_length(data) AS payload_bytes, sha256(data) AS payload_digest FROM p
+        ), r AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM q
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to
+        FROM r
+    """,
+}
