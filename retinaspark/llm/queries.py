@@ -24,6 +24,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, out).withColumnRenamed("key", "doc_id")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -64,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op3_simhash": op3_simhash,
+    "op4_topk": op4_topk,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
@@ -72,6 +80,21 @@ QUERIES = {
 
 #: DuckDB SQL for those that it can express.
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS data FROM pages
