@@ -40,6 +40,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import surrogates
+
+    docs = common.only(common.table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return surrogates.replace(docs)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -70,6 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_surrogates": op2_surrogates,
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op6_toxicity": op6_toxicity,
