@@ -54,6 +54,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    found = substrings.dedup(common.table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op6_toxicity": op6_toxicity,
+    "op7_substrings": op7_substrings,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
