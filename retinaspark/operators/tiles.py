@@ -1,0 +1,25 @@
+"""Sequential work on pixel neighbourhoods, in parallel over tiles with a halo."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..stream import EventStream
+
+
+def by_tile(s: EventStream, work: Callable[[pd.DataFrame], pd.DataFrame], schema, halo: int, size: int = 64) -> DataFrame:
+    """Run ``work`` on each tile's events in order, those of a halo around it included.
+
+    ``work`` gets x, y, t, p, seq, the keys, and ``own`` (false in the halo); it
+    must return rows of own events only.  A tile's events are one group.
+    """
+    w, h = s.sensor_size
+    nx, ny = -(-max(1, w) // size), -(-max(1, h) // size)
+    reach = lambda c, n: F.sequence(F.greatest(F.expr(f"({c} - {halo}) div {size}"), F.lit(0)), F.least(F.expr(f"({c} + {halo}) div {size}"), F.lit(n - 1)))
+    spread = s.df.select(*s.columns, F.explode(reach("x", nx)).alias("tx")).select("*", F.explode(reach("y", ny)).alias("ty"))
+    spread = spread.withColumn("own", (F.expr(f"x div {size}") == F.col("tx")) & (F.expr(f"y div {size}") == F.col("ty")))
+    return spread.groupBy(*s.keys, "tx", "ty").applyInPandas(lambda pdf: work(pdf.sort_values("seq")), schema)
