@@ -31,6 +31,7 @@ from . import common, hashing
 
 BITS = 22
 SIZES = (4, 5, 6)
+_CHUNK = 1 << 18
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -80,13 +81,12 @@ def fit(texts: pa.Array, labels: np.ndarray, *, min_texts: int = 4, most: int =
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(size, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    parts = []
-    for lo, hi in common.chunks(texts):
+    pos, neg = np.zeros(size), np.zeros(size)
+    for lo, hi in common.chunks(texts, _CHUNK):
         r, b = features(*_prepared(texts.slice(lo, hi - lo)))
-        parts.append((r + lo, b))
-    row, bucket = (np.concatenate(x) for x in zip(*parts))
-    pos = np.bincount(bucket[y[row] == 1], minlength=size).astype(np.float64)
-    neg = np.bincount(bucket[y[row] == 0], minlength=size).astype(np.float64)
+        toxic = y[r + lo] == 1
+        pos += np.bincount(b[toxic], minlength=size)
+        neg += np.bincount(b[~toxic], minlength=size)
     n1, n0 = y.sum(), len(y) - y.sum()
     ratio = np.log((pos + 1) / (n1 + 2)) - np.log((neg + 1) / (n0 + 2))
     # how surprising the split of a bucket's texts is
@@ -95,10 +95,12 @@ def fit(texts: pa.Array, labels: np.ndarray, *, min_texts: int = 4, most: int =
     chosen = np.flatnonzero(told > 6.6)
     if len(chosen) > most:
         chosen = np.sort(chosen[np.argsort(-told[chosen], kind="stable")[:most]])
-    slot = np.full(size, -1, np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    ok = slot[bucket] >= 0
-    row, col = row[ok], slot[bucket[ok]]
+    slot, keep, parts = np.zeros(size, np.int32), np.zeros(size, bool), []
+    slot[chosen], keep[chosen] = np.arange(len(chosen)), True
+    for lo, hi in common.chunks(texts, _CHUNK):
+        r, b = features(*_prepared(texts.slice(lo, hi - lo)), keep)
+        parts.append(((r + lo).astype(np.int32), slot[b]))
+    row, col = (np.concatenate(x) for x in zip(*parts))
     x = ratio[chosen][col]
     # full-batch accelerated gradient descent on the logistic loss
     norm = np.bincount(row, weights=x * x, minlength=len(y)).max() + 1
@@ -121,7 +123,7 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     """Scores from 0 to 1."""
     out = np.full(len(texts), model.bias)
     keep = model.weight != 0
-    for lo, hi in common.chunks(texts, 1 << 20):
+    for lo, hi in common.chunks(texts, _CHUNK):
         row, bucket = features(*_prepared(texts.slice(lo, hi - lo)), keep)
         out[lo:hi] += np.bincount(row, weights=model.weight[bucket], minlength=hi - lo)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -132,7 +134,7 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000) -> Model:
     """Fit on at most ``max_rows`` labelled documents that aren't held out."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("double").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0.0, 1.0))
     # the limit below bounds what is broadcast
