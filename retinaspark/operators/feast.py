@@ -88,7 +88,7 @@ class FEAST:
                         th[b, k] -= model.delta_i
             return pd.DataFrame([{"w": w.ravel().tolist(), "th": th.ravel().tolist(), "missed": missed / seen if seen else float("nan")}])
 
-        row = s.df.select("x", "y", "t", "p", "seq").groupBy(F.lit(0)).applyInPandas(learn, "w array<double>, th array<double>, missed double").first()
+        row = s.df.select("x", "y", "t", "p", "seq").groupBy(F.lit("all")).applyInPandas(learn, "w array<double>, th array<double>, missed double").first()
         if row is not None:
             self.weights = np.array(row["w"]).reshape(self.banks, self.n_features, self.patch**2)
             self.thresholds = np.array(row["th"]).reshape(self.banks, self.n_features)
@@ -99,13 +99,13 @@ class FEAST:
         """seq and keys of each event with its ``feature``: bank * n_features + unit, -1 without a whole patch."""
         if self.weights is None:
             raise ValueError("fit the model first")
-        width, height, scale, model = s.meta.width, s.meta.height, s.meta.scale_ms, self
+        width, height, scale, model, keys = s.meta.width, s.meta.height, s.meta.scale_ms, self, s.keys
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
             out = np.full(len(pdf), -1)
             for i, b, v in model._patches(pdf, width, height, scale):
                 out[i] = b * model.n_features + int((model.weights[b] @ v).argmax())
-            return pdf.assign(feature=out).loc[pdf["own"].to_numpy(bool), [*s.keys, "seq", "feature"]]
+            return pdf.assign(feature=out).loc[pdf["own"].to_numpy(bool), [*keys, "seq", "feature"]]
 
         schema = s.df.select(*s.keys, "seq", F.lit(0).cast("int").alias("feature")).schema
         return by_tile(s, work, schema, self.patch // 2)

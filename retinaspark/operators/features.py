@@ -51,7 +51,7 @@ def harris_corners(s: EventStream, threshold: float = 0.0) -> EventStream:
     neighbours have fired; det / trace**2 - 0.04 must be above the threshold.
     """
     w, h = s.sensor_size
-    scale, margin = s.meta.scale_ms, 5
+    scale, margin, columns = s.meta.scale_ms, 5, s.columns
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
@@ -72,6 +72,6 @@ def harris_corners(s: EventStream, threshold: float = 0.0) -> EventStream:
             a, b, c = (gx * gx).sum(), (gx * gy).sum(), (gy * gy).sum()
             tr = a + c
             keep[i] = tr > 0 and (a * c - b * b) / (tr * tr) - 0.04 > threshold
-        return pdf.loc[keep, s.columns]
+        return pdf.loc[keep, columns]
 
     return s.with_(by_tile(s, work, s.df.select(*s.columns).schema, margin))

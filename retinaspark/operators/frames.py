@@ -152,7 +152,7 @@ def connected_components(f: Frame, connectivity: int = 8) -> Frame:
 
     schema = f.df.select(*keys, "c", "y", "x", F.lit(0).cast("long").alias("value")).schema
     on = f.df.where("value <> 0")
-    grouped = on.groupBy(*keys) if keys else on.groupBy(F.lit(0))
+    grouped = on.groupBy(*keys) if keys else on.groupBy(F.lit("all"))
     return _replaced(f, grouped.applyInPandas(label, schema), kind="labels", channels=("labels",), dtype="u64")
 
 

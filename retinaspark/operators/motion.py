@@ -173,5 +173,5 @@ def contrast_maximise(s: EventStream, model: str = "translation", objective: str
         return pd.DataFrame([row])
 
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in s.df.select(*keys).schema) if keys else ""
-    grouped = s.df.groupBy(*keys) if keys else s.df.groupBy(F.lit(0))
+    grouped = s.df.groupBy(*keys) if keys else s.df.groupBy(F.lit("all"))
     return grouped.applyInPandas(run, head + "params array<double>, score double, score_at_rest double, improvement double, iterations int")

@@ -85,5 +85,5 @@ def track(f: Frame, order: str = "slice_id", connectivity: int = 8, min_area: in
         return pd.DataFrame(rows, columns=[*rest, order, "track_id", "cx", "cy", "vx", "vy", "age", "missed"])
 
     head = "".join(f"{x.name} {x.dataType.simpleString()}, " for x in found.select(*rest).schema) if rest else ""
-    grouped = found.groupBy(*rest) if rest else found.groupBy(F.lit(0))
+    grouped = found.groupBy(*rest) if rest else found.groupBy(F.lit("all"))
     return grouped.applyInPandas(run, head + f"{order} long, track_id int, cx double, cy double, vx double, vy double, age int, missed int")

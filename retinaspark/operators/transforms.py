@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.camera import Camera
@@ -132,7 +133,7 @@ def numbered(s: EventStream, name: str = "place"):
     run = 100_000
     df = s.df.withColumn("_run", F.floor(F.col("seq") / run))
     counts = df.groupBy(*s.keys, "_run").agg(F.count("*").alias("_n"))
-    before = s.over().orderBy("_run").rowsBetween(-(1 << 62), -1)
+    before = s.over().orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*s.keys, "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = F.row_number().over(s.over("_run").orderBy("seq")) - 1
     return df.withColumn("_at", within).join(starts, [*s.keys, "_run"]).withColumn(name, F.col("_at") + F.col("_start")).drop("_run", "_at", "_start")

@@ -201,4 +201,4 @@ def bias_series(rates: DataFrame, config: BiasConfig = BiasConfig()) -> DataFram
             rows.append((t, s.refractory, s.threshold, s.state))
         return pd.DataFrame(rows, columns=["t", "refractory", "threshold", "state"])
 
-    return rates.select("t", "rate").groupBy(F.lit(0)).applyInPandas(run, "t long, refractory double, threshold double, state string")
+    return rates.select("t", "rate").groupBy(F.lit("all")).applyInPandas(run, "t long, refractory double, threshold double, state string")
