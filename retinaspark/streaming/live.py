@@ -18,7 +18,7 @@ from ..stream import EventStream
 def with_clock(df: DataFrame, meta: SensorMeta, delay_ms: float) -> DataFrame:
     """Adds ``ts``, the event time, with a watermark; events later than the delay are dropped."""
     ts = F.timestamp_micros(F.round(F.col("t") * F.lit(meta.scale_ms * 1000)).cast("long")).alias("ts")
-    return df.select("*", ts).withWatermark("ts", f"{delay_ms} milliseconds")
+    return df.select("*", ts).withWatermark("ts", f"{int(delay_ms * 1000)} microseconds")
 
 
 def _window(dt_ms: float, step_ms: float | None):
