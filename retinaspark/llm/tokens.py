@@ -177,13 +177,9 @@ def read(spark: SparkSession, out_dir: str, key_type: str = "long", *, ids: bool
 
     The files are memory-mapped where they are local files, else read by range.
     """
-    from pyspark.sql.types import StructType
-
     manifest = spark.read.parquet(f"{out_dir}/manifest")
     n = max(1, manifest.count())
-    schema = StructType().add("key", key_type).add("start", "long").add("n_tokens", "long").add("ids_crc32", "long")
-    if ids:
-        schema = schema.add("ids", "array<long>")
+    schema = f"key {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
