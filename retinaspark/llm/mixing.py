@@ -97,7 +97,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float
     further copies stand ``last_position`` and between, see ``placed``.
     """
     spark = docs.sparkSession
-    made = [docs[key].alias("key"), docs[source].alias("source"), common.count_words(docs[text]).alias("size"), F.xxhash64(F.lit(seed), docs[key].cast("string"), docs[text]).alias("h")]
+    made = [docs[key].alias("key"), docs[source].alias("source"), common.count_words(docs[text]).alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[key].cast("string"), docs[text]), 1).alias("h")]
     sized = common.written(docs.select(*made), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(by_source) > MOST_SOURCES:
@@ -115,7 +115,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float
         # short rows, and so few that they may be broadcast
         small = F.broadcast(table) if len(by_source) <= 10_000 else table
         rows = rows.join(small, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-        bucket = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+        bucket = F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long")
         return rows.withColumn("slot", F.shiftleft("sid", 42).bitwiseOR(bucket))
 
     def running(rows: DataFrame, what, name: str, bases: DataFrame) -> DataFrame:
