@@ -42,10 +42,10 @@ def live_rate(df: DataFrame, meta: SensorMeta, bin_ms: float, *, delay_ms: float
 
 
 def live_sessions(df: DataFrame, meta: SensorMeta, gap_ms: float, *, delay_ms: float | None = None) -> DataFrame:
-    """Bursts: runs of events with no gap of ``gap_ms``."""
+    """Bursts: runs of events of one polarity with no gap of ``gap_ms``."""
     clocked = with_clock(df, meta, gap_ms if delay_ms is None else delay_ms)
-    out = clocked.groupBy(F.session_window("ts", f"{int(gap_ms * 1000)} microseconds").alias("w")).agg(F.count("*").alias("count"))
-    return out.select(F.unix_micros("w.start").alias("t0"), F.unix_micros("w.end").alias("t1"), "count")
+    out = clocked.groupBy(F.session_window("ts", f"{int(gap_ms * 1000)} microseconds").alias("w"), "p").agg(F.count("*").alias("count"))
+    return out.select(F.unix_micros("w.start").alias("t0"), F.unix_micros("w.end").alias("t1"), "p", "count")
 
 
 def live_refractory(df: DataFrame, dt: int, refresh: str = "kept") -> DataFrame:

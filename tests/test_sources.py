@@ -113,3 +113,26 @@ def test_bias_control(spark):
     assert states[0]["refractory"] == pytest.approx(0.1) and states[10]["refractory"] == pytest.approx(1.0) and states[-1]["threshold"] > 0.5
     assert live.bias_step(live.BiasConfig(), live.BiasState(), 5e5).state == "settled"
     assert SensorMeta(1, 1).span() == 30.0
+
+
+def test_command_line_and_video(spark, tmp_path, capsys):
+    from retinaspark.cli import main
+    from retinaspark.functions.video import save_video
+    from retinaspark.plans.dataset import open_stream
+
+    save(stream(spark), str(tmp_path / "a.raw"))
+    assert main(["info", str(tmp_path / "a.raw")], spark) == 0 and "events 400" in capsys.readouterr().out
+    assert main(["convert", str(tmp_path / "a.raw"), str(tmp_path / "a.npz")], spark) == 0
+    assert rows(load(spark, str(tmp_path / "a.npz"))) == rows(stream(spark))
+    assert main(["render", str(tmp_path / "a.raw"), str(tmp_path / "png"), "--dt-ms", "100"], spark) == 0
+    assert len(list((tmp_path / "png").iterdir())) == 3
+    frames = open_stream(stream(spark), dt_ms=50).with_repr("count").frames()
+    assert save_video(frames, str(tmp_path / "v.png")) == 6
+    assert (tmp_path / "v.png").read_bytes().count(b"fcTL") == 6
+
+
+def test_model_needs_a_file():
+    from retinaspark.operators.model import Model
+
+    with pytest.raises(Exception):
+        Model("/nowhere.onnx").inputs  # noqa: B018
