@@ -23,7 +23,10 @@ Two equal windows have equal anchors at equal places.
 Anchors are one in ``window/4`` words or so; hashes have 64 bits.  A passage in
 a third of all documents is one reference, and its occurrences meet it in a join
 that Spark splits where it is skewed; whatever is grouped by a hash is reduced
-before the shuffle.  Documents' texts are not shuffled.
+before the shuffle.  Documents' texts are not shuffled: what was found about a row is
+sent to the partition that has it.  That relies on reading the rows in one order
+each time; anchors are compared, and another order is an error (write such a
+DataFrame first).
 
 Nulls: a null text has no words.  Rows with a null id come after all others and
 don't serve as references to each other.  Of rows with equal ids none removes
@@ -72,18 +75,49 @@ def _rows(batch: pa.RecordBatch):
                 yield lo + i, hashes[first[i]: first[i + 1]]
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]):
+    """(batch, number of its first row): rows are numbered by partition and place in it."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        yield batch, at
+        at += batch.num_rows
+
+
+def _aside(df: DataFrame, name: str) -> str:
+    """Write a table with ``row_no`` to a folder for each partition of the documents."""
+    uri = common.fresh_dir(df.sparkSession, name)
+    parts = df.withColumn("part", F.shiftright("row_no", 33).cast("int"))
+    parts.repartition("part").sortWithinPartitions("part", "row_no").write.partitionBy("part").option("compression", "zstd").parquet(uri)
+    return uri
+
+
+def _own(uri: str):
+    """The tables that ``_aside`` wrote for this task's partition."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+    from pyspark import TaskContext
+
+    fs, folder = common.filesystem(f"{uri}/part={TaskContext.get().partitionId()}")
+    for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as raw:
+                yield pq.ParquetFile(raw).read()
+
+
 def _batch(names: list[str], types: list, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def spans(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_no, lo, hi): merged stretches of words to remove of each row; row_no as in ``numbered``."""
+    """(row_no, lo, hi): stretches of words to remove; row_no is a row's partition and place in it (see ``_numbered``)."""
     half = window // 2
     reach = window - half  # a window that holds an anchor starts at most so far before it
     stretch = window - half + 1  # anchors' candidates in a window
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, base in _numbered(batches):
             keys = batch.column("key")
             for r, words in _rows(batch):
                 if len(words) < window:
@@ -91,31 +125,39 @@ def spans(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
                 g = hashing.grams(words, half)
                 at = anchors(g, stretch)
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.repeat(keys[r], n), pa.repeat(batch.column("row_no")[r], n), pa.array(at.astype(np.int32))], names=["anchor", "key", "row_no", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.repeat(keys[r], n), pa.repeat(pa.scalar(base + r, pa.int64()), n), pa.array(at.astype(np.int32))], names=["anchor", "key", "row_no", "at"])
 
     found = common.written(docs.mapInArrow(occurrences, "anchor long, key long, row_no long, at int"), "anchors")
     shared = found.groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min(F.struct("key", "row_no", "at")).alias("ref")).where("first < last").select("anchor", F.col("ref.row_no").alias("ref_row"), F.col("ref.at").alias("ref_at"), "first")
     shared = common.written(shared, "shared-anchors")
     mine = found.join(shared, "anchor").select("anchor", "key", "row_no", "at", "ref_row", "ref_at", "first")
-    # each row's shared anchors come together once, with the row: words are needed about them only
-    per_row = mine.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("at", "anchor", (F.col("row_no").eqNullSafe(F.col("ref_row")) & (F.col("at") == F.col("ref_at"))).alias("is_ref")))).alias("a"))
-    rows = docs.join(per_row, "row_no").select("row_no", "key", "text", "a")
+    # rows' shared anchors go to where the rows are; the texts stay there
+    mine_uri = _aside(mine.select("row_no", "at", "anchor", (F.col("row_no").eqNullSafe(F.col("ref_row")) & (F.col("at") == F.col("ref_at"))).alias("is_ref")), "row-anchors")
 
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words about each shared anchor: ``reach`` before it to ``reach`` behind it."""
-        for batch in batches:
-            listed = batch.column("a")
+        own = [t for t in _own(mine_uri)]
+        if not own:
+            return
+        own = pa.concat_tables(own).sort_by([("row_no", "ascending"), ("at", "ascending")])
+        numbers, ats = (own[c].to_numpy() for c in ("row_no", "at"))
+        for batch, base in _numbered(batches):
             for r, words in _rows(batch):
-                x = listed[r].values
-                at = x.field("at").to_numpy()
+                lo, hi = np.searchsorted(numbers, [base + r, base + r + 1])
+                if lo == hi:
+                    continue
+                at, x = ats[lo:hi], own.slice(lo, hi - lo).combine_chunks()
+                g = hashing.grams(words, half) if len(words) >= window else np.zeros(0, np.uint64)
+                if at[-1] >= len(g) or (g[at].view(np.int64) != x["anchor"].to_numpy()).any():
+                    raise ValueError("the documents' rows came in another order than before; write them first")
                 n, size = len(at), half + 2 * reach
                 padded = np.concatenate([np.zeros(reach, np.uint64), words, np.zeros(reach, np.uint64)])
                 m = padded[at[:, None] + np.arange(size)]
                 left = np.minimum(at, reach).astype(np.int32)
                 right = np.minimum(len(words) - at - half, reach).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([x.field("anchor"), pa.repeat(batch.column("key")[r], n), pa.repeat(batch.column("row_no")[r], n), x.field("at"), x.field("is_ref"), pa.array([m[i].tobytes() for i in range(n)], pa.binary()), pa.array(left), pa.array(right)], names=["anchor", "key", "row_no", "at", "is_ref", "words", "left", "right"])
+                yield pa.RecordBatch.from_arrays([x["anchor"].combine_chunks(), pa.repeat(batch.column("key")[r], n), pa.repeat(pa.scalar(base + r, pa.int64()), n), x["at"].combine_chunks(), x["is_ref"].combine_chunks(), pa.array([m[i].tobytes() for i in range(n)], pa.binary()), pa.array(left), pa.array(right)], names=["anchor", "key", "row_no", "at", "is_ref", "words", "left", "right"])
 
-    seen = common.written(rows.mapInArrow(about, "anchor long, key long, row_no long, at int, is_ref boolean, words binary, left int, right int"), "occurrences")
+    seen = common.written(docs.mapInArrow(about, "anchor long, key long, row_no long, at int, is_ref boolean, words binary, left int, right int"), "occurrences")
     refs = seen.where("is_ref").select("anchor", F.col("key").alias("ref_key"), F.col("words").alias("ref_words"), F.col("left").alias("ref_left"), F.col("right").alias("ref_right"))
     pairs = seen.where("not is_ref").join(refs, "anchor")
 
@@ -190,27 +232,30 @@ def _hash_rows(m: np.ndarray, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text and a number for each row, written so that it stays."""
-    rows = docs.select(docs[key].cast("long").alias("id"), F.coalesce(docs[key].cast("long"), F.lit(_LAST)).alias("key"), docs[text].cast("string").alias("text"))
-    return common.written(rows.withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text, and the key to compare by: null ids come after all others."""
+    return docs.select(docs[key].cast("long").alias("id"), F.coalesce(docs[key].cast("long"), F.lit(_LAST)).alias("key"), docs[text].cast("string").alias("text"))
 
 
 def dedup(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, n_words, n_removed, spans, kept_sha256) of each row; ``text`` is what is left, words joined by one space."""
-    rows = numbered(docs, key, text)
-    cut = spans(rows, window=window).groupBy("row_no").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    joined = rows.join(cut, "row_no", "left").select("id", "text", "spans")
+    rows = prepared(docs, key, text)
+    cut_uri = _aside(spans(rows, window=window), "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        cuts: dict = {}
+        for t in _own(cut_uri):
+            for n, lo, hi in zip(*(t[c].to_pylist() for c in ("row_no", "lo", "hi"))):
+                cuts.setdefault(n, []).append((lo, hi))
+        for batch, base in _numbered(batches):
             out = []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                s = cuts.get(base + i)
                 words = (t or "").encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 merged = []
                 if s:
-                    lo, hi = (np.array([x[c] for x in s]) for c in ("lo", "hi"))
+                    lo, hi = np.array(s).T
                     np.add.at(gone, lo, 1)
                     np.add.at(gone, hi, -1)
                     gone = np.cumsum(gone) > 0
@@ -225,4 +270,4 @@ def dedup(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), span, pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["key", "text", "n_words", "n_removed", "spans", "kept_sha256"])
 
-    return joined.mapInArrow(apply, "key long, text string, n_words long, n_removed long, spans array<struct<lo int, hi int>>, kept_sha256 string")
+    return rows.mapInArrow(apply, "key long, text string, n_words long, n_removed long, spans array<struct<lo int, hi int>>, kept_sha256 string")
