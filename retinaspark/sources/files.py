@@ -204,6 +204,10 @@ def load(spark: SparkSession, path: str, *, format: str | None = None, sensor_si
         df, size = _raw(spark, path)
     elif kind == "aedat2":
         df, size = _aedat2(spark, path, sensor_size)
+    elif kind == "rosbag":
+        from .rosbag import read_bag
+
+        df, size = read_bag(spark, path).df, None
     else:
         raise NotImplementedError(f"{kind} files need a library that isn't part of this package")
     s = _sized(df, sensor_size or size)
@@ -222,6 +226,11 @@ def save(s: EventStream, path: str, *, format: str | None = None, evt: int = 2)
     if kind == "parquet":
         s.df.select("x", "y", "t", "p", "seq", F.lit(w).alias("width"), F.lit(h).alias("height")).repartitionByRange("t", "seq").sortWithinPartitions("t", "seq").write.parquet(path)
         return
+    if kind == "rosbag":
+        from .rosbag import write_bag
+
+        write_bag(s, path)
+        return
     with EventSink(path, w, h, format=kind, evt=evt) as sink:
         sink.append(s)
 

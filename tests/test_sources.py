@@ -22,7 +22,7 @@ def rows(s):
     return [tuple(map(int, r)) for r in s.df.orderBy("seq").select("x", "y", "t", F.col("p").cast("int")).collect()]
 
 
-@pytest.mark.parametrize("name", ["a.txt", "a.npz", "a.dat", "a.raw", "a.aedat", "a.parquet"])
+@pytest.mark.parametrize("name", ["a.txt", "a.npz", "a.dat", "a.raw", "a.aedat", "a.bag", "a.parquet"])
 def test_round_trip(spark, tmp_path, name):
     s = stream(spark)
     save(s, str(tmp_path / name))
@@ -136,3 +136,29 @@ def test_model_needs_a_file():
 
     with pytest.raises(Exception):
         Model("/nowhere.onnx").inputs  # noqa: B018
+
+
+def test_bag_side_tables(spark, tmp_path):
+    import struct
+
+    from retinaspark.sources import rosbag as rb
+
+    path = str(tmp_path / "b.bag")
+    rb.write_bag(stream(spark), path, per_message=150)
+    assert rb.topics(path) == [(rb.TOPIC, "dvs_msgs/EventArray")] and len(rb.index(path)[1]) == 3
+    assert rb.read_imu(spark, path).count() == 0 and rb.read_camera_info(path) is None
+    # a calibration and an image in one more chunk
+    head = lambda t: struct.pack("<I", 0) + rb._stamp(t) + struct.pack("<I", 0)
+    info = head(5) + struct.pack("<II", 40, 60) + struct.pack("<I", 0) + struct.pack("<I", 5) + struct.pack("<5d", 1, 2, 3, 4, 5) + struct.pack("<9d", 10, 0, 30, 0, 20, 40, 0, 0, 1)
+    image = head(7) + struct.pack("<II", 2, 3) + struct.pack("<I", 5) + b"mono8" + b"\0" + struct.pack("<II", 3, 6) + bytes(range(6))
+    messages = b"".join(rb._pack({"conn": struct.pack("<I", c), "time": rb._stamp(9), "op": bytes([rb.MESSAGE])}, m) for c, m in ((0, info), (1, image)))
+    chunk = rb._pack({"compression": b"none", "size": struct.pack("<I", len(messages)), "op": bytes([rb.CHUNK])}, messages)
+    links = b"".join(rb._pack({"conn": struct.pack("<I", c), "topic": t, "op": bytes([rb.CONNECTION])}, struct.pack("<I", 5 + len(k)) + b"type=" + k) for c, t, k in ((0, b"/info", b"sensor_msgs/CameraInfo"), (1, b"/img", b"sensor_msgs/Image")))
+    where = rb._pack({"chunk_pos": struct.pack("<Q", 200), "start_time": rb._stamp(5), "end_time": rb._stamp(7), "op": bytes([rb.CHUNK_INFO])}, b"")
+    fields = {"index_pos": struct.pack("<Q", 200 + len(chunk)), "op": bytes([rb.BAG])}
+    bag = rb.MAGIC + rb._pack(fields, b" " * (200 - len(rb.MAGIC) - len(rb._pack(fields, b""))))
+    (tmp_path / "c.bag").write_bytes(bag + chunk + links + where)
+    c = rb.read_camera_info(str(tmp_path / "c.bag"))
+    assert (c.fx, c.fy, c.cx, c.cy, c.k3) == (10, 20, 30, 40, 5)
+    (t, pixels), = rb.read_frames(str(tmp_path / "c.bag"))
+    assert t == 7 and pixels.tolist() == [[0, 1, 2], [3, 4, 5]]
