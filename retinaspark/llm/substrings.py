@@ -46,6 +46,8 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 _LAST = 2**63 - 1
+#: Entries that a task puts in one batch, or so.
+_GATHER = 1 << 16
 
 
 def anchors(grams: np.ndarray, span: int) -> np.ndarray:
@@ -106,6 +108,12 @@ def _own(uri: str):
                 yield pq.ParquetFile(raw).read()
 
 
+def _gathered(held: list, names: list[str]) -> pa.RecordBatch:
+    """Rows' columns as one batch; two-dimensional ones become bytes."""
+    columns = [np.concatenate(c) for c in zip(*held)]
+    return pa.RecordBatch.from_arrays([pa.array(c) if c.ndim == 1 else pa.array([r.tobytes() for r in c], pa.binary()) for c in columns], names=names)
+
+
 def _batch(names: list[str], types: list, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -117,6 +125,7 @@ def spans(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
     stretch = window - half + 1  # anchors' candidates in a window
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, names = [], 0, ["anchor", "key", "row_no", "at"]
         for batch, base in _numbered(batches):
             keys = batch.column("key")
             for r, words in _rows(batch):
@@ -125,7 +134,13 @@ def spans(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
                 g = hashing.grams(words, half)
                 at = anchors(g, stretch)
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.repeat(keys[r], n), pa.repeat(pa.scalar(base + r, pa.int64()), n), pa.array(at.astype(np.int32))], names=["anchor", "key", "row_no", "at"])
+                held.append((g[at].view(np.int64), np.full(n, keys[r].as_py()), np.full(n, base + r), at.astype(np.int32)))
+                size += n
+                if size >= _GATHER:
+                    yield _gathered(held, names)
+                    held, size = [], 0
+        if held:
+            yield _gathered(held, names)
 
     found = common.written(docs.mapInArrow(occurrences, "anchor long, key long, row_no long, at int"), "anchors")
     shared = found.groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min(F.struct("key", "row_no", "at")).alias("ref")).where("first < last").select("anchor", F.col("ref.row_no").alias("ref_row"), F.col("ref.at").alias("ref_at"), "first")
@@ -136,7 +151,8 @@ def spans(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
 
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words about each shared anchor: ``reach`` before it to ``reach`` behind it."""
-        own = [t for t in _own(mine_uri)]
+        held, gathered, names = [], 0, ["anchor", "key", "row_no", "at", "is_ref", "words", "left", "right"]
+        own = [*_own(mine_uri)]
         if not own:
             return
         own = pa.concat_tables(own).sort_by([("row_no", "ascending"), ("at", "ascending")])
@@ -155,7 +171,13 @@ def spans(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
                 m = padded[at[:, None] + np.arange(size)]
                 left = np.minimum(at, reach).astype(np.int32)
                 right = np.minimum(len(words) - at - half, reach).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([x["anchor"].combine_chunks(), pa.repeat(batch.column("key")[r], n), pa.repeat(pa.scalar(base + r, pa.int64()), n), x["at"].combine_chunks(), x["is_ref"].combine_chunks(), pa.array([m[i].tobytes() for i in range(n)], pa.binary()), pa.array(left), pa.array(right)], names=["anchor", "key", "row_no", "at", "is_ref", "words", "left", "right"])
+                held.append((x["anchor"].to_numpy(), np.full(n, batch.column("key")[r].as_py()), np.full(n, base + r), at, x["is_ref"].to_numpy(), m, left, right))
+                gathered += n
+                if gathered >= _GATHER // 8:
+                    yield _gathered(held, names)
+                    held, gathered = [], 0
+        if held:
+            yield _gathered(held, names)
 
     seen = common.written(docs.mapInArrow(about, "anchor long, key long, row_no long, at int, is_ref boolean, words binary, left int, right int"), "occurrences")
     refs = seen.where("is_ref").select("anchor", F.col("key").alias("ref_key"), F.col("words").alias("ref_words"), F.col("left").alias("ref_left"), F.col("right").alias("ref_right"))
