@@ -74,7 +74,7 @@ def features(data: np.ndarray, at: np.ndarray, keep: np.ndarray | None = None) -
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, *, min_texts: int = 4, most: int = 20_000, rounds: int = 12, ridge: float = 1e-3) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, *, min_texts: int = 4, most: int = 20_000, rounds: int = 100, ridge: float = 1e-3) -> Model:
     """A model from texts and their 0/1 labels."""
     y = np.asarray(labels, np.float64)
     size = 1 << BITS
