@@ -265,31 +265,33 @@ def dedup(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
     cut_uri = _aside(spans(rows, window=window), "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts: dict = {}
-        for t in _own(cut_uri):
-            for n, lo, hi in zip(*(t[c].to_pylist() for c in ("row_no", "lo", "hi"))):
-                cuts.setdefault(n, []).append((lo, hi))
-        for batch, base in _numbered(batches):
-            out = []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                s = cuts.get(base + i)
-                words = (t or "").encode().split()
+        own = [*_own(cut_uri)]
+        own = pa.concat_tables(own).sort_by("row_no") if own else pa.table({"row_no": pa.array([], pa.int64()), "lo": pa.array([], pa.int32()), "hi": pa.array([], pa.int32())})
+        numbers, los, his = (own[c].to_numpy() for c in ("row_no", "lo", "hi"))
+        del own
+        span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        types = (pa.string(), pa.int64(), pa.int64(), span, pa.string())
+
+        def row(t: str | None, number: int):
+            words = (t or "").encode().split()
+            a, b = np.searchsorted(numbers, [number, number + 1])
+            merged, left = [], words
+            if a < b:
                 gone = np.zeros(len(words) + 1, np.int64)
-                merged = []
-                if s:
-                    lo, hi = np.array(s).T
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, hi, -1)
-                    gone = np.cumsum(gone) > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[:-1].astype(np.int8), [0]])))
-                    merged = [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                    left = b" ".join([w for w, x in zip(words, gone) if not x])
-                else:
-                    left = b" ".join(words)
-                out.append((left.decode(), len(words), sum(x["hi"] - x["lo"] for x in merged), merged, hashlib.sha256(left).hexdigest()))
-            if out:
-                span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), span, pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["key", "text", "n_words", "n_removed", "spans", "kept_sha256"])
+                np.add.at(gone, los[a:b], 1)
+                np.add.at(gone, his[a:b], -1)
+                gone = np.cumsum(gone) > 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[:-1].astype(np.int8), [0]])))
+                merged = [{"lo": int(x), "hi": int(y)} for x, y in zip(edge[::2], edge[1::2])]
+                left = [w for w, x in zip(words, gone) if not x]
+            kept = b" ".join(left)
+            return kept.decode(), len(words), len(words) - len(left), merged, hashlib.sha256(kept).hexdigest()
+
+        for batch, base in _numbered(batches):
+            # a few texts at a time: their words and what is left are held as Python objects
+            for lo, hi in common.chunks(batch.column("text")):
+                out = [row(t.as_py(), base + lo + i) for i, t in enumerate(batch.column("text").slice(lo, hi - lo))]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *columns], names=["key", "text", "n_words", "n_removed", "spans", "kept_sha256"])
 
     return rows.mapInArrow(apply, "key long, text string, n_words long, n_removed long, spans array<struct<lo int, hi int>>, kept_sha256 string")
