@@ -23,6 +23,7 @@ columns are not looked at.  An empty table gives an empty manifest.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries that each cache of an encoder holds at most; then it starts anew.
-CACHE = 300_000
+CACHE = 600_000
+#: Signs that are a pre-token of their own after a letter, at the end of a piece.
+_STOPS = (".", ",", "!", "?", ";", ":")
 
 
 class Encoder:
@@ -68,6 +71,7 @@ class Encoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.space = self.letters[0x20]
         self.plain = regex.compile(r"[\x21-\x7E\nÀ-ÖØ-öø-ſ ]*")
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
@@ -75,34 +79,45 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, text: str) -> bytes:
+    def token(self, token: str) -> bytes:
+        ids = self.tokens.get(token)
+        if ids is None:
+            word = token[1:] if token[0] == " " else token
+            if word.isascii() and word.isalpha():
+                # these letters stand for themselves
+                mapped = token if word is token else self.space + word
+            else:
+                mapped = token.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+            if len(self.tokens) >= CACHE:
+                self.tokens.clear()
+            self.tokens[token] = ids
+        return ids
+
+    def piece(self, text: str, word: str) -> bytes:
+        """The ids of a piece that starts a pre-token; ``word`` is it without a space before it, and has none."""
+        latin = word.isascii() or max(word) < "\u0180"
+        if latin and word.isalpha():
+            return self.token(text)
+        if latin and word[-1:] in _STOPS and word[:-1].isalpha():
+            return self.token(text[:-1]) + self.token(word[-1])
         if not self.plain.fullmatch(text):
             return self.whole(text)
-        out = []
-        for token in self.pattern.findall(text):
-            ids = self.tokens.get(token)
-            if ids is None:
-                mapped = token.encode().decode("latin-1").translate(self.letters)
-                ids = np.array([x.id for x in self.model.tokenize(mapped)], "<u4").tobytes()
-                if len(self.tokens) >= CACHE:
-                    self.tokens.clear()
-                self.tokens[token] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.token(x) for x in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.split or "  " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special):
             return self.whole(text) if text else b""
         first, *rest = text.split(" ")
-        out, pieces = [self.piece(first)] if first else [], self.pieces
+        out, pieces = [self.piece(first, first)] if first else [], self.pieces
         for p in rest:
             ids = pieces.get(p)
             if ids is None:
                 # a space before white space belongs to that; such cuts are not safe
                 if p[:1].isspace():
                     return self.whole(text)
-                ids = self.piece(" " + p)
+                ids = self.piece(" " + p, p)
                 if len(pieces) >= CACHE:
                     pieces.clear()
                 pieces[p] = ids
