@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts and items are read as lower-case words without ASCII punctuation.  The
-seeds of an item are its ``n``-word sequences (the whole item if it is shorter)
-that are rare for it: found in the corpus at most ``factor`` times as often as
-the middle one of the item's seeds, or at most ``floor`` times.  An item that
-leaks everywhere so keeps its seeds, and common phrases don't count.
+seeds of an item are all its ``n``-word sequences (the whole item if it is
+shorter), however often the corpus has them: an edited copy may keep none but
+common ones, and copies themselves make seeds common.
 
-A first pass over the corpus counts the seeds; a second one joins passages to
-items by them and aligns each place where an item's seeds gather.  Both read
-whole texts and shuffle only counts and findings.  Seeds go to the tasks in
-blocks of at most ``block`` items, so memory is bounded for any benchmark; each
-block takes two passes.
+One pass over the corpus joins passages to items by the seeds.  Each place where
+an item's seeds gather is aligned, unless it has too few of the item's words
+to reach the threshold by any alignment.  Whole texts are read and only findings
+are shuffled.  Seeds go to the tasks in blocks of at most ``block`` items, so
+memory is bounded for any benchmark; each block takes a pass.
 
 The score is the local alignment's (2 for a word that agrees, -1 for another or
 for a gap) over that of the whole item with itself.  Documents at ``threshold``
@@ -50,6 +49,7 @@ class Items:
     def __init__(self, texts: list[str | None], n: int) -> None:
         hashes, first = _words(pa.array(texts, pa.string()))
         self.words = [hashes[a:b] for a, b in zip(first, first[1:])]
+        self.sets = [np.unique(w, return_counts=True) for w in self.words]
         self.n = n
         seed, item, at, size = [], [], [], []
         for i, w in enumerate(self.words):
@@ -62,11 +62,8 @@ class Items:
             at.append(np.arange(len(g)))
             size.append(np.full(len(g), k))
         self.seed, self.item, self.at, self.size = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((seed, np.uint64), (item, np.int64), (at, np.int64), (size, np.int64)))
-        self.keep(np.ones(len(self.seed), bool))
-
-    def keep(self, which: np.ndarray) -> None:
-        order = np.argsort(self.seed[which], kind="stable")
-        self.seed, self.item, self.at, self.size = (x[which][order] for x in (self.seed, self.item, self.at, self.size))
+        order = np.argsort(self.seed, kind="stable")
+        self.seed, self.item, self.at, self.size = (x[order] for x in (self.seed, self.item, self.at, self.size))
         self.unique, self.start = np.unique(self.seed, return_index=True)
         self.end = np.append(self.start[1:], len(self.seed))
         self.sizes = np.unique(self.size)
@@ -89,14 +86,12 @@ class Items:
             which.append(u[ok])
         return (np.concatenate(where), np.concatenate(which)) if where else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def rare(self, counts: np.ndarray, factor: float, floor: int) -> np.ndarray:
-        """Of the seeds, those that are rare for their item, by the corpus counts of ``unique``."""
-        of = np.repeat(counts, self.end - self.start)
-        out = np.zeros(len(of), bool)
-        for i in np.unique(self.item):
-            own = self.item == i
-            out |= own & (of <= max(floor, factor * np.median(of[own])))
-        return out
+    def most(self, i: int, text: np.ndarray) -> int:
+        """A bound on the score of any alignment of item ``i`` in a text: 2 for each word that they share."""
+        own, n = self.sets[i]
+        at = np.searchsorted(own, text)
+        at[at == len(own)] = 0
+        return 2 * int(np.minimum(np.bincount(at[own[at] == text], minlength=len(own)), n).sum())
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -124,7 +119,7 @@ def _places(pos: np.ndarray, at: np.ndarray, length: int) -> list[tuple[int, int
     return [(int(x[0]) - slack, int(x[-1]) + length + slack) for x in np.split(begin, cuts)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, factor: float = 10.0, floor: int = 200, threshold: float = 0.5, block: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, threshold: float = 0.5, block: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of the items found in documents."""
     spark = docs.sparkSession
     rows = common.only(docs, doc_id=key, text=text)
@@ -137,24 +132,6 @@ def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, factor: float = 1
         n_blocks = max(1, -(-n_items // block))
         part = items.where(F.pmod("h", F.lit(n_blocks)) == k).orderBy("h").select("item_id", "text").toArrow()
         held = Items(part["text"].to_pylist(), n)
-        shared = spark.sparkContext.broadcast(held)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            total = np.zeros(len(items.unique), np.int64)
-            for batch in batches:
-                column = batch.column("text")
-                for lo, hi in common.chunks(column):
-                    _, which = items.hits(*_words(column.slice(lo, hi - lo)))
-                    total += np.bincount(which, minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["u", "c"])
-
-        counts = np.zeros(len(held.unique), np.int64)
-        # a row for each seed of the block at most
-        for r in rows.select("text").mapInArrow(count, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")).toLocalIterator():
-            counts[r["u"]] = r["c"]
-        held.keep(held.rare(counts, factor, floor))
         sought = spark.sparkContext.broadcast(held)
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +157,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, factor: float = 1
                         words, best = items.words[i], (0.0, 0, 0)
                         for x, y in _places(pos[a:b], at[a:b], len(words)):
                             x, y = max(x, int(first[d])), min(y, int(first[d + 1]))
+                            if items.most(i, hashes[x:y]) < threshold * 2 * len(words):
+                                continue
                             score, end = align(words, hashes[x:y])
                             if score > best[0]:
                                 best = (score, x + end - int(first[d]), 0)

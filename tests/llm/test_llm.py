@@ -328,6 +328,16 @@ def test_decontamination(spark):
     assert decontaminate.find(table(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_many_edited_copies(spark):
+    rng = np.random.default_rng(8)
+    item = [f"q{i}" for i in range(40)]
+    edited = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(item))
+    texts = [prose(20, rng) + " " + edited for _ in range(260)] + [prose(60, rng) + " q0 q1 q2 " + prose(60, rng)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = decontaminate.find(table(spark, texts), bench).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(260)) and {r["score"] for r in got} == {51 / 80}
+
+
 # 9: WARC
 
 def test_warc(spark, tmp_path):
