@@ -12,7 +12,7 @@ nobody can own.
 Collision check: the distinct entities' surrogates are compared with each other
 and with all entities of the kind.  Of entities with one surrogate all but the
 first, and any whose surrogate is another real entity, are drawn again, until
-none is left.  Only what was drawn again (rare) is joined back to mentions;
+none is left; a person's name gets a syllable more each time.  Only what was drawn again (rare) is joined back to mentions;
 without any, documents are read, replaced and written without a shuffle.
 
 Nulls: a null text stays null with no entities; an empty one stays empty.
@@ -90,6 +90,14 @@ def _syllables(h: Column, first: int, n: int, cyrillic: Column) -> Column:
     return F.when(cyrillic, F.concat(*[F.element_at(F.array(*map(F.lit, _CYRILLIC)), i) for i in at])).otherwise(latin)
 
 
+def _longer(h: Column, first: int, attempt: Column, cyrillic: Column) -> Column:
+    """A syllable for each attempt after the first, so that every round has 16 times the names of the one before."""
+    def spelled(syllables):
+        return F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: F.element_at(F.array(*map(F.lit, syllables)), F.conv(h.substr((i + first - 2) % 64 + 1, F.lit(1)), 16, 10).cast("int") + 1)), "")
+
+    return F.when(attempt > 0, F.when(cyrillic, spelled(_CYRILLIC)).otherwise(spelled(_SYLLABLES))).otherwise("")
+
+
 def key_stream(k: Column, c: Column, attempt: Column, secret: str) -> Column:
     """The keyed digits that an entity's surrogate is made from."""
     return _stream(secret, k, c, attempt.cast("string"))
@@ -115,9 +123,9 @@ def surrogate(k: Column, c: Column, attempt: Column, h: Column, secret: str) ->
     sex, names = F.substring(c, 1, 1), F.split(F.substring(c, 3, 9999), " ")
     script = c.rlike(r"\p{IsCyrillic}")
     family_h = _stream(secret, F.lit("family"), F.element_at(names, -1), F.when(F.size(names) == 1, attempt.cast("string")).otherwise("0"))
-    family = _syllables(family_h, 1, 3, script)
+    family = F.concat(_syllables(family_h, 1, 3, script), F.when(F.size(names) == 1, _longer(family_h, 4, attempt, script)).otherwise(""))
     ending = F.when(script, F.when(sex == "f", "на").otherwise("н")).otherwise(F.when(sex == "f", "na").otherwise("n"))
-    given = F.concat(_syllables(h, 1, 3, script), ending)
+    given = F.concat(_syllables(h, 1, 3, script), _longer(h, 4, attempt, script), ending)
     person = F.concat(sex, F.lit(" "), F.when(F.size(names) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
     return F.when(k == "ip", ip).when(k == "card", card).when(k == "phone", phone).when(k == "ssn", d.substr(F.lit(1), F.lit(9))).when(k == "email", email).when(k == "secret", long).when(k == "iban", iban).otherwise(person)
 

@@ -97,6 +97,17 @@ def test_surrogates_collide_and_are_drawn_again(spark):
     assert table_.count() == 26 and table_.select("surrogate").distinct().count() == 26 and table_.where("attempt > 0").count() > 0
 
 
+def test_surrogates_of_many_surnames(spark):
+    # more than 16 ** 3 of each sex and script
+    names = ["".join("abcdefghijklmnop"[i >> k & 15] for k in (0, 4, 8, 12)) for i in range(6000)]
+    texts = [" ".join(f"{title} {n.capitalize()}," for n in names) for title in ("Mr", "Ms")]
+    found = surrogates.assign(surrogates.entities(table(spark, texts)), "k")
+    assert found.count() == found.select("surrogate").distinct().count() == 12_000
+    for r, t in zip(surrogates.replace(table(spark, texts)).orderBy("doc_id").collect(), texts):
+        out = r["text"].replace(",", "").split()
+        assert out[::2] == t.split()[::2] and len(set(out[1::2])) == 6000 and r["n_entities"] == 6000
+
+
 def test_surrogates_run_no_python(spark):
     plan = surrogates.replace(table(spark, ["a@b.org"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
