@@ -377,6 +377,31 @@ def frame_filled(s):
     return frames.filled(_spots(s)).df
 
 
+# the same over the whole stream, a frame for each slice
+_SLICE_FEW = "s AS (SELECT *, (t - t0) // 30000 AS slice_id FROM ev, b), k AS (SELECT slice_id, x, y, count(*) AS n FROM s GROUP BY slice_id, x, y)"
+_SLICE_REACH = f"""WITH RECURSIVE {EV}{BOUND}, {_SLICE_FEW}, r AS (SELECT slice_id, x, y, x AS rx, y AS ry FROM k UNION SELECT r.slice_id, r.x, r.y, k.x, k.y FROM r JOIN k ON k.slice_id = r.slice_id AND abs(k.x - r.rx) <= 1 AND abs(k.y - r.ry) <= 1),
+l AS (SELECT slice_id, x, y, min(ry * 16 + rx) AS root FROM r GROUP BY slice_id, x, y), d AS (SELECT slice_id, x, y, dense_rank() OVER (PARTITION BY slice_id ORDER BY root) AS label FROM l)"""
+
+
+def _all_spots(s) -> represent.Frame:
+    return EventReader(s, Slicing(dt=30_000)).with_repr("count").frames()
+
+
+@query(_SLICE_REACH + " SELECT slice_id, 0 AS c, y, x, label AS value FROM d")
+def slice_connected_components(s):
+    return cells(frames.connected_components(_all_spots(s)))
+
+
+@query(_SLICE_REACH + " SELECT slice_id, label, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM d GROUP BY slice_id, label HAVING count(*) >= 2")
+def slice_blobs(s):
+    return frames.blobs(_all_spots(s), 8, 2)
+
+
+@query(f"WITH {EV}{BOUND}, {_SLICE_FEW}, g AS (SELECT slice_id, y::INTEGER AS y, x::INTEGER AS x FROM (SELECT DISTINCT slice_id FROM s) a, range(12) b(y), range(16) d(x)) SELECT slice_id, 0 AS c, y, x, coalesce(n, 0)::BIGINT AS value FROM g LEFT JOIN k USING (slice_id, y, x)")
+def slice_frame_filled(s):
+    return frames.filled(_all_spots(s)).df
+
+
 # order-dependent operators without SQL
 @query()
 def efast(s):

@@ -243,3 +243,15 @@ def test_render_and_png():
     assert image.shape == (3, 4, 3) and (render.read_png(render.png(image)) == image).all()
     assert len(render.flow_wheel()) == 55 and tuple(render.colormap(np.array([0.0]), "viridis")[0]) == (68, 1, 84)
     assert render.extent(np.array([1.0, -5.0, 0])) == 5
+
+
+def test_frame_queries_have_the_whole_stream(spark):
+    from retinaspark.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    n = catalog.events(spark, sf).df.count()
+    filled = catalog.QUERIES["slice_frame_filled"](spark, sf)
+    assert filled.agg(F.sum("value")).first()[0] == n
+    on = filled.where("value > 0").count()
+    assert catalog.QUERIES["slice_connected_components"](spark, sf).count() == on
+    assert 0 < catalog.QUERIES["slice_blobs"](spark, sf).agg(F.sum("area")).first()[0] <= on
