@@ -420,18 +420,17 @@ def optical_flow(s):
 
 @query()
 def contrast_maximise(s):
-    return motion.contrast_maximise(EventReader(s, Slicing(dt=500_000)).stream, max_iterations=40)
+    return motion.contrast_maximise(EventReader(s, Slicing(dt=500_000)).stream)
 
 
 @query()
 def feast_transform(s):
-    first = transforms.max_events(s, 2000)
-    return feast.FEAST(n_features=8, patch=3).fit(first).transform(s)
+    return feast.FEAST(n_features=8, patch=3).fit(s).transform(s)
 
 
 @query()
 def tracker(s):
-    return track.track(_tumbling(transforms.time_window(s, None, 1_000_000)).with_repr("count").frames(), min_area=1)
+    return track.track(_tumbling(s).with_repr("count").frames(), min_area=1)
 
 
 for _name, _op in {

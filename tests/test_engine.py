@@ -255,3 +255,18 @@ def test_frame_queries_have_the_whole_stream(spark):
     on = filled.where("value > 0").count()
     assert catalog.QUERIES["slice_connected_components"](spark, sf).count() == on
     assert 0 < catalog.QUERIES["slice_blobs"](spark, sf).agg(F.sum("area")).first()[0] <= on
+
+
+def test_fold_queries_take_the_whole_stream(spark, monkeypatch):
+    from retinaspark.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    t0, t1 = catalog.events(spark, sf).df.agg(F.min("t"), F.max("t")).first()
+    assert catalog.QUERIES["tracker"](spark, sf).agg(F.max("slice_id")).first()[0] == (t1 - t0) // 100_000
+    fit, seen = feast.FEAST.fit, []
+    monkeypatch.setattr(feast.FEAST, "fit", lambda self, s, *a, **k: (seen.append(s.df.count()), fit(self, s, *a, **k))[1])
+    assert catalog.QUERIES["feast_transform"](spark, sf).count() == seen[0] == 10_000
+    run, given = motion.contrast_maximise, []
+    monkeypatch.setattr(motion, "contrast_maximise", lambda *a, **k: (given.append(k), run(*a, **k))[1])
+    assert catalog.QUERIES["contrast_maximise"](spark, sf).count() == (t1 - t0) // 500_000 + 1
+    assert given[0].get("max_iterations", 200) == 200
