@@ -38,6 +38,14 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
+def op5_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores by trigrams, backed off to bigrams and words."""
+    from . import ngrams
+
+    found = ngrams.score(common.table(spark, sf_dir, "documents"), order=3)
+    return found.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -95,6 +103,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_lm_scores": op5_lm_scores,
+    "op5_lm_scores_order3": op5_lm_scores_order3,
     "op6_toxicity": op6_toxicity,
     "op7_substrings": op7_substrings,
     "op8_decontamination": op8_decontamination,
@@ -139,6 +148,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(round(s, 4), 0) AS log10_score, round(s / n_words, 6) AS mean_log10
         FROM d LEFT JOIN t USING (doc_id)
     """,
+    "op5_lm_scores_order3": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), o AS (
+            SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w)[1:len(w)]) AS a,
+                   unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS z FROM d WHERE len(w) > 0
+        ), one AS (
+            SELECT b AS w, count(*) AS n FROM o GROUP BY b
+        ), two AS (
+            SELECT a, b, count(*) AS n FROM o WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2
+        ), three AS (
+            SELECT z, a, b, count(*) AS n FROM o WHERE z IS NOT NULL GROUP BY z, a, b HAVING count(*) >= 2
+        ), s AS (
+            SELECT o.doc_id,
+                   CASE WHEN three.n IS NOT NULL THEN log10(three.n) - log10(before.n)
+                        ELSE CASE WHEN o.z IS NULL THEN 0 ELSE log10(0.4) END
+                           + CASE WHEN two.n IS NOT NULL THEN log10(two.n) - log10(ca.n)
+                                  ELSE CASE WHEN o.a IS NULL THEN 0 ELSE log10(0.4) END + log10(cb.n) - log10((SELECT count(*) FROM o)) END END AS s
+            FROM o JOIN one cb ON cb.w = o.b LEFT JOIN one ca ON ca.w = o.a LEFT JOIN two ON two.a = o.a AND two.b = o.b
+            LEFT JOIN two before ON before.a = o.z AND before.b = o.a LEFT JOIN three ON three.z = o.z AND three.a = o.a AND three.b = o.b
+        ), t AS (
+            SELECT doc_id, count(*) AS n_words, sum(s) AS s FROM s GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(round(s, 4), 0) AS log10_score, round(s / n_words, 6) AS mean_log10
+        FROM d LEFT JOIN t USING (doc_id)
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS data FROM pages
