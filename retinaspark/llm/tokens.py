@@ -17,7 +17,8 @@ count.
 
 Nulls: a null text counts as empty; a null key comes first.  An empty text is
 just the end id.  Documents with equal keys all stay, side by side; extra
-columns are not looked at.  An empty table gives an empty manifest.
+columns are not looked at.  An empty table gives an empty manifest.  Very long
+texts are encoded in parts that are cut where the tokenizer starts anew.
 """
 
 from __future__ import annotations
@@ -28,25 +29,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries that each cache of an encoder holds at most; then it starts anew.
-CACHE = 600_000
-#: Signs that are a pre-token of their own after a letter, at the end of a piece.
-_STOPS = (".", ",", "!", "?", ";", ":")
+#: Pre-tokens that an encoder keeps the ids of; then it starts anew.
+CACHE = 100_000
+#: Bytes of text that are worked on at a time; longer texts are cut.
+CHUNK = 4 << 20
 
 
 class Encoder:
     """Ids of texts, by the tokenizers library.
 
     A byte-level BPE tokenizer works on each of its pre-tokens alone, and a
-    single space between two other characters always starts a new one.  So
-    texts are cut there, and the ids of each piece are kept in a bounded cache.
-    Pieces with characters that regular expressions of different libraries may
-    class differently, or with the text of a special token, go through the
+    single space between two other characters always starts a new one.  So a
+    column of texts is split there, each distinct piece is encoded once, and the
+    texts' ids are gathered from the pieces'.  Pieces with characters that
+    regular expressions of different libraries may class differently, and texts
+    with other runs of white space or with a special token, go through the
     library's whole pipeline.
     """
 
@@ -72,57 +75,122 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.space = self.letters[0x20]
-        self.plain = regex.compile(r"[\x21-\x7E\nÀ-ÖØ-öø-ſ ]*")
-        self.pieces: dict[str, bytes] = {}
+        #: A character that isn't surely classed alike everywhere, or white space at the start.
+        self.odd = "^\n|[^\\x21-\\x7E\nÀ-ÖØ-öø-ſ]"
         self.tokens: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def token(self, token: str) -> bytes:
-        ids = self.tokens.get(token)
-        if ids is None:
-            word = token[1:] if token[0] == " " else token
-            if word.isascii() and word.isalpha():
-                # these letters stand for themselves
-                mapped = token if word is token else self.space + word
-            else:
-                mapped = token.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
-            if len(self.tokens) >= CACHE:
-                self.tokens.clear()
-            self.tokens[token] = ids
+        """The ids of a pre-token."""
+        word = token[1:] if token[0] == " " else token
+        if word.isascii() and word.isalpha():
+            # these letters stand for themselves
+            mapped = token if word is token else self.space + word
+        else:
+            mapped = token.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+        if len(self.tokens) >= CACHE:
+            self.tokens.clear()
+        self.tokens[token] = ids
         return ids
 
-    def piece(self, text: str, word: str) -> bytes:
-        """The ids of a piece that starts a pre-token; ``word`` is it without a space before it, and has none."""
-        latin = word.isascii() or max(word) < "\u0180"
-        if latin and word.isalpha():
-            return self.token(text)
-        if latin and word[-1:] in _STOPS and word[:-1].isalpha():
-            return self.token(text[:-1]) + self.token(word[-1])
-        if not self.plain.fullmatch(text):
-            return self.whole(text)
-        return b"".join([self.token(x) for x in self.pattern.findall(text)])
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.split or "  " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special):
-            return self.whole(text) if text else b""
-        first, *rest = text.split(" ")
-        out, pieces = [self.piece(first, first)] if first else [], self.pieces
-        for p in rest:
-            ids = pieces.get(p)
-            if ids is None:
-                # a space before white space belongs to that; such cuts are not safe
-                if p[:1].isspace():
-                    return self.whole(text)
-                ids = self.piece(" " + p, p)
-                if len(pieces) >= CACHE:
-                    pieces.clear()
-                pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _pieces(self, distinct: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """The ids of distinct pieces with a space before each, and which can't be cut off before that space."""
+        words = distinct.to_pylist()
+        odd = pc.match_substring_regex(distinct, self.odd).to_numpy(zero_copy_only=False)
+        uncut = np.zeros(len(words), bool)
+        out = [b""] * len(words)
+        plain = [i for i in np.flatnonzero(~odd).tolist() if words[i]]
+        get, one = self.tokens.get, self.token
+        found = self.pattern.findall(" " + " ".join([words[i] for i in plain])) if plain else []
+        # each of these pieces starts with the only space in it
+        starts = [k for k, t in enumerate(found) if t[0] == " "]
+        ids = [get(t) or one(t) for t in found]
+        for i, a, b in zip(plain, starts, [*starts[1:], len(found)]):
+            out[i] = ids[a] if b - a == 1 else b"".join(ids[a:b])
+        for i in np.flatnonzero(odd).tolist():
+            if words[i][0].isspace():
+                uncut[i] = True
+            else:
+                out[i] = self.whole(" " + words[i])
+        return out, uncut
+
+    def encode(self, column: pa.Array, after_space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the end of each text's.
+
+        ``after_space``: texts that go on after a space that they don't hold.
+        """
+        column, n = column.fill_null(""), len(column)
+        after = np.zeros(n, bool) if after_space is None else after_space
+        whole = np.ones(n, bool)
+        if self.split:
+            whole = pc.match_substring_regex(column, r"^ | $|  ").to_numpy(zero_copy_only=False).copy()
+            for s in self.special:
+                whole |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", column), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        pieces, uncut = self._pieces(coded.dictionary)
+        words = coded.dictionary
+        first = bounds[:-1]
+        if uncut.any():
+            bad = uncut[codes]
+            bad[first[~after]] = False
+            whole[np.searchsorted(bounds, np.flatnonzero(bad), "right") - 1] = True
+        # texts' first pieces have no space before them
+        opening = first[~after & ~whole]
+        u, back = np.unique(codes[opening], return_inverse=True)
+        base = len(pieces)
+        for w in words.take(pa.array(u)).to_pylist():
+            pieces.append(self.whole(w) if w else b"")
+        codes[opening] = base + back
+        nothing = len(pieces)
+        pieces.append(b"")
+        for i in np.flatnonzero(whole).tolist():
+            text = column[i].as_py()
+            codes[bounds[i]: bounds[i + 1]] = nothing
+            codes[bounds[i]] = len(pieces)
+            pieces.append(self.whole(" " + text if after[i] else text) if text else b"")
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        begin = np.cumsum(size) - size
+        sizes = size[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(begin[codes] - (ends - sizes), sizes) + np.arange(total)]
+        return ids, (ends[bounds[1:] - 1] if n else np.zeros(0, np.int64))
+
+    def cut(self, text: str) -> list[str]:
+        """A long text in parts that encode alone: each but the first goes on after a space left out."""
+        import re
+
+        if not self.split or any(" " in s for s in self.special):
+            return [text]
+        out, at, safe = [], 0, re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+        while len(text) - at > CHUNK:
+            m = safe.search(text, at + CHUNK // 2)
+            if m is None:
+                break
+            out.append(text[at: m.start()])
+            at = m.end()
+        return [*out, text[at:]]
+
+    def chunked(self, column: pa.Array):
+        """(ids, number of ids of each row, first row, end) of runs of rows."""
+        for lo, hi in common.chunks(column, CHUNK):
+            rows = column.slice(lo, hi - lo)
+            if hi - lo == 1 and (pc.binary_length(rows)[0].as_py() or 0) > 2 * CHUNK:
+                parts = self.cut(rows[0].as_py())
+                made = [self.encode(pa.array([p], pa.large_string()), np.array([k > 0]))[0] for k, p in enumerate(parts)]
+                ids = np.concatenate(made)
+                yield ids, np.array([len(ids)]), lo, hi
+            else:
+                ids, ends = self.encode(rows)
+                yield ids, np.diff(ends, prepend=0), lo, hi
 
 
 def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", order: list | None = None, end_id: int = 2, width: int = 2) -> DataFrame:
@@ -146,7 +214,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id",
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, end = Encoder(tokenizer), np.array([end_id], kind).tobytes()
+        encoder = Encoder(tokenizer)
         fs, folder = common.filesystem(out_dir)
         stem = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs.create_dir(folder, recursive=True)
@@ -160,17 +228,16 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id",
                 off.write(np.array([0], "<i8").tobytes())
                 keys_file = fs.open_output_stream(f"{folder}/{stem}.doc")
                 keys = pa.ipc.new_stream(keys_file, pa.schema([("key", batch.schema.field("key").type)]))
-            ends = np.zeros(batch.num_rows, "<i8")
-            for i, x in enumerate(batch.column("text")):
-                ids = np.frombuffer(encoder.encode(x.as_py() or ""), "<u4")
-                if width == 2:
-                    if ids.size and ids.max() > 0xFFFF:
-                        raise ValueError("an id doesn't fit 2 bytes; use width=4")
-                    ids = ids.astype(kind)
-                out.write(ids.tobytes() + end)
-                at += len(ids) + 1
-                ends[i] = at
-            off.write(ends.tobytes())
+            for ids, sizes, lo, hi in encoder.chunked(batch.column("text")):
+                if width == 2 and ids.size and ids.max() > 0xFFFF:
+                    raise ValueError("an id doesn't fit 2 bytes; use width=4")
+                # each row's ids, and the end id behind them
+                ends = np.cumsum(sizes + 1)
+                row = np.full(int(ends[-1]), end_id, kind)
+                row[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), sizes)] = ids
+                out.write(row.tobytes())
+                off.write((at + ends).astype("<i8").tobytes())
+                at += int(ends[-1])
             keys.write_batch(pa.record_batch([batch.column("key")], names=["key"]))
             n_docs += batch.num_rows
         if out is not None:

@@ -39,12 +39,30 @@ def awkward():
 @settings(max_examples=600, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abcXYZ'sd .,!?\n\t  éñß²½中я  \x1c\x85ſƀ<|endoftext>9")), max_size=60))
 def test_encoder_is_the_library(text):
-    assert ENCODER.encode(text) == ENCODER.whole(text)
+    assert encoded(text) == ENCODER.whole(text)
 
 
 def test_encoder_on_odd_first_words():
     for text in ["'sa b", "-foo bar", "1abc.", "'tis. we're", "a.b, c", ".", "9th x", "é. ß,", "it's, don't! x:y z;"]:
-        assert ENCODER.encode(text) == ENCODER.whole(text)
+        assert encoded(text) == ENCODER.whole(text)
+
+
+def test_encoder_on_columns_and_long_texts(monkeypatch):
+    texts = ["", None, "a b", "a  b", " a", "a\n b", "a \u00a0b c", "x <|endoftext|> y", prose(4000), "é" * 3000, " ".join("ab" for _ in range(3000))]
+    monkeypatch.setattr(tokens, "CHUNK", 500)
+    row = 0
+    for ids, sizes, lo, hi in ENCODER.chunked(pa.array(texts, pa.string())):
+        assert lo == row
+        for part in np.split(ids, np.cumsum(sizes)[:-1]):
+            assert part.astype("<u4").tobytes() == ENCODER.whole(texts[row] or "")
+            row += 1
+    assert row == len(texts)
+
+
+def encoded(text):
+    ids, ends = ENCODER.encode(pa.array([text]))
+    assert ends.tolist() == [len(ids)]
+    return ids.astype("<u4").tobytes()
 
 
 ENCODER = tokens.Encoder(queries.tokenizer_path())
