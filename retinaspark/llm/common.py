@@ -83,6 +83,16 @@ def chunks(column: pa.Array, most: int = 1 << 21):
         yield first, len(sizes)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def count_words(text):
     """The number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

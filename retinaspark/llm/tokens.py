@@ -24,7 +24,6 @@ texts are encoded in parts that are cut where the tokenizer starts anew.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +35,17 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pre-tokens that an encoder keeps the ids of; then it starts anew.
-CACHE = 100_000
+CACHE = 50_000
 #: Bytes of text that are worked on at a time; longer texts are cut.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
+#: Pieces that are Python strings at a time.
+BLOCK = 1 << 13
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
 
 
 class Encoder:
@@ -77,53 +84,78 @@ class Encoder:
         self.space = self.letters[0x20]
         #: A character that isn't surely classed alike everywhere, or white space at the start.
         self.odd = "^\n|[^\\x21-\\x7E\nÀ-ÖØ-öø-ſ]"
-        self.tokens: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def token(self, token: str) -> bytes:
-        """The ids of a pre-token."""
-        word = token[1:] if token[0] == " " else token
-        if word.isascii() and word.isalpha():
-            # these letters stand for themselves
-            mapped = token if word is token else self.space + word
-        else:
-            mapped = token.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
-        if len(self.tokens) >= CACHE:
-            self.tokens.clear()
-        self.tokens[token] = ids
-        return ids
-
-    def _pieces(self, distinct: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """The ids of distinct pieces with a space before each, and which can't be cut off before that space."""
-        words = distinct.to_pylist()
-        odd = pc.match_substring_regex(distinct, self.odd).to_numpy(zero_copy_only=False)
-        uncut = np.zeros(len(words), bool)
-        out = [b""] * len(words)
-        plain = [i for i in np.flatnonzero(~odd).tolist() if words[i]]
-        get, one = self.tokens.get, self.token
-        found = self.pattern.findall(" " + " ".join([words[i] for i in plain])) if plain else []
-        # each of these pieces starts with the only space in it
-        starts = [k for k, t in enumerate(found) if t[0] == " "]
-        ids = [get(t) or one(t) for t in found]
-        for i, a, b in zip(plain, starts, [*starts[1:], len(found)]):
-            out[i] = ids[a] if b - a == 1 else b"".join(ids[a:b])
-        for i in np.flatnonzero(odd).tolist():
-            if words[i][0].isspace():
-                uncut[i] = True
-            else:
-                out[i] = self.whole(" " + words[i])
-        return out, uncut
-
-    def encode(self, column: pa.Array, after_space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and the end of each text's.
-
-        ``after_space``: texts that go on after a space that they don't hold.
+        self.shown = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(0x180)}
+        self._empty()
+
+    def _empty(self) -> None:
+        """Pre-tokens' numbers, and by number the place and the number of their ids in ``flat``."""
+        self.index: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _numbers(self, found: list[str]) -> np.ndarray:
+        """The numbers of pre-tokens; those not met before go to the model."""
+        if len(self.index) >= CACHE:
+            self._empty()
+        get = self.index.get
+        out = np.array([get(t, -1) for t in found], np.int64)
+        at = np.flatnonzero(out < 0).tolist()
+        if at:
+            new = list(dict.fromkeys([found[i] for i in at]))
+            new.sort(key=str.isascii)
+            k = next((i for i, t in enumerate(new) if t.isascii()), len(new))
+            mapped = "\0".join(new[:k]).translate(self.shown | {0: "\0"}).split("\0") if k else []
+            if k < len(new):
+                mapped += "\0".join(new[k:]).replace(" ", self.space).replace("\n", self.letters[0x0A]).split("\0")
+            made = [*map(self.model.tokenize, mapped)]
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            ids = np.array([x.id for m in made for x in m], "<u4")
+            self.index.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+            out[at] = [get(found[i]) for i in at]
+        return out
+
+    def _pieces(self, distinct: pa.Array):
+        """(ids, begin, size, uncut) of distinct pieces with a space before each; ``uncut``: it can't be cut off before that space."""
+        begin, size, uncut, ids, total = [], [], [], [], 0
+        # some at a time, for they become Python strings
+        for lo in range(0, len(distinct), BLOCK):
+            some = distinct.slice(lo, BLOCK)
+            words = some.to_pylist()
+            odd = pc.match_substring_regex(some, self.odd).to_numpy(zero_copy_only=False)
+            plain = np.flatnonzero(~odd & (pc.binary_length(some).to_numpy(zero_copy_only=False) > 0))
+            b, n, u = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+            if len(plain):
+                found = self.pattern.findall(" " + " ".join([words[i] for i in plain.tolist()]))
+                number = self._numbers(found)
+                # each of these pieces starts with the only space in it
+                starts = np.flatnonzero(np.array([t[0] == " " for t in found]))
+                k = self.size[number]
+                ids.append(self.flat[_ragged(self.begin[number], k)])
+                n[plain] = np.add.reduceat(k, starts)
+                b[plain] = total + np.cumsum(n[plain]) - n[plain]
+                total += len(ids[-1])
+            for i in np.flatnonzero(odd).tolist():
+                if words[i][0].isspace():
+                    u[i] = True
+                else:
+                    ids.append(np.array(self.whole(" " + words[i]), "<u4"))
+                    b[i], n[i] = total, len(ids[-1])
+                    total += len(ids[-1])
+            begin.append(b)
+            size.append(n)
+            uncut.append(u)
+        return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((ids, "<u4"), (begin, np.int64), (size, np.int64), (uncut, bool))]
+
+    def encode(self, column: pa.Array, after_space: bool = False):
+        """(ids, number of ids of each row, first row, end) of runs of rows.
+
+        ``after_space``: the texts go on after a space that they don't hold.
         """
         column, n = column.fill_null(""), len(column)
-        after = np.zeros(n, bool) if after_space is None else after_space
         whole = np.ones(n, bool)
         if self.split:
             whole = pc.match_substring_regex(column, r"^ | $|  ").to_numpy(zero_copy_only=False).copy()
@@ -133,36 +165,36 @@ class Encoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        pieces, uncut = self._pieces(coded.dictionary)
-        words = coded.dictionary
+        del lists
+        codes, distinct = coded.indices.to_numpy().copy(), coded.dictionary
+        ids, begin, size, uncut = self._pieces(distinct)
         first = bounds[:-1]
         if uncut.any():
             bad = uncut[codes]
-            bad[first[~after]] = False
+            if not after_space:
+                bad[first] = False
             whole[np.searchsorted(bounds, np.flatnonzero(bad), "right") - 1] = True
-        # texts' first pieces have no space before them
-        opening = first[~after & ~whole]
+        # first pieces, which have no space before them, and whole texts
+        opening = first[~whole] if not after_space else first[:0]
         u, back = np.unique(codes[opening], return_inverse=True)
-        base = len(pieces)
-        for w in words.take(pa.array(u)).to_pylist():
-            pieces.append(self.whole(w) if w else b"")
-        codes[opening] = base + back
-        nothing = len(pieces)
-        pieces.append(b"")
+        others = [self.whole(w) if w else [] for w in distinct.take(pa.array(u)).to_pylist()]
+        codes[opening] = len(size) + 1 + back
         for i in np.flatnonzero(whole).tolist():
             text = column[i].as_py()
-            codes[bounds[i]: bounds[i + 1]] = nothing
-            codes[bounds[i]] = len(pieces)
-            pieces.append(self.whole(" " + text if after[i] else text) if text else b"")
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        begin = np.cumsum(size) - size
-        sizes = size[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(begin[codes] - (ends - sizes), sizes) + np.arange(total)]
-        return ids, (ends[bounds[1:] - 1] if n else np.zeros(0, np.int64))
+            codes[bounds[i]: bounds[i + 1]] = len(size)  # no ids
+            codes[bounds[i]] = len(size) + 1 + len(others)
+            others.append(self.whole(" " + text if after_space else text) if text else [])
+        sizes = np.array([0, *map(len, others)], np.int64)
+        begin = np.concatenate([begin, len(ids) + np.cumsum(sizes) - sizes])
+        size = np.concatenate([size, sizes])
+        ids = np.concatenate([ids, *[np.array(o, "<u4") for o in others]])
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 32 * BLOCK, "right")) - 1)
+            here = codes[bounds[lo]: bounds[hi]]
+            n_ids = size[here]
+            yield ids[_ragged(begin[here], n_ids)], np.add.reduceat(n_ids, bounds[lo:hi] - bounds[lo]), lo, hi
+            lo = hi
 
     def cut(self, text: str) -> list[str]:
         """A long text in parts that encode alone: each but the first goes on after a space left out."""
@@ -184,13 +216,11 @@ class Encoder:
         for lo, hi in common.chunks(column, CHUNK):
             rows = column.slice(lo, hi - lo)
             if hi - lo == 1 and (pc.binary_length(rows)[0].as_py() or 0) > 2 * CHUNK:
-                parts = self.cut(rows[0].as_py())
-                made = [self.encode(pa.array([p], pa.large_string()), np.array([k > 0]))[0] for k, p in enumerate(parts)]
-                ids = np.concatenate(made)
-                yield ids, np.array([len(ids)]), lo, hi
+                made = [x[0] for k, part in enumerate(self.cut(rows[0].as_py())) for x in self.encode(pa.array([part], pa.large_string()), k > 0)]
+                yield np.concatenate(made), np.array([sum(map(len, made))]), lo, hi
             else:
-                ids, ends = self.encode(rows)
-                yield ids, np.diff(ends, prepend=0), lo, hi
+                for ids, sizes, a, b in self.encode(rows):
+                    yield ids, sizes, lo + a, lo + b
 
 
 def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", order: list | None = None, end_id: int = 2, width: int = 2) -> DataFrame:
@@ -244,6 +274,8 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id",
             keys.close()
             for f in (keys_file, off, out):
                 f.close()
+            del encoder
+            common.release()
             yield pa.RecordBatch.from_pydict({"part": [part], "stem": [stem], "n_docs": [n_docs], "n_tokens": [at]}, schema=pa.schema([("part", pa.int64()), ("stem", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     parts = common.written(rows.mapInArrow(encode, "part long, stem string, n_docs long, n_tokens long"), "token-parts")
