@@ -1,23 +1,32 @@
 """PII surrogates by SQL functions alone: keyed, type-consistent replacements.
 
 Entities: e-mail addresses, IPv4 addresses, phone and card numbers, social
-security numbers, IBANs, long hexadecimal secrets, and persons after a title.
-Each has a canonical form without case and separators; a keyed SHA-256 of it
-yields the surrogate, so every mention of an entity, in any document or format,
-gets the same one, dressed as the mention is: separators, letter case, lengths,
-a title and its gender, the script of letters, a country code, a valid Luhn sum
-where the original has one.  Addresses get names below ``.example``, which
-nobody can own.
+security numbers, IBANs, long hexadecimal secrets, and the names of persons after
+a title.  Given and family names are entities of their own, so that "Mr Smith"
+and "Mrs Anna SMITH" stay one family; initials stay.  Each entity has a canonical
+form without case and separators; a keyed SHA-256 of it yields the surrogate, so
+every mention, in any document or format, gets the same one, dressed as the
+mention is: separators, letter case, lengths, a title and its gender (after
+titles of either gender, names in -a count as female), the script of letters, a
+country code, valid Luhn and mod 97 sums where the original has them.  Addresses
+get names below ``.example``, which nobody can own.
 
 Collision check: the distinct entities' surrogates are compared with each other
 and with all entities of the kind.  Of entities with one surrogate all but the
 first, and any whose surrogate is another real entity, are drawn again, until
-none is left; a person's name gets a syllable more each time.  Only what was drawn again (rare) is joined back to mentions;
-without any, documents are read, replaced and written without a shuffle.
+none is left.  A name gets a syllable more each time, an address more letters
+from the fourth on, numbers a digit more from the 24th on; so it ends for any
+number of entities.
+
+Entities that were drawn again, few of them, set bits of a bitmap of fixed size.
+Texts none of whose entities' bits are set are replaced where they stand; only the
+others, and just the mentions in them, are joined to the entities drawn again.
 
 Nulls: a null text stays null with no entities; an empty one stays empty.
 Texts, rows and other columns are otherwise kept as they are; repeated rows get
-equal results.
+equal results.  The count's column is named anew (``_n_entities``) if there is
+one of its name.  Very long texts are taken as others.  An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -29,8 +38,18 @@ from . import common
 
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_MALE = "Mr|Herr|Señor|Sr|Monsieur|Господин"
-_FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа"
+_MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин"]
+_FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"]
+_EITHER = ["Dr", "Prof", "Доктор"]
+
+
+def _titles(titles: list[str], *cases) -> str:
+    return "|".join(case(t) for case in cases for t in titles)
+
+
+_ANY = [*_MALE, *_FEMALE, *_EITHER]
+_NAME, _CAPITALS = r"\p{Lu}[\p{L}'’-]*\p{L}", r"\p{Lu}[\p{Lu}'’-]*\p{Lu}"
+_INITIALS = r"(?:\p{Lu}\. ?){0,2}"
 #: What each kind looks like; of kinds that match at one place the first counts.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -40,12 +59,13 @@ KINDS = {
     "card": rf"{_BEFORE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}}|\d{{13,19}}){_AFTER}",
     "secret": rf"{_BEFORE}(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{{32,128}}{_AFTER}",
     "iban": rf"{_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AFTER}",
-    "person": rf"{_BEFORE}(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "person": rf"{_BEFORE}(?:(?:{_titles(_ANY, str, str.lower)})\.? {_INITIALS}{_NAME}(?: {_NAME})?|(?:{_titles(_ANY, str.upper)})\.? {_INITIALS}{_CAPITALS}(?: {_CAPITALS})?)",
 }
 PATTERN = "|".join(KINDS.values())
+#: Bits of the bitmap of entities that were drawn again.
+BITS = 1 << 18
 _SYLLABLES = ["ba", "de", "fi", "go", "ha", "jo", "ka", "le", "mi", "no", "pe", "ra", "si", "to", "ve", "zu"]
 _CYRILLIC = ["ба", "де", "фи", "го", "ха", "йо", "ка", "ле", "ми", "но", "пе", "ра", "си", "то", "ве", "зу"]
-ROUNDS = 12
 
 
 def kind(m: Column) -> Column:
@@ -57,11 +77,29 @@ def kind(m: Column) -> Column:
     return out
 
 
-def canonical(k: Column, m: Column) -> Column:
-    """The form that mentions of one entity share."""
-    signs = F.when(k == "phone", F.regexp_replace(m, "[^0-9+]", "")).when(k.isin("card", "ssn"), F.regexp_replace(m, "[^0-9]", "")).when(k == "iban", F.regexp_replace(m, " ", ""))
-    name = F.concat(F.when(m.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m"), F.lit(" "), F.lower(F.regexp_replace(m, r"^\S+ ", "")))
-    return F.coalesce(signs, F.when(k == "person", name).otherwise(F.lower(m)))
+def _names(m: Column) -> Column:
+    """The names of a person's mention, without title and initials."""
+    return F.split(F.regexp_replace(m, rf"^\S+ {_INITIALS}", ""), " ")
+
+
+def _gender(m: Column) -> Column:
+    """Of the given name in a person's mention: f or m."""
+    title = F.lower(F.regexp_extract(m, r"^[^\s.]+", 0))
+    woman = title.isin([t.lower() for t in _FEMALE]) | title.isin([t.lower() for t in _EITHER]) & F.lower(_names(m)[0]).rlike("[aа]$|я$")
+    return F.when(woman, "f").otherwise("m")
+
+
+def parts(m: Column) -> Column:
+    """The entities of a mention: kind and canonical form, the form that mentions of one share."""
+    k = kind(m)
+    c = F.when(k == "phone", F.regexp_replace(m, "[^0-9+]", "")).when(k.isin("card", "ssn"), F.regexp_replace(m, "[^0-9]", "")).when(k == "iban", F.regexp_replace(m, " ", "")).otherwise(F.lower(m))
+
+    def entity(k, c):
+        return F.struct(k.alias("k"), c.alias("c"))
+
+    family = entity(F.lit("family"), F.lower(F.element_at(_names(m), -1)))
+    given = entity(F.lit("given"), F.concat(_gender(m), F.lit(" "), F.lower(_names(m)[0])))
+    return F.when(k != "person", F.array(entity(k, c))).when(F.size(_names(m)) > 1, F.array(family, given)).otherwise(F.array(family))
 
 
 def _stream(secret: str, *parts: Column) -> Column:
@@ -98,6 +136,14 @@ def _longer(h: Column, first: int, attempt: Column, cyrillic: Column) -> Column:
     return F.when(attempt > 0, F.when(cyrillic, spelled(_CYRILLIC)).otherwise(spelled(_SYLLABLES))).otherwise("")
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder that tells whether an IBAN is valid (then it is 1)."""
+    def step(a, c):
+        return F.when(c == "", a).when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(F.concat(F.substring(iban, 5, 99), F.substring(iban, 1, 4)), ""), F.lit(0), step)
+
+
 def key_stream(k: Column, c: Column, attempt: Column, secret: str) -> Column:
     """The keyed digits that an entity's surrogate is made from."""
     return _stream(secret, k, c, attempt.cast("string"))
@@ -106,47 +152,53 @@ def key_stream(k: Column, c: Column, attempt: Column, secret: str) -> Column:
 def surrogate(k: Column, c: Column, attempt: Column, h: Column, secret: str) -> Column:
     """The canonical form of an entity's surrogate; ``h`` is its ``key_stream``."""
     d = _digits(h)
+    more = F.when(attempt >= 24, F.substring(F.reverse(d), 1, 40).substr(F.lit(1), attempt - 23)).otherwise("")
     octets = [F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("int") for i in range(4)]
     ip = F.concat_ws(".", (octets[0] % 223 + 1).cast("string"), *[o.cast("string") for o in octets[1:3]], (octets[3] % 254 + 1).cast("string"))
+    ip = F.concat(ip, F.when(attempt >= 24, F.concat(F.lit("."), more)).otherwise(""))
     body = d.substr(F.lit(1), F.length(c) - 1)
     check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(body, x.cast("string"))), lambda x: F.call_function("luhn_check", x)), 1)
-    card = F.when(F.call_function("luhn_check", c), check).otherwise(F.concat(body, F.substring(d, 64, 1)))
+    card = F.concat(F.when(F.call_function("luhn_check", c), check).otherwise(F.concat(body, F.substring(d, 64, 1))), more)
     plus = c.startswith("+")
     area = (F.conv(F.substring(h, 60, 1), 16, 10).cast("int") % 8 + 2).cast("string")
     phone = F.when(plus, F.concat(F.substring(c, 1, 2), area, d.substr(F.lit(1), F.length(c) - 3))).otherwise(F.concat(area, d.substr(F.lit(1), F.length(c) - 1)))
     local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
     host = _spelled(F.regexp_replace(domain, r"\.[^.]*$", ""), _stream(secret, F.lit("domain"), domain))
-    more = F.when(attempt >= 4, F.substring(h, 50, 8)).otherwise("")
-    email = F.concat(_spelled(local, h), more, F.lit("@"), host, F.lit(".example"))
+    email = F.concat(_spelled(local, h), F.when(attempt >= 4, F.substring(h, 50, 8)).otherwise(""), F.lit("@"), host, F.lit(".example"))
     long = F.concat(h, _stream(secret, h)).substr(F.lit(1), F.length(c))
-    iban = F.concat(F.substring(c, 1, 2), F.upper(_spelled(F.lower(F.substring(c, 3, 99)), h)))
-    sex, names = F.substring(c, 1, 1), F.split(F.substring(c, 3, 9999), " ")
+    account = F.upper(_spelled(F.lower(F.substring(c, 5, 99)), h))
+    digits = F.lpad((98 - _mod97(F.concat(F.substring(c, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(c, 1, 2), F.when(_mod97(c) == 1, digits).otherwise(F.substring(d, 61, 2)), account, more)
     script = c.rlike(r"\p{IsCyrillic}")
-    family_h = _stream(secret, F.lit("family"), F.element_at(names, -1), F.when(F.size(names) == 1, attempt.cast("string")).otherwise("0"))
-    family = F.concat(_syllables(family_h, 1, 3, script), F.when(F.size(names) == 1, _longer(family_h, 4, attempt, script)).otherwise(""))
-    ending = F.when(script, F.when(sex == "f", "на").otherwise("н")).otherwise(F.when(sex == "f", "na").otherwise("n"))
-    given = F.concat(_syllables(h, 1, 3, script), _longer(h, 4, attempt, script), ending)
-    person = F.concat(sex, F.lit(" "), F.when(F.size(names) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
-    return F.when(k == "ip", ip).when(k == "card", card).when(k == "phone", phone).when(k == "ssn", d.substr(F.lit(1), F.lit(9))).when(k == "email", email).when(k == "secret", long).when(k == "iban", iban).otherwise(person)
+    family = F.concat(_syllables(h, 1, 3, script), _longer(h, 4, attempt, script))
+    ending = F.when(script, F.when(c.startswith("f"), "на").otherwise("н")).otherwise(F.when(c.startswith("f"), "na").otherwise("n"))
+    given = F.concat(F.substring(c, 1, 2), family, ending)
+    ssn = F.concat(d.substr(F.lit(1), F.lit(9)), more)
+    return F.when(k == "ip", ip).when(k == "card", card).when(k == "phone", F.concat(phone, more)).when(k == "ssn", ssn).when(k == "email", email).when(k == "secret", long).when(k == "iban", iban).when(k == "given", given).otherwise(family)
 
 
-def dressed(k: Column, m: Column, s: Column) -> Column:
-    """A canonical surrogate in the format of a mention."""
+def dressed(m: Column, k: Column, s: Column, given: Column) -> Column:
+    """Canonical surrogates in the format of a mention; ``given`` is a person's given name's, or null."""
     def sign(c, i):
         before = F.length(F.regexp_replace(m.substr(F.lit(1), i), "[^0-9A-Z+]", ""))
         return F.when(c.rlike("[0-9A-Z+]"), s.substr(before + 1, F.lit(1))).otherwise(c)
 
     filled = F.array_join(F.transform(F.split(m, ""), sign), "")
+    filled = F.concat(filled, s.substr(F.length(F.regexp_replace(m, "[^0-9A-Z+]", "")) + 1, F.length(s)))
     cased = F.when((F.upper(m) == m) & (F.lower(m) != m), F.upper(s)).otherwise(s)
-    person = F.concat(F.substring_index(m, " ", 1), F.lit(" "), F.initcap(F.substring(s, 3, 9999)))
-    return F.when(k.isin("phone", "card", "ssn", "iban"), filled).when(k == "person", person).otherwise(cased)
+
+    def named(name, was):
+        return F.when((F.upper(was) == was) & (F.length(was) > 1), F.upper(name)).otherwise(F.initcap(name))
+
+    before = F.regexp_extract(m, rf"^\S+ {_INITIALS}", 0)
+    person = F.concat(before, F.coalesce(F.concat(named(F.substring(given, 3, 9999), _names(m)[0]), F.lit(" ")), F.lit("")), named(s, F.element_at(_names(m), -1)))
+    return F.when(k == "family", person).when(k.isin("phone", "card", "ssn", "iban"), filled).otherwise(cased)
 
 
 def entities(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The distinct entities of the texts: kind, canonical."""
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(docs[text], F.lit(PATTERN), F.lit(0)))).alias("m"))
-    found = found.select(kind(F.col("m")).alias("kind"), "m")
-    return found.select("kind", canonical(F.col("kind"), F.col("m")).alias("canonical")).distinct()
+    return found.select(F.explode(parts(F.col("m"))).alias("e")).select(F.col("e.k").alias("kind"), F.col("e.c").alias("canonical")).distinct()
 
 
 def assign(found: DataFrame, secret: str) -> DataFrame:
@@ -157,7 +209,7 @@ def assign(found: DataFrame, secret: str) -> DataFrame:
         return common.written(rows.withColumn("surrogate", surrogate(*args, F.col("h"), secret)).drop("h"), "entities")
 
     now = drawn(found.withColumn("attempt", F.lit(0)))
-    for _ in range(ROUNDS):
+    while True:
         shared = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n")).where("n > 1")
         losers = now.join(shared, ["kind", "surrogate"]).where(F.col("canonical") != F.col("first.canonical")).select("kind", "canonical")
         real = now.select("kind", F.col("canonical").alias("surrogate"))
@@ -166,30 +218,53 @@ def assign(found: DataFrame, secret: str) -> DataFrame:
             return now
         again = now.join(losers.withColumn("lost", F.lit(1)), ["kind", "canonical"], "left")
         now = drawn(again.select("kind", "canonical", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt")))
-    raise RuntimeError("an entity kind has too few surrogates for its entities")
+
+
+def _bit(k: Column, c: Column) -> Column:
+    return F.pmod(F.xxhash64(k, c), F.lit(BITS))
+
+
+def _bitmap(drawn: DataFrame) -> Column:
+    """The bits of entities in an array of longs: a constant of ``BITS / 8`` bytes, whatever the number of entities."""
+    bit = _bit(F.col("kind"), F.col("canonical"))
+    words = drawn.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b")).collect()
+    held = [0] * (BITS // 64)
+    for r in words:
+        held[r["w"]] = r["b"]
+    return F.from_json(F.lit(str(held)), "array<long>")
 
 
 def replace(docs: DataFrame, *, secret: str = "surrogates", text: str = "text", count_col: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates for the entities in its texts, and their number."""
+    found, again, row = (common.free_name(docs, x) for x in ("found_", "again_", "row_"))
+    count_col = common.free_name(docs, count_col)
     drawn = common.written(assign(entities(docs, text=text), secret).where("attempt > 0").select("kind", "canonical", "attempt"), "redrawn")
-    rows = docs
-    found, attempts = common.free_name(docs, "found_"), common.free_name(docs, "attempts_")
-    matches = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
+    # an array in an array, so that matches are made once and not again for each use
+    rows = docs.select("*", F.explode(F.array(F.regexp_extract_all(docs[text], F.lit(PATTERN), F.lit(0)))).alias(found))
+
+    def replaced(rows: DataFrame, attempt) -> DataFrame:
+        # step by step, so that each step's value is made once for each mention
+        steps = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.transform(parts(m), lambda e, j: F.struct(e.k.alias("k"), e.c.alias("c"), attempt(i, j).alias("a"))).alias("p")))
+        steps = F.transform(steps, lambda x: F.struct(x.m.alias("m"), F.transform(x.p, lambda e: F.struct(e.k.alias("k"), e.c.alias("c"), e.a.alias("a"), key_stream(e.k, e.c, e.a, secret).alias("h"))).alias("p")))
+        steps = F.transform(steps, lambda x: F.struct(x.m.alias("m"), F.transform(x.p, lambda e: F.struct(e.k.alias("k"), surrogate(e.k, e.c, e.a, e.h, secret).alias("s"))).alias("p")))
+        made = F.transform(steps, lambda x: dressed(x.m, x.p[0].k, x.p[0].s, F.try_element_at(x.p, F.lit(2)).s))
+        whole = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        out = F.when(F.size(found) > 0, whole).otherwise(F.col(text)).alias(text)
+        count = F.coalesce(F.greatest(F.size(found), F.lit(0)), F.lit(0)).alias(count_col)
+        return rows.select(*[out if c == text else F.col(f"`{c}`") for c in docs.columns], count)
+
     if drawn.isEmpty():
-        rows = rows.withColumn(found, matches).withColumn(attempts, F.transform(found, lambda m: F.lit(0)))
-    else:
-        row = common.free_name(docs, "row_")
-        rows = common.written(rows.withColumn(found, matches).withColumn(row, F.monotonically_increasing_id()), "mentions")
-        each = rows.select(row, F.posexplode(found).alias("at", "m")).withColumn("kind", kind(F.col("m"))).withColumn("canonical", canonical(F.col("kind"), F.col("m")))
-        each = each.join(drawn, ["kind", "canonical"], "left").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("attempt", F.lit(0)).alias("attempt")))).alias("a"))
-        rows = rows.join(each.select(row, F.col("a.attempt").alias(attempts)), row, "left").drop(row)
-
-    # step by step, so that each step's value is made once for each mention
-    steps = F.zip_with(found, attempts, lambda m, a: F.struct(m.alias("m"), a.alias("a"), kind(m).alias("k")))
-    steps = F.transform(steps, lambda x: F.struct(x.m.alias("m"), x.a.alias("a"), x.k.alias("k"), canonical(x.k, x.m).alias("c")))
-    steps = F.transform(steps, lambda x: F.struct(x.m.alias("m"), x.a.alias("a"), x.k.alias("k"), x.c.alias("c"), key_stream(x.k, x.c, x.a, secret).alias("h")))
-    steps = F.transform(steps, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), surrogate(x.k, x.c, x.a, x.h, secret).alias("s")))
-    made = F.concat(F.transform(steps, lambda x: dressed(x.k, x.m, x.s)), F.array(F.lit("")))
-    whole = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), made, lambda a, b: F.concat(a, b)), "")
-    out = F.when(F.size(found) > 0, whole).otherwise(F.col(text))
-    return rows.withColumn(text, out).withColumn(count_col, F.greatest(F.size(found), F.lit(0))).drop(found, attempts)
+        return replaced(rows, lambda i, j: F.lit(0))
+    bits = _bitmap(drawn)
+
+    def marked(e):
+        bit = _bit(e.k, e.c)
+        return F.getbit(F.element_at(bits, (F.shiftright(bit, 6) + 1).cast("int")), (bit % 64).cast("int")) == 1
+
+    may = F.coalesce(F.exists(F.flatten(F.transform(found, parts)), marked), F.lit(False))
+    some = common.written(rows.where(may).withColumn(row, F.monotonically_increasing_id()), "mentions")
+    each = some.select(row, F.posexplode(found).alias("i", "m")).select(row, "i", F.posexplode(parts(F.col("m"))).alias("j", "e"))
+    each = each.select(row, (F.col("i") * 2 + F.col("j")).alias("at"), F.col("e.k").alias("kind"), F.col("e.c").alias("canonical")).join(drawn, ["kind", "canonical"])
+    attempts = each.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(again))
+    some = some.join(attempts, row, "left")
+    return replaced(rows.where(~may), lambda i, j: F.lit(0)).unionByName(replaced(some, lambda i, j: F.coalesce(F.try_element_at(F.col(again), i * 2 + j), F.lit(0))))

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,19 +119,84 @@ def test_surrogates_collide_and_are_drawn_again(spark):
 
 
 def test_surrogates_of_many_surnames(spark):
-    # more than 16 ** 3 of each sex and script
-    names = ["".join("abcdefghijklmnop"[i >> k & 15] for k in (0, 4, 8, 12)) for i in range(6000)]
-    texts = [" ".join(f"{title} {n.capitalize()}," for n in names) for title in ("Mr", "Ms")]
+    # more than 16 ** 3 of a script; a name is the same family's after any title
+    names = ["".join("abcdefghijklmnop"[i >> k & 15] for k in (0, 4, 8, 12)) for i in range(20_000)]
+    texts = [" ".join(f"{title} {n.capitalize()}," for n in names) for title in ("Mr", "Ms")] + ["Mr Zzz alone"]
     found = surrogates.assign(surrogates.entities(table(spark, texts)), "k")
-    assert found.count() == found.select("surrogate").distinct().count() == 12_000
-    for r, t in zip(surrogates.replace(table(spark, texts)).orderBy("doc_id").collect(), texts):
+    assert found.count() == found.select("surrogate").distinct().count() == 20_001
+    rows = surrogates.replace(table(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(rows[:2], texts):
         out = r["text"].replace(",", "").split()
-        assert out[::2] == t.split()[::2] and len(set(out[1::2])) == 6000 and r["n_entities"] == 6000
+        assert out[::2] == t.split()[::2] and len(set(out[1::2])) == 20_000 and r["n_entities"] == 20_000
+    assert rows[0]["text"].replace("Mr ", "Ms ") == rows[1]["text"] and rows[2]["n_entities"] == 1
+
+
+def plain_surrogates(text, of):
+    """Brute force: each match replaced by what ``of`` has for its entities."""
+    def one(m):
+        m = m.group()
+        if "@" in m:
+            s = of["email", m.lower()]
+            return s.upper() if m.isupper() else s
+        if regex.fullmatch(r"[0-9a-fA-F]{32,}", m):
+            s = of["secret", m.lower()]
+            return s.upper() if m.isupper() else s
+        if regex.fullmatch(r"[0-9.]+", m) and "." in m:
+            return of["ip", m]
+        for kind, shape, kept in (("iban", r"[A-Z]{2}\d\d.*", r"[0-9A-Z]"), ("phone", r"[+(].*", r"[0-9+]"), ("ssn", r"\d{3}-\d{2}-\d{4}", r"\d"), ("card", r"[\d -]{13,}", r"\d")):
+            if regex.fullmatch(shape, m):
+                s = iter(of[kind, "".join(regex.findall(kept, m))])
+                return "".join(next(s) if regex.match(kept, c) else c for c in m)
+        head = regex.match(r"\S+ (?:\p{Lu}\. ?){0,2}", m).group()
+        names = m[len(head):].split(" ")
+        title = regex.match(r"[^\s.]+", m).group().lower()
+        woman = title in {"mrs", "ms", "miss", "frau", "señora", "sra", "madame", "mme", "госпожа"} or title in {"dr", "prof", "доктор"} and names[0].lower()[-1] in "aая"
+        out = [of["family", names[-1].lower()]]
+        if len(names) > 1:
+            out.insert(0, of["given", ("f " if woman else "m ") + names[0].lower()][2:])
+        return head + " ".join(s.upper() if n.isupper() else s.capitalize() for s, n in zip(out, names))
+
+    return regex.sub(surrogates.PATTERN, one, text)
+
+
+def test_surrogates_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    people = ["Dr. Anna Jones", "Mrs Anna JONES", "MR. JOHN SMITH", "mr John Smith", "Mr. J. Smith", "Prof Jean-Luc O'Neil", "Frau Weiß", "Доктор Иван Петров", "MS Word"]
+    ibans = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00370400440532013000"]
+    others = ["a@b.org", "B@b.org", "C@B.ORG", "10.1.2.3", "192.168.0.1", "123-45-6789", "4111 1111 1111 1111", "+1 (743) 555-3824", "0123456789abcdef0123456789ABCDEF"]
+    texts = [" ".join(rng.choice(people + ibans + others + [f"{c}@b.org" for c in "abcdefghijklmnopqrstuvwxyz"] + ["and", "the,"], 40)) for _ in range(12)] + ["clean", None, ""]
+    docs = table(spark, texts)
+    found = surrogates.assign(surrogates.entities(docs), "surrogates").collect()
+    of = {(r["kind"], r["canonical"]): r["surrogate"] for r in found}
+    assert len({(r["kind"], r["surrogate"]) for r in found}) == len(found) and not {(k, s) for (k, _), s in of.items()} & set(of)
+    assert any(r["attempt"] for r in found)
+    for r in surrogates.replace(docs).collect():
+        t = texts[r["doc_id"]]
+        assert r["text"] == (t and plain_surrogates(t, of)) and r["n_entities"] == len(regex.findall(surrogates.PATTERN, t or ""))
+    for iban in ibans:
+        c = iban.replace(" ", "")
+        s = of["iban", c]
+        valid = [int("".join(str(int(x, 36)) for x in n[4:] + n[:4])) % 97 == 1 for n in (c, s)]
+        assert valid[0] == valid[1] and s[:2] == c[:2] and len(s) == len(c)
 
 
 def test_surrogates_run_no_python(spark):
     plan = surrogates.replace(table(spark, ["a@b.org"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    plan = surrogates.replace(table(spark, [" ".join(f"{c}@b.org" for c in "abcdefghijklmnopqrstuvwxyz")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_surrogates_of_odd_tables(spark):
+    docs = table(spark, ["write to a@b.org", None]).withColumn("n_entities", F.lit("mine")).withColumn("Found_", F.lit(1))
+    got = surrogates.replace(docs)
+    assert got.columns == docs.columns + ["_n_entities"]
+    rows = got.orderBy("doc_id").collect()
+    assert [r["n_entities"] for r in rows] == ["mine", "mine"] and [r["_n_entities"] for r in rows] == [1, 0]
+    assert surrogates.replace(docs.limit(0)).collect() == []
+    long = "x " * 300_000 + "a@b.org"
+    a, b = surrogates.replace(table(spark, [long, long])).collect()
+    assert a["text"] == b["text"] != long and a["text"][:600_000] == long[:600_000]
 
 
 # 3: simhash
