@@ -23,6 +23,7 @@ texts are encoded in parts that are cut where the tokenizer starts anew.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pre-tokens that an encoder keeps the ids of; then it starts anew.
-CACHE = 50_000
+#: Pre-tokens that an encoder keeps the ids of, or so: the first, which the frequent are among.
+CACHE = 300_000
 #: Bytes of text that are worked on at a time; longer texts are cut.
 CHUNK = 8 << 20
 #: Pieces that are Python strings at a time.
-BLOCK = 1 << 13
+BLOCK = 1 << 14
 
 
 def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -48,6 +49,11 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - before, size) + np.arange(int(size.sum()))
 
 
+def _joined(words: pa.Array) -> str:
+    """Words with a space between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
+
 class Encoder:
     """Ids of texts, by the tokenizers library.
 
@@ -85,23 +91,18 @@ class Encoder:
         #: A character that isn't surely classed alike everywhere, or white space at the start.
         self.odd = "^\n|[^\\x21-\\x7E\nÀ-ÖØ-öø-ſ]"
         self.shown = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(0x180)}
-        self._empty()
-
-    def _empty(self) -> None:
-        """Pre-tokens' numbers, and by number the place and the number of their ids in ``flat``."""
+        # the place and the number of pre-tokens' ids in ``flat``, by number
         self.index: dict[str, int] = {}
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _numbers(self, found: list[str]) -> np.ndarray:
-        """The numbers of pre-tokens; those not met before go to the model."""
-        if len(self.index) >= CACHE:
-            self._empty()
-        get = self.index.get
-        out = np.array([get(t, -1) for t in found], np.int64)
-        at = np.flatnonzero(out < 0).tolist()
+    def _ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens one after the other, and how many each has; those not kept go to the model."""
+        get, begin, size, flat = self.index.get, self.begin, self.size, self.flat
+        number = np.array([get(t, -1) for t in found], np.int64)
+        at = np.flatnonzero(number < 0).tolist()
         if at:
             new = list(dict.fromkeys([found[i] for i in at]))
             new.sort(key=str.isascii)
@@ -110,13 +111,16 @@ class Encoder:
             if k < len(new):
                 mapped += "\0".join(new[k:]).replace(" ", self.space).replace("\n", self.letters[0x0A]).split("\0")
             made = [*map(self.model.tokenize, mapped)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
+            n = np.fromiter(map(len, made), np.int64, len(made))
             ids = np.array([x.id for m in made for x in m], "<u4")
-            self.index.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
-            out[at] = [get(found[i]) for i in at]
-        return out
+            numbers = dict(zip(new, range(len(size), len(size) + len(new))))
+            number[at] = [numbers[found[i]] for i in at]
+            begin, size, flat = np.concatenate([begin, len(flat) + np.cumsum(n) - n]), np.concatenate([size, n]), np.concatenate([flat, ids])
+            if len(self.index) < CACHE:
+                self.index.update(numbers)
+                self.begin, self.size, self.flat = begin, size, flat
+        n = size[number]
+        return flat[_ragged(begin[number], n)], n
 
     def _pieces(self, distinct: pa.Array):
         """(ids, begin, size, uncut) of distinct pieces with a space before each; ``uncut``: it can't be cut off before that space."""
@@ -124,25 +128,24 @@ class Encoder:
         # some at a time, for they become Python strings
         for lo in range(0, len(distinct), BLOCK):
             some = distinct.slice(lo, BLOCK)
-            words = some.to_pylist()
             odd = pc.match_substring_regex(some, self.odd).to_numpy(zero_copy_only=False)
-            plain = np.flatnonzero(~odd & (pc.binary_length(some).to_numpy(zero_copy_only=False) > 0))
-            b, n, u = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-            if len(plain):
-                found = self.pattern.findall(" " + " ".join([words[i] for i in plain.tolist()]))
-                number = self._numbers(found)
+            plain = ~odd & (pc.binary_length(some).to_numpy(zero_copy_only=False) > 0)
+            b, n, u = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), np.zeros(len(some), bool)
+            if plain.any():
+                words = some.filter(pa.array(plain))
+                found = self.pattern.findall(" " + _joined(words))
+                made, k = self._ids(found)
+                ids.append(made)
                 # each of these pieces starts with the only space in it
-                starts = np.flatnonzero(np.array([t[0] == " " for t in found]))
-                k = self.size[number]
-                ids.append(self.flat[_ragged(self.begin[number], k)])
-                n[plain] = np.add.reduceat(k, starts)
+                n[plain] = np.add.reduceat(k, np.flatnonzero([t[0] == " " for t in found]))
                 b[plain] = total + np.cumsum(n[plain]) - n[plain]
-                total += len(ids[-1])
+                total += len(made)
             for i in np.flatnonzero(odd).tolist():
-                if words[i][0].isspace():
+                word = some[i].as_py()
+                if word[0].isspace():
                     u[i] = True
                 else:
-                    ids.append(np.array(self.whole(" " + words[i]), "<u4"))
+                    ids.append(np.array(self.whole(" " + word), "<u4"))
                     b[i], n[i] = total, len(ids[-1])
                     total += len(ids[-1])
             begin.append(b)
@@ -190,7 +193,7 @@ class Encoder:
         ids = np.concatenate([ids, *[np.array(o, "<u4") for o in others]])
         lo = 0
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 32 * BLOCK, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 8 * BLOCK, "right")) - 1)
             here = codes[bounds[lo]: bounds[hi]]
             n_ids = size[here]
             yield ids[_ragged(begin[here], n_ids)], np.add.reduceat(n_ids, bounds[lo:hi] - bounds[lo]), lo, hi
@@ -214,15 +217,21 @@ class Encoder:
     def chunked(self, column: pa.Array):
         """(ids, number of ids of each row, first row, end) of runs of rows."""
         for lo, hi in common.chunks(column, CHUNK):
-            rows = column.slice(lo, hi - lo)
+            rows = column.slice(lo, hi - lo).cast(pa.string())
             if hi - lo == 1 and (pc.binary_length(rows)[0].as_py() or 0) > 2 * CHUNK:
-                made = [x[0] for k, part in enumerate(self.cut(rows[0].as_py())) for x in self.encode(pa.array([part], pa.large_string()), k > 0)]
+                made = [x[0] for k, part in enumerate(self.cut(rows[0].as_py())) for x in self.encode(pa.array([part]), k > 0)]
                 yield np.concatenate(made), np.array([sum(map(len, made))]), lo, hi
             else:
                 for ids, sizes, a, b in self.encode(rows):
                     yield ids, sizes, lo + a, lo + b
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a vocabulary; Python workers run many tasks."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", order: list | None = None, end_id: int = 2, width: int = 2) -> DataFrame:
     """Encode ``docs`` and write the files to ``out_dir``; returns the manifest.
 
@@ -244,7 +253,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id",
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         fs, folder = common.filesystem(out_dir)
         stem = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs.create_dir(folder, recursive=True)
@@ -258,7 +267,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id",
                 off.write(np.array([0], "<i8").tobytes())
                 keys_file = fs.open_output_stream(f"{folder}/{stem}.doc")
                 keys = pa.ipc.new_stream(keys_file, pa.schema([("key", batch.schema.field("key").type)]))
-            for ids, sizes, lo, hi in encoder.chunked(batch.column("text")):
+            for ids, sizes, lo, hi in coder.chunked(batch.column("text")):
                 if width == 2 and ids.size and ids.max() > 0xFFFF:
                     raise ValueError("an id doesn't fit 2 bytes; use width=4")
                 # each row's ids, and the end id behind them
@@ -274,7 +283,6 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, *, key: str = "doc_id",
             keys.close()
             for f in (keys_file, off, out):
                 f.close()
-            del encoder
             common.release()
             yield pa.RecordBatch.from_pydict({"part": [part], "stem": [stem], "n_docs": [n_docs], "n_tokens": [at]}, schema=pa.schema([("part", pa.int64()), ("stem", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
