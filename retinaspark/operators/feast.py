@@ -85,8 +85,8 @@ class FEAST:
                     else:
                         w[b, k] = (1 - model.eta) * w[b, k] + model.eta * v
                         w[b, k] /= np.linalg.norm(w[b, k])
-                        th[b, k] -= model.delta_i
-            return pd.DataFrame([{"w": w.ravel().tolist(), "th": th.ravel().tolist(), "missed": missed / seen if seen else float("nan")}])
+                        th[b, k] = max(th[b, k] - model.delta_i, 0.0)
+            return pd.DataFrame([{"w": w.ravel().tolist(), "th": th.ravel().tolist(), "missed": missed / seen if seen else 0.0}])
 
         row = s.df.select("x", "y", "t", "p", "seq").groupBy(F.lit("all")).applyInPandas(learn, "w array<double>, th array<double>, missed double").first()
         if row is not None:

@@ -33,10 +33,64 @@ def latest_around(s: EventStream, offsets, by_polarity: bool = False) -> DataFra
 
 
 def background_activity_filter(s: EventStream, dt: int, neighbourhood: str = "block") -> EventStream:
-    """Keep an event if a neighbouring pixel, not its own, had one at most ``dt`` before."""
+    """Keep an event if a neighbouring pixel, not its own, had one at most ``dt`` before.
+
+    Questions go to their neighbours with ``seq`` and ``t`` alone; those with a
+    good answer meet the events again in one aggregation.
+    """
     offsets = {"block": BLOCK, "cross": CROSS}[neighbourhood]
-    near = latest_around(s, offsets).where(F.col("t") - F.col("last_t") <= F.lit(int(dt)))
-    return s.with_(s.df.join(near.select(*s.keys, "seq").distinct(), [*s.keys, "seq"], "left_semi").select(*s.columns))
+    w, h = s.sensor_size
+    rest = [c for c in s.columns if c not in ("t", "seq", *s.keys)]
+    seen = s.df.select(*s.keys, "seq", "t", F.col("x").alias("cx"), F.col("y").alias("cy"), F.struct(*rest).alias("own"))
+    around = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in offsets]))
+    asked = s.df.select(*s.keys, "seq", "t", around.alias("o")).where((F.col("o.x") >= 0) & (F.col("o.x") < w) & (F.col("o.y") >= 0) & (F.col("o.y") < h))
+    asked = asked.select(*s.keys, "seq", "t", F.col("o.x").alias("cx"), F.col("o.y").alias("cy"), F.lit(None).cast(seen.schema["own"].dataType).alias("own"))
+    before = Window.partitionBy(*s.keys, "cx", "cy").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    told = seen.unionByName(asked).withColumn("last_t", F.last(F.when(F.col("own").isNotNull(), F.col("t")), ignorenulls=True).over(before))
+    near = F.col("own").isNull() & (F.col("t") - F.col("last_t") <= F.lit(int(dt)))
+    told = told.select(*s.keys, "seq", "t", "own", near.alias("near")).where(F.col("near") | F.col("own").isNotNull())
+    kept = told.groupBy(*s.keys, "seq", "t").agg(F.max("own").alias("own"), F.max("near").alias("near")).where("near")
+    return s.with_(kept.select(*[F.col(f"own.{c}").alias(c) if c in rest else F.col(c) for c in s.columns]))
+
+
+def kept_apart(ts: np.ndarray, new: np.ndarray, dt: int, last: int | None = None) -> np.ndarray:
+    """Which times are ``dt`` or more after the last kept one before them; ``new``: a pixel's first.
+
+    ``last``: the time kept last by the first pixel, before these.  A time that
+    far behind the one before it is kept in any case and starts a run; all runs
+    go from one kept time to the next together.
+    """
+    n = len(ts)
+    gap = np.diff(ts, prepend=ts[:1])
+    if (gap[~new] < 0).any():
+        keep, held = np.zeros(n, bool), last
+        for i in range(n):
+            if new[i]:
+                held = None
+            if held is None or ts[i] - held >= dt:
+                keep[i], held = True, int(ts[i])
+        return keep
+    head = new | (gap >= dt)
+    head[0] = new[0] or last is None
+    run = np.cumsum(head)
+    # times of all runs on one line, runs far apart
+    line = (ts - ts.min()) + run * (int(ts.max() - ts.min()) + int(dt) + 1)
+    ends = np.append(np.flatnonzero(np.diff(run)) + 1, n)
+    end_of = dict(zip(run[ends - 1].tolist(), ends.tolist()))
+    now = np.flatnonzero(head)
+    stop = np.array([end_of[k] for k in run[now].tolist()], np.int64)
+    keep = np.zeros(n, bool)
+    keep[now] = True
+    if not head[0]:
+        first = int(np.searchsorted(line[: ends[0]], line[0] + (last - ts[0]) + dt))
+        if first < ends[0]:
+            keep[first], now, stop = True, np.append(now, first), np.append(stop, ends[0])
+    while len(now):
+        then = np.maximum(np.searchsorted(line, line[now] + dt), now + 1)
+        go = then < stop
+        now, stop = then[go], stop[go]
+        keep[now] = True
+    return keep
 
 
 def refractory_filter(s: EventStream, dt: int, refresh: str = "kept") -> EventStream:
@@ -53,13 +107,19 @@ def refractory_filter(s: EventStream, dt: int, refresh: str = "kept") -> EventSt
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a pixel's events may go on in the next batch, so what was kept last is carried over
-        held, last = None, 0
+        held, last = None, None
         for pdf in parts:
-            keep = np.zeros(len(pdf), bool)
+            if not len(pdf):
+                continue
+            values = [pdf[k].to_numpy() for k in cells]
+            new = np.ones(len(pdf), bool)
+            new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+            new[0] = held is None or any(v[0] != h for v, h in zip(values, held))
             ts = pdf["t"].to_numpy()
-            for i, c in enumerate(zip(*(pdf[k].tolist() for k in cells))):
-                if c != held or ts[i] - last >= dt:
-                    keep[i], held, last = True, c, ts[i]
+            keep = kept_apart(ts, new, dt, None if new[0] else last)
+            held, tail = [v[-1] for v in values], np.flatnonzero(keep)
+            start = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            last = int(ts[tail[-1]]) if len(tail) and tail[-1] >= start else last
             yield pdf[keep]
 
     ordered = s.df.select(*s.columns).repartition(*cells).sortWithinPartitions(*cells, "seq")

@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import Camera
 from ..stream import EventStream
-from .represent import Frame, _frame
+from .represent import Frame, _frame, register
 
-#: When a flow is full, when its direction alone is known, when there is none.
-FULL_DET, COHERENT, NO_TRACE = 1e-3, 0.35, 1e-12
+# When a flow is full, when its direction alone is known, when there is none; the largest exponent of "soe".
+FULL_DET, COHERENT, NO_TRACE, MOST_EXPONENT = 1e-3, 0.35, 1e-12, 32.0
+# The blur before each objective.
+BLUR = {"variance": 1.0, "sos": 1.0, "soe": 2.5}
 
 
 def optical_flow(s: EventStream, window: int = 3) -> Frame:
-    """Pixels per millisecond by least squares on the surface of latest times."""
+    """Pixels per millisecond by least squares on the surface of latest times.
+
+    Where gradients have one direction only, the flow is along their mean, if
+    they agree: |sum|^2 is at least ``COHERENT`` of n times the sum of squares.
+    """
+    if window < 1:
+        raise ValueError("window must be at least 1")
     keys = list(s.keys)
     surface = s.df.groupBy(*keys, "y", "x").agg((F.max("t") * F.lit(s.meta.scale_ms)).alias("v"))
 
@@ -36,8 +44,7 @@ def optical_flow(s: EventStream, window: int = 3) -> Frame:
     tr, det = a + c, a * c - b * b
     # the plane t = gx x + gy y moves by one pixel each gradient milliseconds
     full = det > F.lit(FULL_DET) * tr * tr
-    split = F.sqrt((a - c) * (a - c) + 4 * b * b)
-    coherent = split / tr >= F.lit(COHERENT)
+    coherent = (u * u + w * w) / (n * tr) >= F.lit(COHERENT)
     mx, my = u / n, w / n
     norm = F.nullif(mx * mx + my * my, F.lit(0.0))
     fx = F.when(full, (c * u - b * w) / F.nullif(det, F.lit(0.0))).when(coherent, mx / norm)
@@ -110,7 +117,7 @@ def contrast(image: np.ndarray, objective: str) -> float:
     if objective == "sos":
         return float((image * image).mean())
     if objective == "soe":
-        return float(np.exp(np.minimum(image, 50)).mean())
+        return float(np.exp(np.minimum(image, MOST_EXPONENT)).mean())
     raise ValueError("objective is 'variance', 'sos' or 'soe'")
 
 
@@ -149,11 +156,13 @@ def nelder_mead(f, start, step: float, iterations: int, tolerance: float):
     return points[k], values[k], iterations
 
 
-def contrast_maximise(s: EventStream, model: str = "translation", objective: str = "variance", camera: Camera | None = None, blur_sigma: float = 1.0, initial=None, initial_step: float = 50.0, max_iterations: int = 200, tolerance: float = 1e-3, time_reference: str = "midpoint") -> DataFrame:
+def contrast_maximise(s: EventStream, model: str = "translation", objective: str = "variance", camera: Camera | None = None, blur_sigma: float | None = None, initial=None, initial_step: float = 50.0, max_iterations: int = 200, tolerance: float = 1e-3, time_reference: str = "midpoint") -> DataFrame:
     """params, score, score_at_rest, improvement, iterations of each slice: one optimiser a slice, slices in parallel.
 
-    A slice is a group, so it has to be a window of a recording, not all of it.
+    ``blur_sigma``: 1, or 2.5 for "soe", if not given.  A slice is a group, so it
+    has to be a window of a recording, not all of it.
     """
+    blur = BLUR.get(objective, 1.0) if blur_sigma is None else blur_sigma
     keys = list(s.keys)
     n = 2 if model == "translation" else 3
     shape, unit = (s.meta.height, s.meta.width), s.meta.scale_ms / 1000.0
@@ -165,13 +174,16 @@ def contrast_maximise(s: EventStream, model: str = "translation", objective: str
         x, y, dt = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), (t - ref) * unit
 
         def score(p):
-            return contrast(gaussian_blur(_image(x, y, dt, p, model, camera, shape), blur_sigma), objective)
+            return contrast(gaussian_blur(_image(x, y, dt, p, model, camera, shape), blur), objective)
 
         best, value, its = nelder_mead(lambda p: -score(p), start, initial_step, max_iterations, tolerance)
         rest = score([0.0] * n)
-        row = {k: pdf[k].iloc[0] for k in keys} | {"params": [float(v) for v in best], "score": -value, "score_at_rest": rest, "improvement": -value / rest if rest else float("nan"), "iterations": its}
+        row = {k: pdf[k].iloc[0] for k in keys} | {"params": [float(v) for v in best], "score": -value, "score_at_rest": rest, "improvement": -value / rest if rest else 1.0, "iterations": its}
         return pd.DataFrame([row])
 
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in s.df.select(*keys).schema) if keys else ""
     grouped = s.df.groupBy(*keys) if keys else s.df.groupBy(F.lit("all"))
     return grouped.applyInPandas(run, head + "params array<double>, score double, score_at_rest double, improvement double, iterations int")
+
+
+register("flow", optical_flow)

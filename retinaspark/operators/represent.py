@@ -42,6 +42,15 @@ def _with_bounds(s: EventStream) -> DataFrame:
     return s.df.join(F.broadcast(bounds), list(s.keys)) if s.keys else s.df.join(F.broadcast(bounds), F.lit(True))
 
 
+def _with_last(s: EventStream, latest: DataFrame, t: str = "t") -> DataFrame:
+    """Rows of pixels' latest events, with their slice's last time in ``t_max``: the latest of the latest.
+
+    Both sides come from one aggregation, whose shuffle is made once, so events are read once.
+    """
+    bounds = latest.groupBy(*s.keys).agg(F.max(t).alias("t_max"))
+    return latest.join(F.broadcast(bounds), list(s.keys)) if s.keys else latest.join(F.broadcast(bounds), F.lit(True))
+
+
 def _age(s: EventStream) -> Column:
     return F.greatest(F.col("t_max") - F.col("t"), F.lit(0)) * F.lit(s.meta.scale_ms)
 
@@ -95,7 +104,7 @@ def _planes() -> Column:
 def tsurf(s: EventStream, tau_ms: float | None = None) -> Frame:
     """exp(-age / tau) of each pixel's latest event by polarity."""
     tau = s.meta.span(tau_ms)
-    latest = _with_bounds(s).groupBy(*s.keys, _planes(), "y", "x").agg(F.max("t").alias("t"), F.first("t_max").alias("t_max"))
+    latest = _with_last(s, s.df.groupBy(*s.keys, _planes(), "y", "x").agg(F.max("t").alias("t")))
     return _frame(s, latest.withColumn("value", F.exp(-_age(s) / F.lit(tau))), "tsurf", ["positive", "negative"], "f32")
 
 
@@ -109,14 +118,19 @@ def atsurf(s: EventStream, tau_ms: float | None = None) -> Frame:
 def tencode(s: EventStream, window_ms: float | None = None) -> Frame:
     """Each pixel's latest event: its polarity's plane at 255, its age in the middle one."""
     window = s.meta.span(window_ms)
-    df = _with_bounds(s).withColumn("age", _age(s)).where(F.col("age") <= window)
-    latest = df.groupBy(*s.keys, "y", "x").agg(F.max(F.struct("t", "seq", "p", "age")).alias("e"))
-    old = F.least(F.greatest(F.round(F.col("e.age") / F.lit(window) * 255), F.lit(0)), F.lit(255))
-    planes = F.array(F.struct(F.when(F.col("e.p"), 0).otherwise(2).alias("c"), F.lit(255).cast("int").alias("value")), F.struct(F.lit(1).alias("c"), old.cast("int").alias("value")))
+    # a pixel has an event in the window if its latest one is
+    latest = _with_last(s, _latest(s)).withColumn("age", _age(s)).where(F.col("age") <= window)
+    old = F.least(F.greatest(F.round(F.col("age") / F.lit(window) * 255), F.lit(0)), F.lit(255))
+    planes = F.array(F.struct(F.when(F.col("p"), 0).otherwise(2).alias("c"), F.lit(255).cast("int").alias("value")), F.struct(F.lit(1).alias("c"), old.cast("int").alias("value")))
     cells = latest.select(*s.keys, "y", "x", F.explode(planes).alias("v")).select(*s.keys, "y", "x", "v.c", "v.value").where("value > 0")
     return _frame(s, cells, "tencode", ["positive", "age", "negative"], "u8")
 
 
+def _latest(s: EventStream) -> DataFrame:
+    """Each pixel's latest event: t, p."""
+    return s.df.groupBy(*s.keys, "y", "x").agg(F.max(F.struct("t", "seq", "p")).alias("e")).select(*s.keys, "y", "x", F.col("e.t").alias("t"), F.col("e.p").alias("p"))
+
+
 def _signed_counts(s: EventStream) -> DataFrame:
     return s.df.groupBy(*s.keys, "y", "x").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
 
@@ -172,7 +186,7 @@ def mcts(s: EventStream, max_window_ms: float | None = None, windows_ms=None) ->
     """Linear time surfaces for several windows; negative planes come first."""
     windows = [float(v) for v in (windows_ms or mcts_windows(s.meta.span(max_window_ms)))]
     n = len(windows)
-    latest = _with_bounds(s).groupBy(*s.keys, "p", "y", "x").agg(F.max("t").alias("t"), F.first("t_max").alias("t_max")).withColumn("age", _age(s))
+    latest = _with_last(s, s.df.groupBy(*s.keys, "p", "y", "x").agg(F.max("t").alias("t"))).withColumn("age", _age(s))
     planes = F.array(*[F.struct(F.when(F.col("p"), n + i).otherwise(i).alias("c"), F.when(F.col("age") <= v, 1 - F.col("age") / F.lit(v)).otherwise(0.0).alias("value")) for i, v in enumerate(windows)])
     cells = latest.select(*s.keys, "y", "x", F.explode(planes).alias("v")).select(*s.keys, "y", "x", "v.c", "v.value").where("value > 0")
     return _frame(s, cells, "mcts", [f"{sign}_{v:g}ms" for sign in ("negative", "positive") for v in windows], "f32")
@@ -191,7 +205,7 @@ def pset(s: EventStream) -> DataFrame:
 def raw_image(s: EventStream, decay_ms: float | None = None) -> Frame:
     """Each pixel's latest polarity, fading with age: from -1 to 1, nothing beyond 6.5 decays."""
     decay = s.meta.span(decay_ms)
-    latest = _with_bounds(s).groupBy(*s.keys, "y", "x").agg(F.max(F.struct("t", "seq", "p")).alias("e"), F.first("t_max").alias("t_max")).select(*s.keys, "y", "x", F.col("e.t").alias("t"), F.col("e.p").alias("p"), "t_max").withColumn("age", _age(s)).where(F.col("age") <= 6.5 * decay)
+    latest = _with_last(s, _latest(s)).withColumn("age", _age(s)).where(F.col("age") <= 6.5 * decay)
     return _frame(s, latest.withColumn("value", F.when(F.col("p"), 1.0).otherwise(-1.0) * F.exp(-F.col("age") / F.lit(decay))).withColumn("c", F.lit(0)), "intensity", ["intensity"], "f32")
 
 
@@ -218,6 +232,11 @@ REGISTRY = {
 }
 
 
+def register(name: str, make) -> None:
+    """Add a representation: a function of a stream and options that returns a Frame."""
+    REGISTRY[name] = make
+
+
 def flatten(s: EventStream, name: str = "polarity", **options):
     """A representation by name."""
     if options.pop("binary", False):

@@ -77,51 +77,87 @@ def substeps(frames: DataFrame, config: SimulatorConfig) -> DataFrame:
     return jump.groupBy("frame").agg(F.least(F.greatest(F.ceil(F.coalesce(F.max("d"), F.lit(0.0)) / budget), F.lit(1)), F.lit(most)).cast("int").alias("steps"))
 
 
-class _Pixel:
-    """The state of one pixel."""
-
-    def __init__(self, cfg: SimulatorConfig, x: int, y: int, t: int, luma: float, thres: tuple[float, float]) -> None:
-        self.cfg, self.pos, self.neg = cfg, *thres
-        self.rng = np.random.default_rng([cfg.seed, y, x])
-        self.low = self.base = float(lin_log(luma))
-        self.t = self.last_t = t
-        self.luma = luma
-
-    def step(self, t: int, luma: float, out: list) -> None:
-        cfg, dt = self.cfg, (t - self.t) * 1e-6
-        target = float(lin_log(luma))
+_NEVER = -(2**62)
+#: Bins of luma that noise is tabulated for, the share of noise at full luma, and the least share of bandwidth.
+NOISE_BINS, BRIGHT_NOISE, LEAST_BANDWIDTH = 256, 0.25, 0.1
+
+
+def _draws(seed: int, x: np.ndarray, y: np.ndarray, step: int, salt: int) -> np.ndarray:
+    """A number in [0, 1) for each pixel, by hash: the same in any tile."""
+    h = (x.astype(np.uint64) << np.uint64(32)) ^ y.astype(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1342543DE82EF95 + salt * 0xA24BAED4963EE407) % 2**64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(33))) >> np.uint64(11)) / float(1 << 53)
+
+
+class _Pixels:
+    """The state of a tile's pixels, in single precision; a step moves any of them at once."""
+
+    def __init__(self, cfg: SimulatorConfig, x: np.ndarray, y: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        self.cfg, self.x, self.y, self.pos, self.neg = cfg, x, y, pos.astype(np.float32), neg.astype(np.float32)
+        n = len(x)
+        self.low, self.base = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        self.t, self.luma, self.last_t, self.started = np.zeros(n, np.int64), np.zeros(n), np.full(n, _NEVER, np.int64), np.zeros(n, bool)
+        self.steps, self.out = 0, []
+
+    def frame(self, i: np.ndarray, t: int, luma: np.ndarray, steps: int) -> None:
+        """Take a frame's values of the pixels ``i``; the first one a pixel gets sets its state."""
+        new = i[~self.started[i]]
+        first = luma[~self.started[i]]
+        self.low[new] = self.base[new] = lin_log(first).astype(np.float32)
+        self.t[new], self.luma[new] = t, first
+        old, luma = i[self.started[i]], luma[self.started[i]]
+        self.started[new] = True
+        t0, l0 = self.t[old], self.luma[old]
+        for k in range(1, steps + 1):
+            until = np.full(len(old), t) if k == steps else t0 + np.rint((t - t0) * k / steps).astype(np.int64)
+            self._step(old, until, l0 + (luma - l0) * k / steps)
+
+    def _step(self, i: np.ndarray, until: np.ndarray, luma: np.ndarray) -> None:
+        cfg, start, one = self.cfg, self.t[i], np.float32(1)
+        dt = ((until - start) * 1e-6).astype(np.float32)
+        target, share = lin_log(luma).astype(np.float32), (luma / 255.0).astype(np.float32)
         if cfg.cutoff_hz > 0:
-            share = min(1.0, dt * 2 * math.pi * cfg.cutoff_hz * (0.1 + 0.9 * luma / 255.0))
-            target = self.low + share * (target - self.low)
-        self.low = target
+            band = np.float32(LEAST_BANDWIDTH) + np.float32(1 - LEAST_BANDWIDTH) * share
+            way = np.clip(dt * (np.float32(2 * math.pi * cfg.cutoff_hz) * band), 0, 1)
+            target = np.where(dt > 0, self.low[i] + way * (target - self.low[i]), target)
+        self.low[i] = target
         if cfg.leak_rate_hz > 0:
-            self.base -= cfg.leak_rate_hz * dt * self.pos
-        diff = target - self.base
-        theta, sign = (self.pos, 1) if diff >= 0 else (self.neg, -1)
-        n = int(math.floor(abs(diff) / theta + 1e-9))
-        for k in range(1, n + 1):
-            at = self.t + int(round((t - self.t) * min(1.0, k * theta / abs(diff))))
-            self._fire(at, sign > 0, out)
-        self.base += sign * n * theta
-        if cfg.shot_noise_rate_hz > 0 and dt > 0:
-            chance = 1 - math.exp(-cfg.shot_noise_rate_hz * (1 - 0.75 * luma / 255.0) * dt / 2)
-            for positive in (True, False):
-                if self.rng.random() < chance:
-                    self._fire(self.t + int(self.rng.random() * (t - self.t)), positive, out)
-        self.t, self.luma = t, luma
-
-    def _fire(self, t: int, positive: bool, out: list) -> None:
-        if self.cfg.refractory_us <= 0 or t - self.last_t >= self.cfg.refractory_us:
-            out.append((t, positive))
-            self.last_t = t
+            self.base[i] -= self.pos[i] * np.float32(cfg.leak_rate_hz) * dt
+        delta = target - self.base[i]
+        up = delta > 0
+        theta, size = np.where(up, self.pos[i], self.neg[i]), np.abs(delta)
+        n = np.floor(size / theta).astype(np.int64)
+        for k in range(1, int(n.max(initial=0)) + 1):
+            some = n >= k
+            way = np.minimum(np.float32(k) * theta[some] / size[some], one).astype(float)
+            self._fire(i[some], start[some] + ((until - start)[some] * way).astype(np.int64), up[some])
+        self.base[i] += np.where(up, one, -one) * n.astype(np.float32) * theta
+        if cfg.shot_noise_rate_hz > 0:
+            bin_ = np.floor(np.clip(share, 0, 1) * (NOISE_BINS - 1)) / (NOISE_BINS - 1)
+            chance = 1 - np.exp(-cfg.shot_noise_rate_hz * (1 - (1 - BRIGHT_NOISE) * bin_) * dt / 2)
+            for salt, positive in ((0, True), (2, False)):
+                some = (_draws(cfg.seed, self.x[i], self.y[i], self.steps, salt) < chance) & (dt > 0)
+                j = i[some]
+                part = _draws(cfg.seed, self.x[j], self.y[j], self.steps, salt + 1)
+                self._fire(j, start[some] + (part * (until - start)[some]).astype(np.int64), np.full(len(j), positive))
+        self.steps += 1
+        self.t[i], self.luma[i] = until, luma
+
+    def _fire(self, i: np.ndarray, t: np.ndarray, positive: np.ndarray) -> None:
+        ok = t - self.last_t[i] >= self.cfg.refractory_us
+        i, t, positive = i[ok], t[ok], positive[ok]
+        self.last_t[i] = t
+        self.out.append((self.x[i], self.y[i], np.maximum(t, 0), positive))
 
 
 def simulate(frames: DataFrame, width: int, height: int, config: SimulatorConfig = SimulatorConfig(), tile: int = 32) -> EventStream:
     """Events of frames given as rows (frame, t in microseconds, y, x, luma from 0 to 255).
 
     The first frame sets the pixels' state.  Pixels don't depend on each other:
-    tiles of ``tile`` pixels run in parallel, whatever the cluster, with seeds
-    by pixel.  Events are in order of (t, y, x, p).
+    tiles of ``tile`` pixels run in parallel, whatever the cluster, all pixels of
+    one at a time, with noise by a hash of pixel and step.  Times within a frame
+    are cut to whole microseconds.  Events are in order of (t, y, x, p).
     """
     steps = substeps(frames, config)
     jobs = frames.join(F.broadcast(steps), "frame")
@@ -131,17 +167,16 @@ def simulate(frames: DataFrame, width: int, height: int, config: SimulatorConfig
     jobs = jobs.withColumns({"pos": floor(config.pos_thres), "neg": floor(config.neg_thres)})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (y, x), g in pdf.groupby(["y", "x"]):
-            g = g.sort_values("frame")
-            first = g.iloc[0]
-            pixel, out = _Pixel(config, int(x), int(y), int(first.t), float(first.luma), (first.pos, first.neg)), []
-            for t1, l1, n in zip(g["t"].tolist()[1:], g["luma"].tolist()[1:], g["steps"].tolist()[1:]):
-                t0, l0 = pixel.t, pixel.luma
-                for k in range(1, n + 1):
-                    pixel.step(t1 if k == n else t0 + int(round((t1 - t0) * k / n)), l0 + (l1 - l0) * k / n, out)
-            rows += [(int(x), int(y), t, p) for t, p in out]
-        return pd.DataFrame(rows, columns=["x", "y", "t", "p"])
+        pdf = pdf.sort_values(["frame", "y", "x"])
+        code = pdf["y"].to_numpy(np.int64) << 32 | pdf["x"].to_numpy(np.int64)
+        codes, first, at = np.unique(code, return_index=True, return_inverse=True)
+        pixels = _Pixels(config, codes & 0xFFFFFFFF, codes >> 32, pdf["pos"].to_numpy()[first], pdf["neg"].to_numpy()[first])
+        t, luma, steps, frame = (pdf[c].to_numpy() for c in ("t", "luma", "steps", "frame"))
+        edges = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1, append=frame[-1] + 1))
+        for lo, hi in zip(edges, edges[1:]):
+            pixels.frame(at[lo:hi], int(t[lo]), luma[lo:hi].astype(float), int(steps[lo]))
+        x, y, when, positive = (np.concatenate(c) for c in zip(*pixels.out)) if pixels.out else (np.zeros(0, int),) * 3 + (np.zeros(0, bool),)
+        return pd.DataFrame({"x": x, "y": y, "t": when, "p": positive.astype(bool)})
 
     made = jobs.groupBy("tx", "ty").applyInPandas(run, "x int, y int, t long, p boolean")
     meta = SensorMeta(width, height)

@@ -341,6 +341,22 @@ def slice_tsurf(s):
     return cells(_tumbling(s).with_repr("tsurf").frames(), 5)
 
 
+@query(f"WITH {EV}{BOUND}, w AS (SELECT unnest(range((t1 - t0) // 50000 + 1)) AS slice_id, t0 FROM b) SELECT slice_id, 0 AS c, y, (15 - x)::INTEGER AS x, count(*) AS value FROM w JOIN ev ON t >= t0 + slice_id * 50000 AND t < t0 + slice_id * 50000 + 120000 GROUP BY slice_id, y, x")
+def windows_flip(s):
+    """Windows of another length, with the operator and the representation that were put off before."""
+    return cells(_tumbling(s).flip_x().with_repr("count").windows(step_ms=50, span_ms=120).frames())
+
+
+@query(f"WITH {EV}, k AS (SELECT (11 - y)::INTEGER AS x, x AS y, p FROM ev WHERE t >= 200000 AND t < 900000) SELECT {PLANE} AS c, y, x, count(*) AS value FROM k GROUP BY ALL")
+def slice_time_ops(s):
+    return cells(_tumbling(s).rotate90().with_repr("polarity", normalize=False).slice_time(200_000, 900_000))
+
+
+@query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS n FROM ev) SELECT x, y, t, NOT p AS p, seq FROM r WHERE n >= 100 AND n < 350")
+def slice_count_ops(s):
+    return _tumbling(s).invert_polarity().slice_count(100, 350).df.select("x", "y", "t", "p", "seq")
+
+
 # frames
 @query(f"WITH {EV}, k AS (SELECT y, x, count(*) AS n FROM ev GROUP BY y, x) SELECT 0 AS c, (y // 3)::INTEGER AS y, (x // 4)::INTEGER AS x, sum(n)::BIGINT AS value FROM k GROUP BY ALL")
 def frame_resize_sum(s):
@@ -352,70 +368,94 @@ def frame_resize(s):
     return cells(frames.resize(represent.count(s), 4, 4))
 
 
-def _spots(s) -> represent.Frame:
-    f = represent.count(transforms.time_window(s, None, 30_000))
-    return f
+# the whole stream, a frame for each slice
+_SLICE_FEW = "s AS (SELECT *, (t - t0) // 30000 AS slice_id FROM ev, b), k AS (SELECT slice_id, x, y, count(*) AS n FROM s GROUP BY slice_id, x, y)"
+_SLICE_REACH = f"""WITH RECURSIVE {EV}{BOUND}, {_SLICE_FEW}, r AS (SELECT slice_id, x, y, x AS rx, y AS ry FROM k UNION SELECT r.slice_id, r.x, r.y, k.x, k.y FROM r JOIN k ON k.slice_id = r.slice_id AND abs(k.x - r.rx) <= 1 AND abs(k.y - r.ry) <= 1),
+l AS (SELECT slice_id, x, y, min(ry * 16 + rx) AS root FROM r GROUP BY slice_id, x, y), d AS (SELECT slice_id, x, y, dense_rank() OVER (PARTITION BY slice_id ORDER BY root) AS label FROM l)"""
 
 
-_FEW = "k AS (SELECT x, y FROM ev WHERE t < 30000 GROUP BY x, y)"
-_REACH = f"""WITH RECURSIVE {EV}, {_FEW}, r AS (SELECT x, y, x AS rx, y AS ry FROM k UNION SELECT r.x, r.y, k.x, k.y FROM r JOIN k ON abs(k.x - r.rx) <= 1 AND abs(k.y - r.ry) <= 1),
-l AS (SELECT x, y, min(ry * 16 + rx) AS root FROM r GROUP BY x, y), d AS (SELECT x, y, dense_rank() OVER (ORDER BY root) AS label FROM l)"""
+def _all_spots(s) -> represent.Frame:
+    return EventReader(s, Slicing(dt=30_000)).with_repr("count").frames()
 
 
-@query(_REACH + " SELECT 0 AS c, y, x, label AS value FROM d")
+@query(_SLICE_REACH + " SELECT slice_id, 0 AS c, y, x, label AS value FROM d")
 def connected_components(s):
-    return cells(frames.connected_components(_spots(s)))
+    return cells(frames.connected_components(_all_spots(s)))
 
 
-@query(_REACH + " SELECT label, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM d GROUP BY label HAVING count(*) >= 2")
+@query(_SLICE_REACH + " SELECT slice_id, label, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM d GROUP BY slice_id, label HAVING count(*) >= 2")
 def blobs(s):
-    return frames.blobs(_spots(s), 8, 2)
+    return frames.blobs(_all_spots(s), 8, 2)
 
 
-@query(f"WITH {EV}, k AS (SELECT y, x, count(*) AS n FROM ev WHERE t < 30000 GROUP BY y, x), g AS (SELECT y::INTEGER AS y, x::INTEGER AS x FROM range(12) b(y), range(16) d(x)) SELECT 0 AS c, y, x, coalesce(n, 0)::BIGINT AS value FROM g LEFT JOIN k USING (y, x)")
+@query(f"WITH {EV}{BOUND}, {_SLICE_FEW}, g AS (SELECT slice_id, y::INTEGER AS y, x::INTEGER AS x FROM (SELECT DISTINCT slice_id FROM s) a, range(12) b(y), range(16) d(x)) SELECT slice_id, 0 AS c, y, x, coalesce(n, 0)::BIGINT AS value FROM g LEFT JOIN k USING (slice_id, y, x)")
 def frame_filled(s):
-    return frames.filled(_spots(s)).df
+    return frames.filled(_all_spots(s)).df
 
 
-# the same over the whole stream, a frame for each slice
-_SLICE_FEW = "s AS (SELECT *, (t - t0) // 30000 AS slice_id FROM ev, b), k AS (SELECT slice_id, x, y, count(*) AS n FROM s GROUP BY slice_id, x, y)"
-_SLICE_REACH = f"""WITH RECURSIVE {EV}{BOUND}, {_SLICE_FEW}, r AS (SELECT slice_id, x, y, x AS rx, y AS ry FROM k UNION SELECT r.slice_id, r.x, r.y, k.x, k.y FROM r JOIN k ON k.slice_id = r.slice_id AND abs(k.x - r.rx) <= 1 AND abs(k.y - r.ry) <= 1),
-l AS (SELECT slice_id, x, y, min(ry * 16 + rx) AS root FROM r GROUP BY slice_id, x, y), d AS (SELECT slice_id, x, y, dense_rank() OVER (PARTITION BY slice_id ORDER BY root) AS label FROM l)"""
+# corners: the events of the table along fronts that grow from one corner of a 32 x 32 sensor to the other
+_FRONT = """
+n AS (SELECT event_id AS seq, epoch_us(ts) // 1000000 - 1704067200 AS t, (event_id // 1024) % 3 = 0 AS p, event_id % 1024 AS m, floor(sqrt(event_id % 1024))::BIGINT AS k FROM events),
+ev AS (SELECT CASE WHEN m - k * k <= k THEN k ELSE 2 * k - (m - k * k) END::INTEGER AS x, CASE WHEN m - k * k <= k THEN m - k * k ELSE k END::INTEGER AS y, t, p, seq FROM n)"""
 
 
-def _all_spots(s) -> represent.Frame:
-    return EventReader(s, Slicing(dt=30_000)).with_repr("count").frames()
+def fronts(spark: SparkSession, sf_dir: str) -> EventStream:
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    m = F.col("event_id") % 1024
+    k = F.floor(F.sqrt(m)).cast("long")
+    first = m - k * k <= k
+    t = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) - 1704067200).cast("long")
+    df = raw.select(F.when(first, k).otherwise(2 * k - (m - k * k)).cast("int").alias("x"), F.when(first, m - k * k).otherwise(k).cast("int").alias("y"), t.alias("t"), (F.floor(F.col("event_id") / 1024) % 3 == 0).alias("p"), F.col("event_id").alias("seq"))
+    return EventStream(df, SensorMeta(32, 32))
 
 
-@query(_SLICE_REACH + " SELECT slice_id, 0 AS c, y, x, label AS value FROM d")
-def slice_connected_components(s):
-    return cells(frames.connected_components(_all_spots(s)))
+def _arc_sql(times: str, n: int, lo: int, hi: int) -> str:
+    arcs = [f"len(list_filter(range({n}), lambda i: list_min(list_slice({times} || {times}, i + 1, i + {k})) > list_max(list_slice({times} || {times}, i + {k + 1}, i + {n})))) > 0" for k in range(lo, hi + 1)]
+    return "(" + " OR ".join(arcs) + ")"
 
 
-@query(_SLICE_REACH + " SELECT slice_id, label, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM d GROUP BY slice_id, label HAVING count(*) >= 2")
-def slice_blobs(s):
-    return frames.blobs(_all_spots(s), 8, 2)
+QUERIES["efast"] = lambda spark, d: features.efast(fronts(spark, d)).df.select("x", "y", "t", "p", "seq")
+ORACLE_SQL["efast"] = f"""WITH {_FRONT}, o(slot, dx, dy) AS (VALUES {", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate(features.RING_3 + features.RING_4))}),
+q AS (SELECT seq, p, slot, x + dx AS cx, y + dy AS cy, NULL::BIGINT AS tu FROM ev, o WHERE x BETWEEN 4 AND 27 AND y BETWEEN 4 AND 27 UNION ALL SELECT seq, p, NULL, x, y, t FROM ev),
+l AS (SELECT seq, slot, last_value(tu IGNORE NULLS) OVER (PARTITION BY p, cx, cy ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t FROM q),
+r AS (SELECT seq, list(coalesce(last_t, -9223372036854775808) ORDER BY slot) AS a FROM l WHERE slot IS NOT NULL GROUP BY seq), h AS (SELECT seq, a[1:16] AS r3, a[17:36] AS r4 FROM r)
+SELECT x, y, t, p, seq FROM ev WHERE seq IN (SELECT seq FROM h WHERE {_arc_sql("r3", 16, *features.ARC_3)} AND {_arc_sql("r4", 20, *features.ARC_4)})"""
 
+_FLOW = """sf AS (SELECT {k}y, x, max(t) * 0.001::DOUBLE AS v FROM {src} GROUP BY {k}y, x),
+g AS (SELECT {ck}c.y, c.x, (e.v - w.v) / 2 AS gx, (s.v - n.v) / 2 AS gy FROM sf c JOIN sf e ON {je}e.x = c.x + 1 AND e.y = c.y JOIN sf w ON {jw}w.x = c.x - 1 AND w.y = c.y JOIN sf s ON {js}s.x = c.x AND s.y = c.y + 1 JOIN sf n ON {jn}n.x = c.x AND n.y = c.y - 1),
+z AS (SELECT {pk}p.y, p.x, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS c, sum(gx) AS u, sum(gy) AS w, count(*) AS n FROM sf p JOIN g ON {jg}abs(g.x - p.x) <= 3 AND abs(g.y - p.y) <= 3 GROUP BY {pk}p.y, p.x),
+f AS (SELECT {k}y, x, CASE WHEN a * c - b * b > 1e-3 * (a + c) * (a + c) THEN (c * u - b * w) / (a * c - b * b) WHEN (u * u + w * w) / (n * (a + c)) >= 0.35 THEN (u / n) / nullif((u / n) * (u / n) + (w / n) * (w / n), 0) END AS fx,
+  CASE WHEN a * c - b * b > 1e-3 * (a + c) * (a + c) THEN (a * w - b * u) / (a * c - b * b) WHEN (u * u + w * w) / (n * (a + c)) >= 0.35 THEN (w / n) / nullif((u / n) * (u / n) + (w / n) * (w / n), 0) END AS fy FROM z WHERE a + c > 1e-12),
+v AS (SELECT {k}0 AS c, y, x, fx::FLOAT AS q FROM f WHERE fx IS NOT NULL AND fy IS NOT NULL UNION ALL SELECT {k}1, y, x, fy::FLOAT FROM f WHERE fx IS NOT NULL AND fy IS NOT NULL)
+SELECT {k}c, y, x, round(q::DOUBLE * 1000, 3) + 0 AS value FROM v WHERE q <> 0"""
+_FLOW_ONE = _FLOW.format(k="", src="ev", ck="", pk="", je="", jw="", js="", jn="", jg="")
+_FLOW_SLICES = _FLOW.format(k="slice_id, ", src="s", ck="c.slice_id, ", pk="p.slice_id, ", je="e.slice_id = c.slice_id AND ", jw="w.slice_id = c.slice_id AND ", js="s.slice_id = c.slice_id AND ", jn="n.slice_id = c.slice_id AND ", jg="g.slice_id = p.slice_id AND ")
 
-@query(f"WITH {EV}{BOUND}, {_SLICE_FEW}, g AS (SELECT slice_id, y::INTEGER AS y, x::INTEGER AS x FROM (SELECT DISTINCT slice_id FROM s) a, range(12) b(y), range(16) d(x)) SELECT slice_id, 0 AS c, y, x, coalesce(n, 0)::BIGINT AS value FROM g LEFT JOIN k USING (slice_id, y, x)")
-def slice_frame_filled(s):
-    return frames.filled(_all_spots(s)).df
 
+def per_second(f: represent.Frame) -> DataFrame:
+    """Flow in pixels a second, as it is slow here."""
+    return f.df.where("value <> 0").select(*f.keys, "c", "y", "x", (F.round(F.col("value").cast("double") * 1000, 3) + F.lit(0.0)).alias("value"))
 
-# order-dependent operators without SQL
-@query()
-def efast(s):
-    return features.efast(s).df
 
+@query(f"WITH {EV}, {_FLOW_ONE}")
+def optical_flow(s):
+    return per_second(motion.optical_flow(s))
+
+
+@query(f"WITH {EV}{BOUND}, {_SLICE}, {_FLOW_SLICES}")
+def flow_frames(s):
+    return per_second(_tumbling(s).with_repr("flow").frames())
 
-@query()
-def harris_corners(s):
-    return features.harris_corners(s).df
 
+@query(f"WITH {EV}{BOUND} SELECT x, y, t0 + t1 - t AS t, NOT p AS p, row_number() OVER (ORDER BY t0 + t1 - t, seq DESC) - 1 AS seq FROM ev, b")
+def time_reversal(s):
+    return augment.time_reversal(s, 1.0, 1).df.select("x", "y", "t", "p", "seq")
 
+
+# order-dependent operators without SQL
 @query()
-def optical_flow(s):
-    return cells(motion.optical_flow(s), 6)
+def harris_corners(s):
+    return features.harris_corners(s).df
 
 
 @query()
@@ -436,7 +476,7 @@ def tracker(s):
 for _name, _op in {
     "random_flip_x": lambda s: augment.random_flip_x(s, 0.5, 1), "random_flip_y": lambda s: augment.random_flip_y(s, 0.5, 1), "random_polarity_flip": lambda s: augment.random_polarity_flip(s, 0.5, 1),
     "random_crop": lambda s: augment.random_crop(s, 8, 6, 1), "event_drop": lambda s: augment.event_drop(s, 0.2, 1), "pixel_dropout": lambda s: augment.pixel_dropout(s, 0.2, 1),
-    "spatial_jitter": lambda s: augment.spatial_jitter(s, 1.0, 1), "time_jitter": lambda s: augment.time_jitter(s, 1.0, 1), "time_reversal": lambda s: augment.time_reversal(s, 1.0, 1),
+    "spatial_jitter": lambda s: augment.spatial_jitter(s, 1.0, 1), "time_jitter": lambda s: augment.time_jitter(s, 1.0, 1),
 }.items():
     query(None, _name)(lambda s, _op=_op: _op(s).df)
 
@@ -451,7 +491,7 @@ _STEPS = math.floor(math.log(200.0 / 30.0) / 0.2)
 
 
 @query(f"""WITH f AS (SELECT a.frame, b.x, c.y FROM range(1, 12) a(frame), range(24) b(x), range(16) c(y) WHERE b.x = a.frame + 3), k AS (SELECT unnest(range(1, {_STEPS + 1})) AS k)
-SELECT x::INTEGER AS x, y::INTEGER AS y, ((frame - 1) * 1000 + round(1000 * least(1, k * 0.2::DOUBLE / (ln(200.0::DOUBLE) - ln(30.0::DOUBLE)))))::BIGINT AS t, true AS p FROM f, k""")
+SELECT x::INTEGER AS x, y::INTEGER AS y, ((frame - 1) * 1000 + floor(1000 * least(1, k * 0.2::DOUBLE / (ln(200.0::DOUBLE) - ln(30.0::DOUBLE)))))::BIGINT AS t, true AS p FROM f, k""")
 def simulate_ideal(s):
     out = simulate.simulate(ideal_frames(s.df.sparkSession), 24, 16, simulate.SimulatorConfig.ideal())
     return out.df.select("x", "y", "t", "p")

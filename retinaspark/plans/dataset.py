@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import augment, features, filters, frames, masks, represent, transforms
+from ..functions.units import duration_us, scale_us
+from ..operators import augment, features, filters, frames, masks, motion, represent, transforms
 from ..stream import EventStream
 
 
@@ -60,23 +63,35 @@ class EventReader:
         self.source, self.slicing = stream, slicing
         if hot_pixel_filter:
             self.source = filters.hot_pixel_filter(stream, hot_pixel_std)
-        self.stream, self.slices = sliced(self.source, slicing)
+        self.operators: tuple = ()
         self.repr: tuple[str, dict] | None = None
-        self.moved = False
+        if slicing.dt or slicing.n:
+            self.stream, self.slices = sliced(self.source, slicing)
+        else:
+            # windows only: there are no numbered slices
+            self.stream, self.slices = self.source, None
 
-    def _then(self, stream: EventStream) -> "EventReader":
+    def _with(self, **changes) -> "EventReader":
         out = object.__new__(EventReader)
-        out.__dict__ |= self.__dict__ | {"stream": stream, "moved": self.moved or stream is not self.stream}
+        out.__dict__ |= self.__dict__ | changes
         return out
 
     def apply(self, operator, *args, **options) -> "EventReader":
         """Put off any operator from stream to stream."""
-        return self._then(operator(self.stream, *args, **options))
+        def put_off(s: EventStream) -> EventStream:
+            return operator(s, *args, **options)
+
+        return self._with(stream=put_off(self.stream), operators=(*self.operators, put_off))
 
     def with_repr(self, name: str, **options) -> "EventReader":
-        out = self._then(self.stream)
-        out.repr = (name, options)
-        return out
+        return self._with(repr=(name, options))
+
+    def _shown(self, s: EventStream):
+        return s if self.repr is None else represent.flatten(s, self.repr[0], **self.repr[1])
+
+    def _window(self, s: EventStream):
+        """The operators and the representation, on a window that isn't one of the slices."""
+        return self._shown(reduce(lambda x, f: f(x), self.operators, s))
 
     def frames(self):
         """The representation of all slices."""
@@ -85,15 +100,21 @@ class EventReader:
         return represent.flatten(self.stream, self.repr[0], **self.repr[1])
 
     def __len__(self) -> int:
+        if self.slices is None:
+            raise ValueError("open with dt_ms or max_events for numbered slices")
         return self.slices.count()
 
+    @property
+    def n_slices(self) -> int:
+        return len(self)
+
     def n_events(self) -> int:
         return self.source.n_events()
 
     def time_span(self):
         return self.source.time_span()
 
-    def slice(self, n: int) -> EventStream:
+    def slice(self, n: int):
         """The n-th slice, from the end if negative.  The scan gets the slice's times as a filter too."""
         size = len(self)
         k = n + size if n < 0 else n
@@ -101,30 +122,59 @@ class EventReader:
             raise IndexError(n)
         t0, t1 = self.slices.where(F.col("slice_id") == k).select("t0", "t1").first()
         plain = self.stream.df.where(F.col("slice_id") == k)
-        if not self.moved and self.slicing.dt:
+        if not self.operators and self.slicing.dt:
             # the filter on times reaches the scan, the one on slice_id can't
             plain = plain.where((F.col("t") >= t0) & (F.col("t") < t1))
-        return EventStream(plain.drop("slice_id"), self.stream.meta)
+        return self._shown(EventStream(plain.drop("slice_id"), self.stream.meta))
 
-    def slice_time(self, t0: int, t1: int | None = None) -> EventStream:
-        return transforms.time_window(self.source, t0, t1)
+    def slice_time(self, t0: int, t1: int | None = None):
+        """The events at t0 <= t < t1, with operators and representation."""
+        s = transforms.time_window(self.source, t0, t1)
+        return self._window(s if t1 is None else s.with_(span_ms=(t1 - t0) * s.meta.scale_ms))
 
-    def slice_count(self, i0: int, i1: int) -> EventStream:
+    def slice_count(self, i0: int, i1: int):
+        """The events with places i0 <= i < i1 in the recording, with operators and representation."""
         df = transforms.numbered(self.source).where((F.col("place") >= max(0, i0)) & (F.col("place") < i1))
-        return self.source.with_(df.select(*self.source.columns))
+        return self._window(self.source.with_(df.select(*self.source.columns)))
 
     def __getitem__(self, n: int):
-        s = self.slice(n)
-        return s if self.repr is None else represent.flatten(s, self.repr[0], **self.repr[1])
+        return self.slice(n)
 
     def batch(self, indices: list[int]):
         """Frames of the chosen slices."""
         f = self.frames()
         return replace(f, df=f.df.where(F.col("slice_id").isin([int(i) for i in indices])))
 
-    def windows(self, step: int, span: int) -> "EventReader":
-        """Windows of ``span`` that start every ``step``."""
-        return EventReader(self.source, Slicing(dt=span, step=step, offset=self.slicing.offset))
+    def windows(self, step: int | None = None, span: int | None = None, **units) -> "EventReader":
+        """Windows of ``span`` that start every ``step``, in time units or as ``step_ms``, ``span_us`` and so on.
+
+        ``step`` is the slices' length if not given, ``span`` the step; without
+        either, the slices themselves, be they by time or by number.  Operators,
+        representation and offset go on.
+        """
+        step, span = (self._duration(name, value, units) for name, value in (("step", step), ("span", span)))
+        if units:
+            raise TypeError(f"unknown arguments: {', '.join(units)}")
+        if step is None and span is None and self.slicing.n:
+            return self
+        step = step or self.slicing.dt
+        if not step:
+            raise ValueError("windows need a step, or slices by time")
+        out = EventReader(self.source, Slicing(dt=span or step, step=step, offset=self.slicing.offset))
+        return reduce(lambda r, f: r.apply(f), self.operators, out)._with(repr=self.repr)
+
+    def _duration(self, name: str, value, units: dict) -> int | None:
+        given = {k: units.pop(k) for k in [*units] if k.rsplit("_", 1)[0] == name}
+        us = duration_us(name, **given)
+        if us is None or value is not None:
+            if us is not None:
+                raise ValueError(f"{name} is given twice")
+            return None if value is None else int(value)
+        return int(us / 1000 / self.source.meta.scale_ms + 0.5)
+
+    def __iter__(self):
+        """Slice by slice; for all at once in one plan there are ``frames`` and ``stream``."""
+        return (self.slice(n) for n in range(len(self)))
 
     def summary(self) -> DataFrame:
         """n_events of every slice, empty ones included."""
@@ -140,6 +190,39 @@ def open_stream(stream: EventStream, *, dt_ms: float | None = None, max_events:
     return EventReader(stream, Slicing(ticks(dt_ms), max_events, ticks(step_ms), offset), **options)
 
 
+def open(spark, source, *, max_events: int | None = None, repr: str | None = None, hot_pixel_filter: bool = False, hot_pixel_std: float = 3.0, downsample: int | None = None, sensor_size=None, time_unit: str = "us", order: str | None = None, topic: str | None = None, **durations) -> EventReader:
+    """A reader of a recording: a file's path, a stream, or an array.
+
+    Slices are by ``dt_ms`` (or ``dt_s``, ``dt_us``, ``dt_ns``) or by
+    ``max_events``; without either there are windows only.  ``offset`` (in
+    milliseconds, or ``offset_us`` and so on) is the time that slices start at.
+    ``downsample`` is for ``repr="polarity"``.
+    """
+    from ..sources import files
+
+    dt = duration_us("dt", **{k: v for k, v in durations.items() if k.rsplit("_", 1)[0] == "dt"})
+    offsets = {k: v for k, v in durations.items() if k == "offset" or k.startswith("offset_")}
+    unknown = {k for k in durations if k.rsplit("_", 1)[0] != "dt" and k not in offsets}
+    if unknown:
+        raise TypeError(f"unknown arguments: {', '.join(sorted(unknown))}")
+    if len([v for v in offsets.values() if v is not None]) > 1:
+        raise ValueError("offset is given in several units")
+    if dt is not None and max_events is not None:
+        raise ValueError("give dt or max_events, not both")
+    if downsample is not None and (repr != "polarity" or downsample < 1):
+        raise ValueError("downsample is a whole number from 1 on, for repr='polarity'")
+    if isinstance(source, EventStream):
+        stream = source
+    elif isinstance(source, (str, os.PathLike)):
+        stream = files.load(spark, os.fspath(source), sensor_size=sensor_size, time_unit=time_unit, order=order or "txyp", topic=topic)
+    else:
+        stream = files.from_numpy(spark, source, sensor_size=sensor_size, time_unit=time_unit, order=order or "xytp")
+    ticks = lambda us: None if us is None else int(us / 1000 / stream.meta.scale_ms + 0.5)
+    offset = next((int(round(v * scale_us(k.partition("_")[2] or "ms") / 1000 / stream.meta.scale_ms)) for k, v in offsets.items() if v is not None), None)
+    reader = EventReader(stream, Slicing(ticks(dt), max_events, None, offset), hot_pixel_filter, hot_pixel_std)
+    return reader if repr is None else reader.with_repr(repr, **({} if downsample is None else {"downsample": downsample}))
+
+
 #: Operators that readers and streams have as methods.
 OPERATORS = {f.__name__: f for f in (
     transforms.crop, transforms.flip_x, transforms.flip_y, transforms.rotate90, transforms.transpose, transforms.translate, transforms.resize, transforms.scale,
@@ -152,8 +235,6 @@ OPERATORS = {f.__name__: f for f in (
 
 
 def _attach() -> None:
-    from ..operators import motion
-
     for name, f in OPERATORS.items():
         setattr(EventStream, name, f)
         setattr(EventReader, name, lambda self, *a, _f=f, **k: self.apply(_f, *a, **k))

@@ -185,8 +185,8 @@ def _aedat2(spark, path, sensor_size):
     return _whole(spark, path, start, size, lambda data: codecs.decode_aedat2(data, h)), (w, h)
 
 
-def load(spark: SparkSession, path: str, *, format: str | None = None, sensor_size=None, time_unit: str = "us", order: str = "txyp", offset: int | None = None, max_events: int | None = None) -> EventStream:
-    """A recording as a stream.  ``offset`` cuts by time first, then ``max_events`` by number."""
+def load(spark: SparkSession, path: str, *, format: str | None = None, sensor_size=None, time_unit: str = "us", order: str = "txyp", offset: int | None = None, max_events: int | None = None, topic: str | None = None) -> EventStream:
+    """A recording as a stream.  ``offset`` cuts by time first, then ``max_events`` by number; ``topic`` is for bags."""
     kind = format or detect_format(path)
     if kind == "parquet":
         df, size = spark.read.parquet(path), None
@@ -207,7 +207,7 @@ def load(spark: SparkSession, path: str, *, format: str | None = None, sensor_si
     elif kind == "rosbag":
         from .rosbag import read_bag
 
-        df, size = read_bag(spark, path).df, None
+        df, size = read_bag(spark, path, topic=topic).df, None
     else:
         raise NotImplementedError(f"{kind} files need a library that isn't part of this package")
     s = _sized(df, sensor_size or size)

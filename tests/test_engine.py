@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from retinaspark.functions import render
@@ -151,7 +152,7 @@ def test_tracker_follows(spark):
     t = track.Tracker(min_area=1)
     for k in range(5):
         t.step([(k * 2.0, 5.0), (30.0 - k, 9.0)])
-    assert [x.id for x in t.tracks] == [0, 1] and t.tracks[0].vx == 2 and t.tracks[1].vx == -1
+    assert [x.id for x in t.tracks] == [1, 2] and [x.age for x in t.tracks] == [4, 4] and t.tracks[0].vx == 2 and t.tracks[1].vx == -1
     for _ in range(4):
         t.step([])
     assert t.tracks == []
@@ -229,6 +230,181 @@ def test_reader(spark):
         open_stream(s)
 
 
+def test_tracker_numbers_are_never_used_again():
+    t = track.Tracker(max_missed=0)
+    first = t.step([(10.0, 10.0, 25)])[0]
+    assert (first.area, first.age) == (25, 0)
+    assert t.step([]) == []
+    second = t.step([(10.0, 10.0, 25)])[0].id
+    t.reset()
+    assert first.id < second < t.step([(10.0, 10.0, 25)])[0].id
+
+
+def test_kept_apart_is_the_loop():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, dt = int(rng.integers(1, 40)), int(rng.integers(0, 12))
+        new = rng.random(n) < 0.2
+        ts = rng.integers(0, 60, n)
+        for a, b in zip(np.flatnonzero(np.append(True, new[1:])), [*np.flatnonzero(np.append(True, new[1:]))[1:], n]):
+            ts[a:b] = np.sort(ts[a:b]) if rng.random() < 0.8 else ts[a:b]
+        last = None if new[0] or rng.random() < 0.3 else int(ts[0] - rng.integers(0, 15))
+        want, held = [], last
+        for i in range(n):
+            if i and new[i]:
+                held = None
+            want.append(held is None or ts[i] - held >= dt)
+            if want[-1]:
+                held = ts[i]
+        assert filters.kept_apart(ts, new, dt, last).tolist() == want
+
+
+def test_windows_keep_operators_and_representation(spark):
+    s = stream(spark, [(13, 0, 0, 1), (1, 0, 10_000, 1), (2, 0, 49_000, 0)], (16, 2))
+    r = open_stream(s, dt_ms=10).flip_x()
+    assert r.windows(step_ms=20, span_us=20_000).slice(0).df.first()["x"] == 2
+    assert r.slice_time(0, 5_000).df.first()["x"] == 2 and r.slice_count(0, 1).df.first()["x"] == 2
+    assert len(r.windows()) == 5 and r.windows(step_ms=20).stream.meta.span() == 20 and r.slice_time(0, 5_000).meta.span() == 5
+    shown = r.with_repr("count")
+    assert shown.windows(step_ms=20)[0].numpy()[0, 0, 2] == 1 and shown.slice_time(0, 5_000).numpy().sum() == 1
+    by_count = open_stream(s, max_events=2)
+    assert by_count.windows() is by_count and len([*by_count]) == 2
+    with pytest.raises(ValueError):
+        by_count.windows(span_ms=3)
+    with pytest.raises(ValueError):
+        r.windows(step_ms=20, step_s=1)
+    with pytest.raises(TypeError):
+        r.windows(pace_ms=20)
+
+
+def test_open(spark, tmp_path):
+    from retinaspark.plans.dataset import open as open_
+    from retinaspark.sources.files import save
+
+    s = stream(spark, [(0, 0, 0, 1), (1, 0, 10_000, 1), (2, 0, 49_000, 0)], (4, 2))
+    save(s, str(tmp_path / "a.npz"))
+    r = open_(spark, str(tmp_path / "a.npz"), dt_us=10_000, repr="polarity", downsample=2)
+    assert r.n_slices == 5 and r[0].shape == (2, 1, 2)
+    assert open_(spark, s, dt_s=0.01, offset_ms=10).n_slices == 4 and open_(spark, s, max_events=2).n_slices == 2
+    loose = open_(spark, np.array([[0, 0, 0, 1], [1, 0, 10_000, 1]]), sensor_size=(4, 2), hot_pixel_filter=True)
+    assert loose.slice_time(0, 20_000).n_events() == 2
+    for wrong in ({"dt_ms": 1, "max_events": 2}, {"dt_ms": 1, "dt_s": 1}, {"dt_ms": 1, "repr": "count", "downsample": 2}, {"dt_ms": 1, "offset": 1, "offset_s": 2}):
+        with pytest.raises(ValueError):
+            open_(spark, s, **wrong)
+    with pytest.raises(ValueError):
+        len(loose)
+
+
+def test_registered_representations(spark):
+    s = stream(spark, [(0, 0, 0, 1), (1, 0, 10_000, 1)], (4, 2))
+    represent.register("twice", lambda s, **k: represent.count(transforms.concat(s, [s])))
+    try:
+        assert open_stream(s, max_events=2).with_repr("twice").slice(0).numpy().sum() == 4
+    finally:
+        del represent.REGISTRY["twice"]
+    assert represent.flatten(s, "flow").channels == ("flow_x", "flow_y")
+    with pytest.raises(ValueError):
+        motion.optical_flow(s, 0)
+
+
+def plain_hash(seed, salt, *values):
+    h = 42
+    for v in (Long(seed), salt, *values):
+        data = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if isinstance(v, Long) else 4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return (h >> 11) / float(1 << 53)
+
+
+class Long(int):
+    """A number that the stream holds in 64 bits."""
+
+
+def test_augmentations_are_plain_hashes(spark):
+    rng = np.random.default_rng(3)
+    events = [(int(x), int(y), int(t), bool(p)) for x, y, t, p in zip(rng.integers(0, 16, 200), rng.integers(0, 12, 200), np.sort(rng.integers(0, 9_000, 200)), rng.integers(0, 2, 200))]
+    s = stream(spark, events, (16, 12))
+    rows = lambda s: sorted(tuple(r) for r in s.df.select("seq", "x", "y", "t", "p").collect())
+    plain = rows(s)
+    for seed in (1, 2, 3):
+        turned = plain_hash(seed, "flip_x") < 0.5
+        assert rows(augment.random_flip_x(s, 0.5, seed)) == [(q, 15 - x if turned else x, y, t, p) for q, x, y, t, p in plain]
+        turned = plain_hash(seed, "flip_y") < 0.5
+        assert rows(augment.random_flip_y(s, 0.5, seed)) == [(q, x, 11 - y if turned else y, t, p) for q, x, y, t, p in plain]
+        turned = plain_hash(seed, "polarity") < 0.5
+        assert rows(augment.random_polarity_flip(s, 0.5, seed)) == [(q, x, y, t, p != turned) for q, x, y, t, p in plain]
+        assert rows(augment.event_drop(s, 0.3, seed)) == [r for r in plain if plain_hash(seed, "event", Long(r[0])) >= 0.3]
+        assert rows(augment.pixel_dropout(s, 0.3, seed)) == [r for r in plain if plain_hash(seed, "pixel", r[1], r[2]) >= 0.3]
+        dx, dy = (int(plain_hash(seed, f"crop_{c}") * (room + 1)) for c, room in (("x", 8), ("y", 6)))
+        assert rows(augment.random_crop(s, 8, 6, seed)) == [(q, x - dx, y - dy, t, p) for q, x, y, t, p in plain if 0 <= x - dx < 8 and 0 <= y - dy < 6]
+        moved = []
+        for q, x, y, t, p in plain:
+            r, a = (-2 * math.log(1 - plain_hash(seed, "space_u", Long(q)))) ** 0.5, 2 * math.pi * plain_hash(seed, "space_v", Long(q))
+            x, y = x + half_away(r * math.cos(a)), y + half_away(r * math.sin(a))
+            if 0 <= x < 16 and 0 <= y < 12:
+                moved.append((q, x, y, t, p))
+        assert rows(augment.spatial_jitter(s, 1.0, seed)) == moved
+        times = {q: t + half_away((-2 * math.log(1 - plain_hash(seed, "time_u", Long(q)))) ** 0.5 * math.cos(2 * math.pi * plain_hash(seed, "time_v", Long(q))) * 1000) for q, _, _, t, _ in plain}
+        ordered = sorted(plain, key=lambda r: (times[r[0]], r[0]))
+        assert rows(augment.time_jitter(s, 1.0, seed)) == [(i, x, y, times[q], p) for i, (q, x, y, _, p) in enumerate(ordered)]
+
+
+def half_away(v):
+    return int(math.floor(abs(v) + 0.5) * (1 if v >= 0 else -1))
+
+
+class PlainPixel:
+    """One pixel of the simulator, event by event."""
+
+    def __init__(self, cfg, t, luma):
+        f = np.float32
+        self.cfg, self.t, self.low, self.last, self.events = cfg, t, f(simulate.lin_log(luma)), -(2**62), []
+        self.base = self.low
+
+    def step(self, t, luma):
+        f, cfg = np.float32, self.cfg
+        dt, target = f((t - self.t) * 1e-6), f(simulate.lin_log(luma))
+        if cfg.cutoff_hz > 0 and dt > 0:
+            way = min(max(dt * (f(2 * math.pi * cfg.cutoff_hz) * (f(0.1) + f(0.9) * f(luma / 255.0))), f(0)), f(1))
+            target = self.low + way * (target - self.low)
+        self.low = target
+        if cfg.leak_rate_hz > 0:
+            self.base = self.base - f(cfg.pos_thres) * f(cfg.leak_rate_hz) * dt
+        delta = target - self.base
+        theta = f(cfg.pos_thres if delta > 0 else cfg.neg_thres)
+        n = math.floor(abs(delta) / theta)
+        for k in range(1, n + 1):
+            at = self.t + int((t - self.t) * float(min(f(k) * theta / abs(delta), f(1))))
+            if at - self.last >= cfg.refractory_us:
+                self.last = at
+                self.events.append((at, bool(delta > 0)))
+        self.base = self.base + (f(1) if delta > 0 else f(-1)) * f(n) * theta
+        self.t = t
+
+
+@pytest.mark.parametrize("changes", [{}, {"cutoff_hz": 300.0, "leak_rate_hz": 40.0, "refractory_us": 700}, {"neg_thres": 0.35, "refractory_us": 2000}])
+def test_simulator_is_the_pixel_model(spark, changes):
+    rng = np.random.default_rng(6)
+    luma = rng.integers(0, 256, (9, 5, 4)).astype(float)
+    times = np.cumsum(rng.integers(500, 4000, 9))
+    cfg = simulate.SimulatorConfig.ideal(**changes)
+    f = spark.createDataFrame([(k, int(times[k]), y, x, float(luma[k, y, x])) for k in range(9) for y in range(5) for x in range(4)], "frame int, t long, y int, x int, luma double")
+    got = sorted((r["x"], r["y"], r["t"], r["p"]) for r in simulate.simulate(f, 4, 5, cfg, tile=3).df.collect())
+    want = []
+    for y in range(5):
+        for x in range(4):
+            pixel = PlainPixel(cfg, int(times[0]), luma[0, y, x])
+            for k in range(1, 9):
+                pixel.step(int(times[k]), luma[k, y, x])
+            want += [(x, y, t, p) for t, p in pixel.events]
+    assert got == sorted(want) and len(got) > 50
+
+
+def test_noise_does_not_depend_on_tiles(spark):
+    f = spark.createDataFrame([(k, k * 100_000, y, x, 100.0) for k in range(4) for y in range(6) for x in range(6)], "frame int, t long, y int, x int, luma double")
+    a, b = (sorted(map(tuple, simulate.simulate(f, 6, 6, simulate.SimulatorConfig(), tile=n).df.collect())) for n in (2, 6))
+    assert a == b and len(a) > 20
+
+
 def test_units():
     assert scale_us("milliseconds") == 1000 and duration_us("dt", dt_s=0.5) == 500_000 and duration_us("dt", 2) == 2000
     assert infer_unit(1.5, True) == "s" and infer_unit(2e6, False) == "us"
@@ -250,11 +426,11 @@ def test_frame_queries_have_the_whole_stream(spark):
 
     sf = "/root/testdata/sf0.001"
     n = catalog.events(spark, sf).df.count()
-    filled = catalog.QUERIES["slice_frame_filled"](spark, sf)
+    filled = catalog.QUERIES["frame_filled"](spark, sf)
     assert filled.agg(F.sum("value")).first()[0] == n
     on = filled.where("value > 0").count()
-    assert catalog.QUERIES["slice_connected_components"](spark, sf).count() == on
-    assert 0 < catalog.QUERIES["slice_blobs"](spark, sf).agg(F.sum("area")).first()[0] <= on
+    assert catalog.QUERIES["connected_components"](spark, sf).count() == on
+    assert 0 < catalog.QUERIES["blobs"](spark, sf).agg(F.sum("area")).first()[0] <= on
 
 
 def test_fold_queries_take_the_whole_stream(spark, monkeypatch):
