@@ -167,6 +167,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, threshold: float
                 if out:
                     d, *rest = zip(*out)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(rest[0], pa.int32()), pa.array(rest[1], pa.float64()), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "item", "score", "first_word", "end_word"])
+            common.release()
 
         names = spark.createDataFrame(pa.table({"item": pa.array(range(part.num_rows), pa.int32()), "item_id": part["item_id"]})) if part.num_rows else spark.createDataFrame([], "item int, item_id long")
         here = rows.mapInArrow(look, schema).join(F.broadcast(names), "item").select("doc_id", "item_id", "score", "first_word", "end_word")

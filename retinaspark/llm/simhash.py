@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sh
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        common.release()
 
     return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
 

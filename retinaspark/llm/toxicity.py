@@ -159,5 +159,6 @@ def classify(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: str
         held = Model(weight, bias)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(held, batch.column(place)))], names=[*batch.schema.names, score_col])
+        common.release()
 
     return docs.mapInArrow(run, schema)

@@ -10,8 +10,9 @@ import pytest
 sys.path.insert(0, "tests")
 import __spark_entry__ as entry
 import corpus_pipeline
-from retinaspark.llm import common, queries
+from retinaspark.llm import common, decontaminate, queries
 from test_llm import brute_simhash
+from test_near import shingles, similar
 from test_oracle import norm
 
 SF = "/root/testdata/sf0.001"
@@ -34,9 +35,15 @@ def test_stages(spark):
             fp = {i: brute_simhash(t) for i, t in zip(before["doc_id"], before["text"])}
             left = [fp[i] for i in after["doc_id"]]
             assert all((a ^ b).bit_count() > 2 for k, a in enumerate(left) for b in left[:k])
-            assert all(any((fp[i] ^ b).bit_count() <= 2 for b in fp.values()) for i in fp)
-            assert len(after) == len({c for _, c in components(fp)})
+            words = {i: shingles(t) for i, t in zip(before["doc_id"], before["text"])}
+            stay = [words[i] for i in after["doc_id"]]
+            assert not any(similar(a, b) for k, a in enumerate(stay) for b in stay[:k])
+            # one of each group that fingerprints or shingles link, and all that nothing links
+            root = dict(components(fp, lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 2 or similar(words[i], words[j])))
+            assert {root[i] for i in after["doc_id"]} == set(root.values())
         if name == "decontaminate":
+            found = {r["doc_id"] for r in decontaminate.find(common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")).collect()}
+            assert set(after["doc_id"]) == set(before["doc_id"]) - found
             bench = common.table(spark, SF, "benchmark").toPandas()["text"]
             assert not any(b in t for t in after["text"] for b in bench) and len(after) > 0.8 * len(before)
         if name == "mix":
@@ -55,7 +62,7 @@ def test_stages(spark):
     assert seen == ["toxicity", "simhash", "decontaminate", "mix", "tokenize"]
 
 
-def components(fp):
+def components(fp, linked):
     ids, root = sorted(fp), {i: i for i in fp}
 
     def find(i):
@@ -65,7 +72,7 @@ def components(fp):
 
     for k, i in enumerate(ids):
         for j in ids[:k]:
-            if (fp[i] ^ fp[j]).bit_count() <= 2:
+            if linked(i, j):
                 root[find(i)] = find(j)
     return [(i, find(i)) for i in ids]
 
