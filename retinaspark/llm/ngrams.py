@@ -2,31 +2,35 @@
 
 A word's score is its n-gram's count over its context's count if the n-gram is
 in the tables, else ``alpha`` times its score with a context one word shorter; a
-single word's is its count over all words.  Counts cover the whole corpus;
-n-grams of two words or more that occur fewer than ``min_count`` times are
-pruned, so what one document alone says backs off.  A document's score is the
-sum of its words' log10 scores, and the mean of them.
+single word's is its count over all words.  Counts cover the whole corpus.
+Where the corpus is the documents themselves, every n-gram of a document is in
+it, if only by that document; so n-grams of two words or more that occur fewer
+than ``min_count`` times (2; 1 keeps all) don't count as seen, and what one
+document alone says backs off.  A document's score is the sum of its words'
+log10 scores, and the mean of them.
 
 1. Explode.  Each task takes a chunk of documents at a time and sends the
    chunk's distinct n-grams, with how often it has them, to the ranges of their
-   64-bit hashes, packed into one row of bytes for each range.
-2. Count.  Each range adds its entries up: that is its part of the count tables.
-   It joins them to the chunks' entries and sends each chunk its counts, in the
-   order of its entries.
+   56-bit hashes, packed into one row of bytes for each range.
+2. Count and join.  Each range of an order has a task of its own, which adds its
+   entries up: that is its part of the count tables.  The exploded n-grams are
+   in that task too, so the join to them takes no other shuffle; each chunk gets
+   its counts, in the order of its entries.
 3. Sum.  Each task takes its chunks again, puts the counts to the n-grams and
    adds up the documents' scores.
 
-So n-grams cross the network once, as 64-bit hashes in sorted runs, and counts
+So n-grams cross the network once, as hashes in sorted runs, and counts
 once, in as few bytes as they need; a frequent n-gram is one entry a chunk, and
 no key is hot.  Ranges grow in number with the input; a task holds one.  Step 3
 relies on step 1's chunks: a checksum of each is compared, and another order of
-rows is an error, not a wrong score (write such a DataFrame first).  Two of 10**9
-different n-grams share a hash with odds of 3 %.
+rows is an error, not a wrong score (write such a DataFrame first).  Of 10**9
+different n-grams seven pairs or so share a hash.
 
 Nulls: a null or empty text has no words, sum 0 and a null mean.  Rows with a
 null or equal id each get their own score.  Words that a corpus other than the
 documents doesn't have count as ``unknown``.  Extra columns are not looked at.
-An empty corpus scores as one with a single unknown word.
+An empty corpus scores as one with a single unknown word.  Very long texts are
+a chunk of their own, in some 60 times their bytes of memory.
 """
 
 from __future__ import annotations
@@ -57,19 +61,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
 
 
 def _grams(hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """The k-grams of rows, in order."""
-    if k == 1:
-        return hashes
-    return hashing.grams(hashes, k)[hashing.inside(first, k, len(hashes))]
+    """The k-grams of rows, in order, in 56 bits."""
+    h = hashes if k == 1 else hashing.grams(hashes, k)[hashing.inside(first, k, len(hashes))]
+    return h >> np.uint64(8)
 
 
 def _planes(h: np.ndarray) -> bytes:
     """Sorted hashes byte by byte, high bytes first: those hardly change, so they compress."""
-    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].T).tobytes()
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+    planes = np.frombuffer(data, np.uint8).reshape(7, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 1:] = planes.T
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def _small(c: np.ndarray) -> bytes:
@@ -94,7 +100,7 @@ def _entries(rows: DataFrame, order: int, ranges: int, corpus: bool, asks: bool)
             out = []
             for k in range(1, order + 1):
                 h, c = np.unique(_grams(hashes, first, k), return_counts=True)
-                r = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                r = ((h >> np.uint64(24)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(r)) + 1
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)]):
                     if b > a:
@@ -102,11 +108,12 @@ def _entries(rows: DataFrame, order: int, ranges: int, corpus: bool, asks: bool)
             if out:
                 types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["k", "r", "part", "n", "check", "hashes", "counts"])
+        common.release()
 
     return rows.select("text").mapInArrow(explode, "k int, r int, part int, n int, check long, hashes binary, counts binary")
 
 
-def _answered(entries: DataFrame, ranges: int, min_count: int) -> DataFrame:
+def _answered(entries: DataFrame, order: int, ranges: int, min_count: int) -> DataFrame:
     """part, n, k, r, check, counts: what each chunk asked for; part -1: the words in a range, in ``check``."""
     def answer(held):
         k, r = held[0][0], held[0][1]
@@ -135,12 +142,14 @@ def _answered(entries: DataFrame, ranges: int, min_count: int) -> DataFrame:
                 held.append(row)
         if held:
             yield answer(held)
+        common.release()
 
-    dealt = entries.repartition(ranges, "k", "r").sortWithinPartitions("k", "r")
+    # range r of order k has task r * order + k - 1 for itself
+    dealt = entries.repartitionById(ranges * order, (F.col("r") * order + F.col("k") - 1).cast("int")).sortWithinPartitions("k", "r")
     return dealt.mapInArrow(run, "part int, n int, k int, r int, check long, counts binary")
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 2, min_count: int = 2, alpha: float = 0.4, unknown: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, min_count: int = 2, alpha: float = 0.4, unknown: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, log10_score, mean_log10) of each row of ``docs`` by the counts of ``corpus`` (default: of ``docs``)."""
     spark = docs.sparkSession
     rows = common.only(docs, doc_id=key, text=text)
@@ -152,7 +161,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 2, m
         entries = _entries(rows, order, ranges, False, True).union(_entries(common.only(corpus, text=text), order, ranges, True, False))
     folder_uri = common.fresh_dir(spark, "ngram-counts")
     # a folder for each task of step 3, with its chunks' counts
-    _answered(entries, ranges, min_count).repartition(ranges, "part").sortWithinPartitions("part", "n", "k", "r").write.partitionBy("part").option("compression", "zstd").parquet(folder_uri)
+    _answered(entries, order, ranges, min_count).repartition(ranges, "part").sortWithinPartitions("part", "n", "k", "r").write.partitionBy("part").option("compression", "zstd").parquet(folder_uri)
     schema = "part int, n int, k int, r int, check long, counts binary"
     total = spark.read.schema(schema).parquet(folder_uri).where("part = -1").agg(F.sum("check")).first()[0] or 1
 
@@ -198,6 +207,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 2, m
             part = np.add.reduceat(np.append(s, 0.0), first[:-1])
             part = np.where(words > 0, part, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(words)), pa.array(words), pa.array(part), pa.array(np.where(words > 0, part / np.maximum(words, 1), 0.0), mask=words == 0)], names=["doc_id", "n_words", "log10_score", "mean_log10"])
+        common.release()
 
     schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log10_score"), F.lit(None).cast("double").alias("mean_log10")).schema
     return rows.mapInArrow(add_up, schema)

@@ -38,14 +38,6 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
-def op5_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores by trigrams, backed off to bigrams and words."""
-    from . import ngrams
-
-    found = ngrams.score(common.table(spark, sf_dir, "documents"), order=3)
-    return found.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -103,7 +95,6 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_lm_scores": op5_lm_scores,
-    "op5_lm_scores_order3": op5_lm_scores_order3,
     "op6_toxicity": op6_toxicity,
     "op7_substrings": op7_substrings,
     "op8_decontamination": op8_decontamination,
@@ -113,6 +104,25 @@ QUERIES = {
 
 #: DuckDB SQL for those that it can express.
 ORACLE_SQL: dict[str, str] = {
+    "op7_substrings": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM d WHERE len(w) >= 50
+        ), g AS (
+            SELECT doc_id, s, array_to_string(w[s + 1:s + 50], ' ') AS k FROM p
+        ), least AS (
+            SELECT k, min(doc_id) AS least FROM g GROUP BY k
+        ), gone AS (
+            SELECT DISTINCT doc_id, s + unnest(range(50)) AS i FROM g JOIN least USING (k) WHERE doc_id > least
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
@@ -129,26 +139,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
     "op5_lm_scores": r"""
-        WITH d AS (
-            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-        ), o AS (
-            SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM d WHERE len(w) > 0
-        ), one AS (
-            SELECT b AS w, count(*) AS n FROM o GROUP BY b
-        ), two AS (
-            SELECT a, b, count(*) AS n FROM o WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2
-        ), s AS (
-            SELECT o.doc_id,
-                   CASE WHEN two.n IS NOT NULL THEN log10(two.n) - log10(ca.n)
-                        ELSE CASE WHEN o.a IS NULL THEN 0 ELSE log10(0.4) END + log10(cb.n) - log10((SELECT count(*) FROM o)) END AS s
-            FROM o JOIN one cb ON cb.w = o.b LEFT JOIN one ca ON ca.w = o.a LEFT JOIN two ON two.a = o.a AND two.b = o.b
-        ), t AS (
-            SELECT doc_id, count(*) AS n_words, sum(s) AS s FROM s GROUP BY doc_id
-        )
-        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(round(s, 4), 0) AS log10_score, round(s / n_words, 6) AS mean_log10
-        FROM d LEFT JOIN t USING (doc_id)
-    """,
-    "op5_lm_scores_order3": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
         ), o AS (

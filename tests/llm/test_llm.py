@@ -298,15 +298,24 @@ def brute_lm(texts, order=2, min_count=2):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(spark, order):
+@pytest.mark.parametrize("order,min_count", [(1, 2), (2, 2), (3, 2), (3, 1), (4, 3)])
+def test_lm_scores(spark, order, min_count):
     texts = awkward()
-    got = {r["doc_id"]: r for r in ngrams.score(table(spark, texts), order=order).collect()}
-    for i, (n, s) in enumerate(brute_lm(texts, order)):
+    got = {r["doc_id"]: r for r in ngrams.score(table(spark, texts), order=order, min_count=min_count).collect()}
+    for i, (n, s) in enumerate(brute_lm(texts, order, min_count)):
         assert got[i]["n_words"] == n and got[i]["log10_score"] == pytest.approx(s, rel=1e-9, abs=1e-9)
         assert (got[i]["mean_log10"] is None) == (n == 0)
 
 
+def test_lm_of_many_chunks_and_ranges(spark, monkeypatch):
+    texts = awkward() + [prose(200) for _ in range(40)]
+    monkeypatch.setattr(ngrams, "CHUNK", 2000)
+    monkeypatch.setattr(ngrams, "PER_RANGE", 3000)
+    got = {r["doc_id"]: r for r in ngrams.score(table(spark, texts)).collect()}
+    for i, (n, s) in enumerate(brute_lm(texts, 3)):
+        assert got[i]["n_words"] == n and got[i]["log10_score"] == pytest.approx(s, rel=1e-9, abs=1e-9)
+
+
 def test_lm_other_corpus_and_empty(spark):
     corpus, docs = table(spark, ["a b a b"]), table(spark, ["a b", "q"])
     got = {r["doc_id"]: r["log10_score"] for r in ngrams.score(docs, corpus).collect()}
