@@ -415,7 +415,11 @@ def brute_align(a, b):
 def test_alignment():
     for _ in range(40):
         a, b = RNG.integers(0, 4, RNG.integers(1, 15)), RNG.integers(0, 4, RNG.integers(1, 25))
-        assert decontaminate.align(a, b)[0] == brute_align(a, b)
+        score, start, end = decontaminate.align(a, b)
+        assert score == brute_align(a, b) == brute_align(a, b[start:end])
+        if score:
+            # it can't start later or end sooner
+            assert brute_align(a, b[start + 1:end]) < score > brute_align(a, b[start:end - 1])
 
 
 def test_decontamination(spark):
@@ -434,6 +438,72 @@ def test_decontamination(spark):
     assert decontaminate.find(table(spark, texts), bench.limit(0)).count() == 0
 
 
+def brute_find(ids, texts, items, threshold=0.5):
+    """Every item against every text; items share a seed of three words with what they are found in."""
+    words = lambda t: regex.sub(r"[!-/:-@\[-`{-~\x00-\x1f]", " ", (t or "").lower()).split()
+    out = []
+    for d, t in zip(ids, texts):
+        t = words(t)
+        seeds = {tuple(t[k: k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+        for i, item in items:
+            w = words(item)
+            n = min(3, len(w))
+            if w and any(tuple(w[k: k + n]) in seeds for k in range(len(w) - n + 1)):
+                score = brute_align(w, t) / (2 * len(w))
+                if score >= threshold:
+                    out.append((d, i, score))
+    return out
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 5])
+def test_decontamination_against_brute_force(spark, monkeypatch, pairs):
+    rng = np.random.default_rng(21)
+    items = [(f"item {i}", prose(int(rng.integers(1, 40)), rng).replace("ß", "s")) for i in range(12)]
+    items += [("copy", items[0][1]), ("null", None), ("empty", " "), (None, items[1][1])]
+    texts = [None, "", "one"]
+    for _ in range(30):
+        parts = [prose(int(rng.integers(0, 30)), rng)]
+        for _ in range(rng.integers(0, 3)):
+            w = items[int(rng.integers(12))][1].split()
+            for _ in range(rng.integers(0, 1 + len(w) // 3)):
+                k = int(rng.integers(len(w)))
+                w[k: k + 1] = [["other"], [], [w[k], "more"]][rng.integers(3)]
+            parts += [" ".join(w).upper() if rng.random() < 0.3 else ", ".join(w), prose(int(rng.integers(0, 30)), rng)]
+        texts.append(" ".join(parts))
+    ids = [*range(len(texts) - 1), 3]
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.find(table(spark, texts, ids), bench, block=9).collect()
+    key = lambda r: (r[0], r[1] or "", r[2])
+    assert sorted([(r["doc_id"], r["item_id"], r["score"]) for r in got], key=key) == sorted(brute_find(ids, texts, [x for x in items if x[0]] + [(None, items[1][1])]), key=key)
+    assert len(got) > 20 and {type(r["item_id"]) for r in got} == {str, type(None)}
+    none = decontaminate.find(table(spark, texts), bench.limit(0))
+    assert none.count() == 0 and none.schema["item_id"].dataType.simpleString() == "string"
+
+
+def test_decontamination_by_parts():
+    rng = np.random.default_rng(2)
+    texts = [prose(30, rng) for _ in range(20)]
+    items = decontaminate.Items([t[: len(t) // 2] for t in texts], 3)
+    hashes, first = decontaminate._words(pa.array(texts))
+    whole = [*decontaminate._found(items, hashes, first, 0.5)]
+    for pairs in (1, 7, 40):
+        decontaminate.PAIRS, kept = pairs, decontaminate.PAIRS
+        try:
+            assert [*decontaminate._found(items, hashes, first, 0.5)] == whole
+        finally:
+            decontaminate.PAIRS = kept
+    assert len(whole) >= 20
+
+
+def test_decontamination_says_where(spark):
+    item = " ".join(f"q{i}" for i in range(10))
+    copy = item.replace("q5", "q5 x y").split()
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    r = decontaminate.find(table(spark, ["a b c d " + " ".join(copy) + " e f"]), bench).first()
+    assert (r["first_word"], r["end_word"], r["item_id"]) == (4, 16, 7)
+
+
 def test_decontamination_of_many_edited_copies(spark):
     rng = np.random.default_rng(8)
     item = [f"q{i}" for i in range(40)]
