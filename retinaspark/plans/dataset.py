@@ -176,6 +176,13 @@ class EventReader:
         """Slice by slice; for all at once in one plan there are ``frames`` and ``stream``."""
         return (self.slice(n) for n in range(len(self)))
 
+    def save(self, path: str, *, format: str | None = None, **options) -> None:
+        """Write the whole recording, operators done, in any format; slices are written together, in order."""
+        from ..sources.files import save
+
+        s = self.stream
+        save(EventStream(s.df.select("x", "y", "t", "p", "seq"), s.meta), path, format=format, **options)
+
     def summary(self) -> DataFrame:
         """n_events of every slice, empty ones included."""
         counts = self.stream.df.groupBy("slice_id").agg(F.count("*").alias("n_events"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -79,15 +80,81 @@ def _unwrapped(high: np.ndarray, mask: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def decode_evt2(data: bytes) -> Columns:
-    """32-bit words: OFF (0) and ON (1) with 6 low bits of time, 11 of x and y; TIME_HIGH (8) with 28 bits."""
+@dataclass(frozen=True)
+class RawState:
+    """What a ``.raw`` decoder knows at some word: a checkpoint that decoding can go on from."""
+
+    high: int | None = None
+    wraps: int = 0
+    low: int = 0
+    y: int = 0
+    base: int = 0
+    on: int = 0
+
+
+def read_evt2(data: bytes, state: RawState = RawState()) -> tuple[np.ndarray, ...]:
+    """32-bit words: OFF (0) and ON (1) with 6 low bits of time, 11 of x and y; TIME_HIGH (8) with 28 bits.
+
+    x, y, t, p, and each event's place: the number of its word.
+    """
     w = np.frombuffer(data[: len(data) // 4 * 4], "<u4")
+    led = state.high is not None
+    if led:
+        w = np.concatenate([np.array([8 << 28 | state.high], "<u4"), w])
     kind = w >> 28
     tick = kind == 8
-    high = _held(tick, _unwrapped(w & 0x0FFFFFFF, tick, 28))
-    ok = (kind < 2) & np.logical_or.accumulate(tick) if len(w) else tick
+    high = _held(tick, _unwrapped(w & 0x0FFFFFFF, tick, 28)) + (state.wraps << 28)
+    ok = np.flatnonzero((kind < 2) & np.logical_or.accumulate(tick)) if len(w) else np.zeros(0, np.int64)
     w, high, kind = w[ok], high[ok], kind[ok]
-    return (w >> 11 & 0x7FF).astype(np.int32), (w & 0x7FF).astype(np.int32), high << 6 | (w >> 22 & 0x3F).astype(np.int64), kind == 1
+    return (w >> 11 & 0x7FF).astype(np.int32), (w & 0x7FF).astype(np.int32), high << 6 | (w >> 22 & 0x3F).astype(np.int64), kind == 1, ok - led
+
+
+def decode_evt2(data: bytes) -> Columns:
+    """All events of a file's words: x, y, t, p."""
+    return read_evt2(data)[:4]
+
+
+def decode_evt3(data: bytes) -> Columns:
+    """All events of a file's words: x, y, t, p."""
+    return read_evt3(data)[:4]
+
+
+def scan_evt2(data: bytes) -> dict:
+    """What a stretch of words does to a decoder's state."""
+    w = np.frombuffer(data[: len(data) // 4 * 4], "<u4")
+    return _scanned_ticks((w & 0x0FFFFFFF)[w >> 28 == 8], 28)
+
+
+def _scanned_ticks(ticks: np.ndarray, bits: int) -> dict:
+    if not len(ticks):
+        return {}
+    return {"first": int(ticks[0]), "high": int(ticks[-1]), "wraps": int((np.diff(ticks.astype(np.int64)) < -(1 << bits - 1)).sum())}
+
+
+def scan_evt3(data: bytes) -> dict:
+    """What a stretch of words does to a decoder's state; ``moved`` is how far vectors go on from the last base."""
+    w = np.frombuffer(data[: len(data) // 2 * 2], "<u2").astype(np.int64)
+    kind, body = w >> 12, w & 0xFFF
+    out = _scanned_ticks(body[kind == 8], 12)
+    times = np.flatnonzero((kind == 6) | (kind == 8))
+    if len(times):
+        out["low"] = int(body[times[-1]]) if kind[times[-1]] == 6 else 0
+    rows, bases = np.flatnonzero(kind == 0), np.flatnonzero(kind == 3)
+    if len(rows):
+        out["y"] = int(body[rows[-1]] & 0x7FF)
+    since = int(bases[-1]) if len(bases) else 0
+    out["moved"] = int(12 * (kind[since:] == 4).sum() + 8 * (kind[since:] == 5).sum())
+    if len(bases):
+        out |= {"base": int(body[since] & 0x7FF), "on": int(body[since] >> 11 & 1)}
+    return out
+
+
+def after(state: RawState, done: dict, bits: int) -> RawState:
+    """The state behind a stretch that was scanned."""
+    wraps = state.wraps + done.get("wraps", 0)
+    if "first" in done and state.high is not None:
+        wraps += done["first"] - state.high < -(1 << bits - 1)
+    return RawState(done.get("high", state.high), wraps, done.get("low", state.low), done.get("y", state.y), done.get("base", state.base) + done.get("moved", 0), done.get("on", state.on))
 
 
 def encode_evt2(x, y, t, p) -> bytes:
@@ -106,33 +173,37 @@ def encode_evt2(x, y, t, p) -> bytes:
     return out.tobytes()
 
 
-def decode_evt3(data: bytes) -> Columns:
-    """16-bit words with state: y (0), x with polarity (2), vectors (3 base, 4 of 12, 5 of 8), time low (6) and high (8)."""
+def read_evt3(data: bytes, state: RawState = RawState()) -> tuple[np.ndarray, ...]:
+    """16-bit words with state: y (0), x with polarity (2), vectors (3 base, 4 of 12, 5 of 8), time low (6) and high (8).
+
+    x, y, t, p, and each event's place: the number of its word, by 12, and its place in the vector.
+    """
     w = np.frombuffer(data[: len(data) // 2 * 2], "<u2").astype(np.int64)
-    if not len(w):
-        return (np.zeros(0, np.int32),) * 2 + (np.zeros(0, np.int64), np.zeros(0, bool))
+    lead = [] if state.high is None else [8 << 12 | state.high, 6 << 12 | state.low]
+    lead += [state.y, 3 << 12 | state.on << 11 | state.base & 0x7FF]
+    w = np.concatenate([np.array(lead, np.int64), w])
     kind, body = w >> 12, w & 0xFFF
     tick = kind == 8
-    high = _held(tick, _unwrapped(body, tick, 12))
+    high = _held(tick, _unwrapped(body, tick, 12)) + (state.wraps << 12)
     low = _held((kind == 6) | tick, np.where(kind == 6, body, 0))
     t = high << 12 | low
     y = _held(kind == 0, body & 0x7FF)
     base = kind == 3
-    moved = np.cumsum(np.where(kind == 4, 12, np.where(kind == 5, 8, 0)))
-    before = moved - np.where(kind == 4, 12, np.where(kind == 5, 8, 0))
-    start = _held(base, body & 0x7FF) + before - _held(base, moved)
+    length = np.where(kind == 4, 12, np.where(kind == 5, 8, 0))
+    moved = np.cumsum(length)
+    start = _held(base, body & 0x7FF) + moved - length - _held(base, moved)
     pol = _held(base, body >> 11 & 1)
     begun = np.logical_or.accumulate(tick)
     one = np.flatnonzero((kind == 2) & begun)
-    vec = np.flatnonzero(((kind == 4) | (kind == 5)) & begun)
-    bits = (body[vec, None] >> np.arange(12) & 1).astype(bool) & (np.arange(12) < np.where(kind[vec] == 4, 12, 8)[:, None])
-    row, col = np.nonzero(bits)
+    vec = np.flatnonzero((length > 0) & begun)
+    row, col = np.nonzero((body[vec, None] >> np.arange(12) & 1).astype(bool) & (np.arange(12) < length[vec][:, None]))
     at = np.concatenate([one, vec[row]])
+    place = np.concatenate([one, vec[row]]) * 12 + np.concatenate([np.zeros(len(one), np.int64), col])
     xs = np.concatenate([body[one] & 0x7FF, start[vec[row]] + col])
     ps = np.concatenate([body[one] >> 11 & 1, pol[vec[row]]])
-    order = np.lexsort((xs, at))
+    order = np.argsort(place, kind="stable")
     at = at[order]
-    return xs[order].astype(np.int32), y[at].astype(np.int32), t[at], ps[order].astype(bool)
+    return xs[order].astype(np.int32), y[at].astype(np.int32), t[at], ps[order].astype(bool), place[order] - 12 * len(lead)
 
 
 def encode_evt3(x, y, t, p) -> bytes:

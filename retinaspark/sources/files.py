@@ -9,6 +9,8 @@ it doesn't depend on partitions.
 from __future__ import annotations
 
 import io
+import json
+import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -22,12 +24,19 @@ from ..schema import EVENT_SCHEMA, SensorMeta
 from ..stream import EventStream
 from . import codecs
 
+#: Formats that were added: name to a function of (spark, path) that gives (DataFrame of events, sensor size or None).
+READERS: dict = {}
 #: Bytes of a file that one task decodes, where ranges can be decoded apart.
 RANGE = 32 << 20
 FORMATS = {".parquet": "parquet", ".txt": "text", ".csv": "text", ".npz": "npz", ".dat": "dat", ".raw": "raw", ".aedat": "aedat2", ".h5": "hdf5", ".hdf5": "hdf5", ".bag": "rosbag", ".aedat4": "aedat4", ".zip": "e2vid", ".png": "png"}
 NAMES = ["x", "y", "t", "p", "seq"]
 
 
+def register_format(name: str, suffix: str, read) -> None:
+    """Add a format: files with the suffix are read by ``read(spark, path)``, which gives (x, y, t, p, seq) and the sensor's size or None."""
+    FORMATS[suffix.lower()], READERS[name] = name, read
+
+
 def detect_format(path: str) -> str:
     try:
         return FORMATS[PurePosixPath(path).suffix.lower()]
@@ -170,10 +179,35 @@ def _whole(spark, path, start, size, work):
 
 
 def _raw(spark, path):
+    """Ranges of words are scanned first; that gives each range the decoder's state where it starts, then all are decoded apart."""
     head, size = _head(path)
     start, text = codecs.header_of(head)
-    work = codecs.decode_evt3 if b"evt 3" in text.lower() or b"evt3" in text.lower() else codecs.decode_evt2
-    return _whole(spark, path, start, size, work), codecs.geometry(text)
+    evt3 = b"evt 3" in text.lower() or b"evt3" in text.lower()
+    unit, bits, scan, work = (2, 12, codecs.scan_evt3, codecs.read_evt3) if evt3 else (4, 28, codecs.scan_evt2, codecs.read_evt2)
+    ranges = [(start + a, start + b) for a, b in _ranges(0, size - start, unit)]
+    state, states = codecs.RawState(), {}
+    if len(ranges) > 1:
+        jobs = spark.createDataFrame(ranges, "lo long, hi long").repartition(len(ranges), "lo")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f, p = _fs(path)
+            for batch in batches:
+                for lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+                    with f.open_input_file(p) as raw:
+                        yield pa.RecordBatch.from_pydict({"lo": [lo], "done": [json.dumps(scan(raw.read_at(hi - lo, lo)))]})
+
+        # a short row for each range of a file
+        done = {r["lo"]: json.loads(r["done"]) for r in jobs.mapInArrow(run, "lo long, done string").collect()}
+    for lo, _ in ranges:
+        states[lo] = state
+        if len(ranges) > 1:
+            state = codecs.after(state, done[lo], bits)
+
+    def decode(raw, lo, hi):
+        x, y, t, p, place = work(raw.read_at(hi - lo, lo), states[lo])
+        return x, y, t, p, place + (lo - start) // unit * (12 if evt3 else 1)
+
+    return _decoded(spark, path, ranges, decode), codecs.geometry(text)
 
 
 def _aedat2(spark, path, sensor_size):
@@ -188,7 +222,9 @@ def _aedat2(spark, path, sensor_size):
 def load(spark: SparkSession, path: str, *, format: str | None = None, sensor_size=None, time_unit: str = "us", order: str = "txyp", offset: int | None = None, max_events: int | None = None, topic: str | None = None) -> EventStream:
     """A recording as a stream.  ``offset`` cuts by time first, then ``max_events`` by number; ``topic`` is for bags."""
     kind = format or detect_format(path)
-    if kind == "parquet":
+    if kind in READERS:
+        df, size = READERS[kind](spark, path)
+    elif kind == "parquet":
         df, size = spark.read.parquet(path), None
         if "width" in df.columns:
             r = df.select("width", "height").first()
@@ -235,38 +271,78 @@ def save(s: EventStream, path: str, *, format: str | None = None, evt: int = 2)
         sink.append(s)
 
 
+def by_ranges(df: DataFrame, rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns of stretches of a DataFrame, in order: tasks pack ``rows`` rows or so each, the driver has one at a time."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def packed():
+            out = io.BytesIO()
+            np.savez(out, *[np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(held[0].num_columns)])
+            return pa.RecordBatch.from_pydict({"data": [out.getvalue()]}, schema=pa.schema([("data", pa.binary())]))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= rows:
+                yield packed()
+                held, n = [], 0
+        if held:
+            yield packed()
+
+    for r in df.mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True):
+        with np.load(io.BytesIO(bytes(r["data"]))) as z:
+            yield [z[name] for name in z.files]
+
+
+class _Forward:
+    """An output stream that an archive can be written to from front to back."""
+
+    def __init__(self, out) -> None:
+        self.out = out
+
+    def write(self, data) -> int:
+        self.out.write(bytes(data))
+        return len(data)
+
+    def flush(self) -> None:
+        self.out.flush()
+
+
 class EventSink:
     """Writes windows of a stream to one file as they come; later windows must not go back in time for ``raw``."""
 
     def __init__(self, path: str, width: int, height: int, *, format: str | None = None, evt: int = 2) -> None:
         self.kind, self.path, self.size, self.evt = format or detect_format(path), path, (width, height), evt
-        if self.kind not in ("text", "npz", "dat", "raw", "aedat2", "e2vid-text"):
+        if self.kind not in ("text", "npz", "dat", "raw", "aedat2", "e2vid-text", "e2vid"):
             raise NotImplementedError(f"{self.kind} files can't be written")
         f, p = _fs(path)
         self.out, self.n_events, self.last, self.parts = f.open_output_stream(p), 0, None, []
-        self.out.write({"dat": codecs.dat_header(width, height), "raw": codecs.pack_header(f"evt {evt}.0", f"geometry {width}x{height}"), "aedat2": b"#!AER-DAT2.0\r\n# geometry %dx%d\r\n" % (width, height), "e2vid-text": f"{width} {height}\n".encode()}.get(self.kind, b""))
+        self.zip = None
+        if self.kind == "e2vid":
+            # one text file in the archive, packed as it comes
+            self.file, self.zip = self.out, zipfile.ZipFile(_Forward(self.out), "w", zipfile.ZIP_DEFLATED)
+            self.out = self.zip.open("events.txt", "w", force_zip64=True)
+        self.out.write({"dat": codecs.dat_header(width, height), "raw": codecs.pack_header(f"evt {evt}.0", f"geometry {width}x{height}"), "aedat2": b"#!AER-DAT2.0\r\n# geometry %dx%d\r\n" % (width, height), "e2vid-text": f"{width} {height}\n".encode(), "e2vid": f"{width} {height}\n".encode()}.get(self.kind, b""))
 
     def append(self, s: EventStream) -> None:
         if s.sensor_size != self.size:
             raise ValueError("the sensor's size has changed")
-        rows, held = s.df.orderBy("seq").select("x", "y", "t", "p").toLocalIterator(prefetchPartitions=True), []
-        for r in rows:
-            held.append(r)
-            if len(held) >= 200_000:
-                self._write(held)
-                held = []
-        if held:
-            self._write(held)
-
-    def _write(self, rows: list) -> None:
-        x, y, t, p = (np.array(c) for c in zip(*rows))
-        if self.kind in ("raw", "e2vid-text") and ((np.diff(t) < 0).any() or self.last is not None and t[0] < self.last):
+        # ranges of the order come one by one, each as columns
+        ordered = s.df.select("x", "y", "t", "p", "seq").orderBy("seq").select("x", "y", "t", "p")
+        for columns in by_ranges(ordered):
+            self._write(columns)
+
+    def _write(self, columns: list) -> None:
+        x, y, t, p = columns
+        if self.kind in ("raw", "e2vid-text", "e2vid") and ((np.diff(t) < 0).any() or self.last is not None and t[0] < self.last):
             raise ValueError("times must not go backwards")
         self.last = int(t[-1])
-        self.n_events += len(rows)
+        self.n_events += len(t)
         if self.kind == "text":
             self.out.write("".join(f"{c} {a} {b} {int(d)}\n" for a, b, c, d in zip(x, y, t, p)).encode())
-        elif self.kind == "e2vid-text":
+        elif self.kind in ("e2vid-text", "e2vid"):
             self.out.write(codecs.e2vid_lines(*self.size, x, y, t, p).split("\n", 1)[1].encode())
         elif self.kind == "dat":
             self.out.write(codecs.encode_dat(x, y, t, p))
@@ -287,6 +363,9 @@ class EventSink:
             np.savez(buffer, x=cols[0].astype(np.uint16), y=cols[1].astype(np.uint16), t=cols[2].astype(np.int64), p=cols[3].astype(np.uint8), width=np.uint64(self.size[0]), height=np.uint64(self.size[1]), timestamp_scale_ms=0.001)
             self.out.write(buffer.getvalue())
         self.out.close()
+        if self.zip is not None:
+            self.zip.close()
+            self.file.close()
 
     def __enter__(self) -> "EventSink":
         return self

@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.camera import Camera
@@ -90,6 +91,8 @@ def _messages(data: bytes, wanted: set[int]) -> Iterator[tuple[int, bytes]]:
         how = head["compression"]
         if how == b"bz2":
             body = bz2.decompress(body)
+        elif how == b"lz4":
+            body = pa.input_stream(pa.BufferReader(body), compression="lz4").read()
         elif how != b"none":
             raise NotImplementedError(f"chunks packed with {how.decode()} need a library that isn't part of this package")
         for inner, h, message in _records(body):

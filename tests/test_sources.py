@@ -115,6 +115,62 @@ def test_bias_control(spark):
     assert SensorMeta(1, 1).span() == 30.0
 
 
+@pytest.mark.parametrize("evt", [2, 3])
+def test_raw_ranges_go_on_from_checkpoints(spark, tmp_path, monkeypatch, evt):
+    from retinaspark.sources import files
+
+    rng = np.random.default_rng(evt)
+    # times wrap several times over the 24 bits of EVT 3
+    t = np.sort(rng.integers(0, 90_000_000, 3000))
+    s = from_numpy(spark, np.stack([rng.integers(0, 1200, 3000), rng.integers(0, 700, 3000), t, rng.integers(0, 2, 3000)], 1).astype(float), sensor_size=(1280, 720))
+    save(s, str(tmp_path / "a.raw"), evt=evt)
+    whole = rows(load(spark, str(tmp_path / "a.raw")))
+    monkeypatch.setattr(files, "RANGE", 1000)
+    ranged = load(spark, str(tmp_path / "a.raw"))
+    assert rows(ranged) == whole == rows(s) and ranged.df.rdd.getNumPartitions() > 5
+
+
+def test_vectors_go_on_over_ranges():
+    words = [8 << 12 | 1, 6 << 12 | 5, 7, 3 << 12 | 1 << 11 | 100, 4 << 12 | 0xFFF, 5 << 12 | 0x81, 4 << 12 | 1, 2 << 12 | 9, 8 << 12 | 4000, 5 << 12 | 3, 8 << 12 | 2, 4 << 12 | 0x800]
+    data = np.array(words, "<u2").tobytes()
+    whole = [c.tolist() for c in codecs.read_evt3(data)]
+    for cut in range(0, len(data) + 1, 2):
+        state = codecs.after(codecs.RawState(), codecs.scan_evt3(data[:cut]), 12)
+        a, b = codecs.read_evt3(data[:cut]), codecs.read_evt3(data[cut:], state)
+        assert [np.concatenate(c).tolist() for c in zip(a[:4], b[:4])] == whole[:4]
+        assert np.concatenate([a[4], b[4] + cut // 2 * 12]).tolist() == whole[4]
+
+
+def test_e2vid_archive(spark, tmp_path):
+    import zipfile
+
+    save(stream(spark), str(tmp_path / "a.zip"))
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        lines = z.read(z.namelist()[0]).decode().splitlines()
+    first = rows(stream(spark))[0]
+    assert len(lines) == 401 and lines[1] == f"{first[2] / 1e6:.6f} {first[0]} {first[1]} {int(first[3])}"
+    from retinaspark.plans.dataset import open_stream
+
+    open_stream(stream(spark), dt_ms=10).flip_x().save(str(tmp_path / "b.zip"))
+    with zipfile.ZipFile(tmp_path / "b.zip") as z:
+        turned = z.read(z.namelist()[0]).decode().splitlines()
+    w = int(turned[0].split()[0])
+    assert len(turned) == 401 and int(turned[1].split()[1]) == w - 1 - first[0]
+
+
+def test_added_formats(spark, tmp_path):
+    from retinaspark.sources import files
+
+    def read(spark, path):
+        return stream(spark).df, (64, 48)
+
+    files.register_format("mine", ".mine", read)
+    try:
+        assert rows(load(spark, str(tmp_path / "x.mine"))) == rows(stream(spark))
+    finally:
+        del files.FORMATS[".mine"], files.READERS["mine"]
+
+
 def test_command_line_and_video(spark, tmp_path, capsys):
     from retinaspark.cli import main
     from retinaspark.functions.video import save_video
