@@ -221,6 +221,19 @@ def event_rate(s: EventStream, bin_ms: float = 1.0) -> DataFrame:
     return bins.join(counts, [*s.keys, "bin"], "left").select(*s.keys, (F.col("t0") + F.col("bin") * width).alias("t"), n.alias("count"), pos.alias("positive"), (n - pos).alias("negative"), (n / F.lit(width * s.meta.scale_ms / 1000.0)).alias("rate"))
 
 
+def cloud(f: Frame) -> DataFrame:
+    """The cells of frames that aren't zero as points: x, y, z (the channel) and value."""
+    return f.df.where("value <> 0").select(*f.keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("c").cast("double").alias("z"), F.col("value").cast("double").alias("value"))
+
+
+def event_cloud(s: EventStream, depth: float = 1.0) -> DataFrame:
+    """Events as points: x, y, z from 0 at the slice's first time to ``depth`` at its last, and p."""
+    bounds = s.df.groupBy(*s.keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    df = s.df.join(F.broadcast(bounds), list(s.keys)) if s.keys else s.df.join(F.broadcast(bounds), F.lit(True))
+    z = F.when(F.col("t1") > F.col("t0"), (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")) * F.lit(float(depth))).otherwise(0.0)
+    return df.select(*s.keys, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), z.alias("z"), "p")
+
+
 def pixel_counts(s: EventStream) -> DataFrame:
     return s.df.groupBy(*s.keys, "x", "y").agg(F.count("*").alias("count"))
 

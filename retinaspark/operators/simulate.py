@@ -151,6 +151,52 @@ class _Pixels:
         self.out.append((self.x[i], self.y[i], np.maximum(t, 0), positive))
 
 
+class Simulator:
+    """A simulator for frames that come one by one, from a camera or a renderer; it holds one interval's events.
+
+    ``push`` takes [H, W] luma from 0 to 255 and gives the events since the last
+    frame as columns x, y, t, p, in order of (t, y, x, p).  Thresholds are drawn
+    from the seed, as in ``simulate``'s, but by another generator.
+    """
+
+    def __init__(self, width: int, height: int, config: SimulatorConfig = SimulatorConfig()) -> None:
+        self.config, self.width, self.height = config, width, height
+        self.reset()
+
+    def reset(self) -> None:
+        n, cfg = self.width * self.height, self.config
+        at = np.arange(n)
+        x, y = at % self.width, at // self.width
+        def thresholds(base: float, salt: int) -> np.ndarray:
+            gauss = np.sqrt(-2 * np.log(1 - _draws(cfg.seed, x, y, 0, salt))) * np.cos(2 * math.pi * _draws(cfg.seed, x, y, 0, salt + 1))
+            return np.maximum(base + gauss * cfg.sigma_thres, max(0.1 * base, 1e-3))
+
+        self.pixels = _Pixels(cfg, x, y, thresholds(cfg.pos_thres, 10), thresholds(cfg.neg_thres, 12))
+        self.before: np.ndarray | None = None
+
+    def _steps(self, luma: np.ndarray) -> int:
+        cfg = self.config
+        if cfg.upsample == "off" or self.before is None:
+            return 1
+        if cfg.upsample != "adaptive":
+            return max(1, min(int(cfg.upsample), 4096))
+        jump = np.abs(lin_log(luma) - lin_log(self.before)).max(initial=0.0)
+        return max(1, min(math.ceil(jump / (cfg.max_events_per_pixel * cfg.pos_thres)), cfg.max_upsample, 4096))
+
+    def push(self, t: int, luma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        luma = np.asarray(luma, float).ravel()
+        if len(luma) != self.width * self.height:
+            raise ValueError("the frame isn't of the sensor's size")
+        self.pixels.out = []
+        self.pixels.frame(np.arange(len(luma)), int(t), luma, self._steps(luma))
+        self.before = luma
+        if not self.pixels.out:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+        x, y, when, p = (np.concatenate(c) for c in zip(*self.pixels.out))
+        order = np.lexsort((p, x, y, when))
+        return x[order], y[order], when[order], p[order]
+
+
 def simulate(frames: DataFrame, width: int, height: int, config: SimulatorConfig = SimulatorConfig(), tile: int = 32) -> EventStream:
     """Events of frames given as rows (frame, t in microseconds, y, x, luma from 0 to 255).
 

@@ -22,6 +22,20 @@ def crop(s: EventStream, x0: int, y0: int, width: int, height: int) -> EventStre
     return s.mapped(width, height, x=F.col("x") - x0, y=F.col("y") - y0)
 
 
+def roi(s: EventStream, x0: int, y0: int, width: int, height: int) -> EventStream:
+    """The events of a window of the sensor, where they are."""
+    return s.with_(s.df.where((F.col("x") >= x0) & (F.col("x") < x0 + width) & (F.col("y") >= y0) & (F.col("y") < y0 + height)))
+
+
+def rate_cap(s: EventStream, max_rate: float, bin_ms: float = 1.0) -> EventStream:
+    """At most ``max_rate`` events a second: of each bin of time the first that fit."""
+    width = max(1, int(s.meta.ticks(bin_ms) + 0.5))
+    most = max(1, int(max_rate * width * s.meta.scale_ms / 1000.0))
+    bin_ = F.expr(f"t div {width}")
+    place = F.row_number().over(Window.partitionBy(*s.keys, bin_).orderBy("seq"))
+    return s.with_(s.df.withColumn("_place", place).where(F.col("_place") <= most).select(*s.columns))
+
+
 def flip_x(s: EventStream) -> EventStream:
     return s.mapped(x=s.meta.width - 1 - F.col("x"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import duration_us, scale_us
-from ..operators import augment, features, filters, frames, masks, motion, represent, transforms
+from ..operators import augment, clock, features, filters, frames, masks, motion, represent, transforms
 from ..stream import EventStream
 
 
@@ -183,6 +183,13 @@ class EventReader:
         s = self.stream
         save(EventStream(s.df.select("x", "y", "t", "p", "seq"), s.meta), path, format=format, **options)
 
+    def alongside(self, samples: DataFrame, t: str = "t") -> DataFrame:
+        """Frames, IMU readings or other samples on the same clock, with the slice they fall in."""
+        length = self.slicing.dt
+        if not length:
+            length = max(1, int(self.slices.agg(F.max(F.col("t1") - F.col("t0"))).first()[0] or 1))
+        return clock.alongside(self.slices, samples, length, t)
+
     def summary(self) -> DataFrame:
         """n_events of every slice, empty ones included."""
         counts = self.stream.df.groupBy("slice_id").agg(F.count("*").alias("n_events"))
@@ -232,7 +239,7 @@ def open(spark, source, *, max_events: int | None = None, repr: str | None = Non
 
 #: Operators that readers and streams have as methods.
 OPERATORS = {f.__name__: f for f in (
-    transforms.crop, transforms.flip_x, transforms.flip_y, transforms.rotate90, transforms.transpose, transforms.translate, transforms.resize, transforms.scale,
+    transforms.crop, transforms.roi, transforms.rate_cap, transforms.flip_x, transforms.flip_y, transforms.rotate90, transforms.transpose, transforms.translate, transforms.resize, transforms.scale,
     transforms.warp_affine, transforms.warp_perspective, transforms.undistort, masks.mask, transforms.time_window, transforms.time_shift, transforms.time_scale,
     transforms.normalize_time, transforms.decimate, transforms.filter_polarity, transforms.invert_polarity, transforms.sort_by_time,
     augment.random_flip_x, augment.random_flip_y, augment.random_polarity_flip, augment.random_crop, augment.event_drop, augment.pixel_dropout,

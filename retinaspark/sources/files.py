@@ -62,7 +62,9 @@ def _batch(x, y, t, p, seq) -> pa.RecordBatch:
 
 
 def _decoded(spark: SparkSession, path: str, ranges: list[tuple[int, int]], decode) -> DataFrame:
-    """``decode(bytes, offset) -> (x, y, t, p, seq)`` over byte ranges of a file."""
+    """``decode(bytes, offset) -> (x, y, t, p, seq)`` over byte ranges of a file; without a session the two as they are."""
+    if spark is None:
+        return ranges, decode
     jobs = spark.createDataFrame(ranges, "lo long, hi long").repartition(max(1, len(ranges)), "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,21 @@ def with_clock(df: DataFrame, meta: SensorMeta, delay_ms: float) -> DataFrame:
     return df.select("*", ts).withWatermark("ts", f"{int(delay_ms * 1000)} microseconds")
 
 
-def _window(dt_ms: float, step_ms: float | None):
+def _window(dt_ms: float, step_ms: float | None, origin: int = 0):
+    """Windows on a grid that goes through ``origin``, in microseconds."""
     us = lambda ms: f"{int(ms * 1000)} microseconds"
-    return F.window("ts", us(dt_ms), us(step_ms)) if step_ms else F.window("ts", us(dt_ms))
+    step = step_ms or dt_ms
+    return F.window("ts", us(dt_ms), us(step), f"{int(origin) % int(step * 1000)} microseconds")
 
 
-def live_counts(df: DataFrame, meta: SensorMeta, dt_ms: float, *, step_ms: float | None = None, delay_ms: float | None = None) -> DataFrame:
-    """Events by pixel and polarity of each window of a streaming DataFrame; windows without events don't appear."""
+def live_counts(df: DataFrame, meta: SensorMeta, dt_ms: float, *, step_ms: float | None = None, delay_ms: float | None = None, origin: int = 0) -> DataFrame:
+    """Events by pixel and polarity of each window of a streaming DataFrame; windows without events don't appear.
+
+    ``origin``: a time that a window starts at, such as the first event's.
+    """
     clocked = with_clock(df, meta, dt_ms if delay_ms is None else delay_ms)
     inside = clocked.where((F.col("x") >= 0) & (F.col("x") < meta.width) & (F.col("y") >= 0) & (F.col("y") < meta.height))
-    grouped = inside.groupBy(_window(dt_ms, step_ms).alias("w"), "y", "x", F.when(F.col("p"), 0).otherwise(1).alias("c"))
+    grouped = inside.groupBy(_window(dt_ms, step_ms, origin).alias("w"), "y", "x", F.when(F.col("p"), 0).otherwise(1).alias("c"))
     return grouped.agg(F.count("*").alias("value")).select(F.unix_micros("w.start").alias("t0"), "c", "y", "x", "value")
 
 
@@ -65,6 +71,64 @@ def live_refractory(df: DataFrame, dt: int, refresh: str = "kept") -> DataFrame:
     return df.groupBy("x", "y").applyInPandasWithState(run, EVENT_SCHEMA, "last long", "append", "NoTimeout")
 
 
+def live_count_windows(df: DataFrame, meta: SensorMeta, n: int, *, delay_ms: float = 1000.0) -> DataFrame:
+    """Events by pixel and polarity of each window of ``n`` events; ``seq`` numbers the stream's events without gaps.
+
+    A window is told when it is full.
+    """
+    clocked = with_clock(df, meta, delay_ms).withColumn("window", F.expr(f"seq div {int(n)}"))
+    inside = clocked.where((F.col("x") >= 0) & (F.col("x") < meta.width) & (F.col("y") >= 0) & (F.col("y") < meta.height))
+    return inside.groupBy("window", "y", "x", F.when(F.col("p"), 0).otherwise(1).alias("c")).agg(F.count("*").alias("value"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+def live_background(df: DataFrame, meta: SensorMeta, dt: int, neighbourhood: str = "block", tile: int = 32) -> DataFrame:
+    """The background activity filter over a streaming DataFrame.
+
+    Tiles of the sensor are parts of their own, each with the pixels beside it;
+    the state is the latest time of each of those pixels.
+    """
+    offsets = {"block": filters.BLOCK, "cross": filters.CROSS}[neighbourhood]
+    side = tile + 2
+    reach = lambda c, n: F.sequence(F.greatest(F.expr(f"({c} - 1) div {tile}"), F.lit(0)), F.least(F.expr(f"({c} + 1) div {tile}"), F.lit((n - 1) // tile)))
+    spread = df.select("*", F.explode(reach("x", meta.width)).alias("tx")).select("*", F.explode(reach("y", meta.height)).alias("ty"))
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tx, ty = key
+        rows = pd.concat(list(parts)).sort_values(["t", "seq"])
+        last = np.frombuffer(state.get[0], np.int64).copy() if state.exists else np.full(side * side, -(2**62), np.int64)
+        u, v = rows["x"].to_numpy() - tx * tile + 1, rows["y"].to_numpy() - ty * tile + 1
+        own = (u >= 1) & (u <= tile) & (v >= 1) & (v <= tile)
+        keep = np.zeros(len(rows), bool)
+        for i, (a, b, t) in enumerate(zip(u.tolist(), v.tolist(), rows["t"].tolist())):
+            if own[i]:
+                keep[i] = any(t - last[(b + dy) * side + a + dx] <= dt for dx, dy in offsets)
+            last[b * side + a] = t
+        state.update((last.tobytes(),))
+        yield rows.loc[keep, ["x", "y", "t", "p", "seq"]]
+
+    return spread.groupBy("tx", "ty").applyInPandasWithState(run, EVENT_SCHEMA, "last binary", "append", "NoTimeout")
+
+
+def hot_pixel_batches(write, folder: str, n_std: float = 3.0):
+    """For ``foreachBatch``: counts add up over batches, hot pixels' events go, ``write(batch, number)`` gets the rest.
+
+    The counts are a table below ``folder`` for each batch, a row for each active
+    pixel, so that a batch that runs again starts from the one before it.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = batch.groupBy("x", "y").agg(F.count("*").alias("c"))
+        if number > 0:
+            now = now.unionByName(spark.read.parquet(f"{folder}/counts-{number - 1}")).groupBy("x", "y").agg(F.sum("c").alias("c"))
+        now.write.mode("overwrite").parquet(f"{folder}/counts-{number}")
+        counts = spark.read.parquet(f"{folder}/counts-{number}")
+        bar = counts.agg((F.avg("c") + F.lit(float(n_std)) * F.stddev_pop("c")).alias("bar"))
+        hot = counts.join(F.broadcast(bar), F.lit(True)).where("c > bar").select("x", "y")
+        write(batch.join(hot, ["x", "y"], "left_anti"), number)
+
+    return run
+
+
 def record(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Write every micro-batch of a streaming DataFrame to Parquet; exactly once by its checkpoint."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -126,6 +190,9 @@ class HotPixelProcessor(Processor):
     def process(self, window, stream):
         now = stream.df.groupBy("x", "y").agg(F.count("*").alias("c"))
         self.counts = now if self.counts is None else self.counts.unionByName(now).groupBy("x", "y").agg(F.sum("c").alias("c"))
+        if self.counts.sparkSession.sparkContext.getCheckpointDir():
+            # else the plan would grow with every window
+            self.counts = self.counts.checkpoint()
         bar = self.counts.agg((F.avg("c") + F.lit(float(self.n_std)) * F.stddev_pop("c")).alias("bar"))
         hot = self.counts.join(F.broadcast(bar), F.lit(True)).where("c > bar")
         return masks.drop_masked_pixels(stream, hot)

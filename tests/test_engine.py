@@ -405,6 +405,49 @@ def test_noise_does_not_depend_on_tiles(spark):
     assert a == b and len(a) > 20
 
 
+def test_samples_on_one_clock(spark):
+    from retinaspark.operators import clock
+
+    rng = np.random.default_rng(9)
+    events = np.stack([rng.integers(0, 4, 300), rng.integers(0, 3, 300), np.sort(rng.integers(0, 900_000, 300)), rng.integers(0, 2, 300)], 1)
+    s = stream(spark, events, (4, 3))
+    at = sorted(int(v) for v in rng.integers(50_000, 1_000_000, 40)) + [500_000, 500_000]
+    samples = spark.createDataFrame([(v, float(i)) for i, v in enumerate(at)], "t long, gyro double")
+    got = {r["seq"]: r["gyro"] for r in clock.latest_sample(s, samples, ["gyro"], 30_000).collect()}
+    for i, e in enumerate(events.tolist()):
+        before = max(((v, g) for g, v in enumerate(at) if v <= e[2]), default=None)
+        assert got[i] == (None if before is None else before[1])
+    assert len(got) == 300
+    for r in (open_stream(s, dt_ms=100), open_stream(s, dt_ms=100).windows(step_ms=40, span_ms=100), open_stream(s, max_events=64)):
+        bounds = {x["slice_id"]: (x["t0"], x["t1"]) for x in r.slices.collect()}
+        want = sorted((k, v) for k, (a, b) in bounds.items() for v in at if a <= v < b)
+        assert sorted((x["slice_id"], x["t"]) for x in r.alongside(samples).collect()) == want
+
+
+def test_region_and_rate(spark):
+    s = stream(spark, [(k % 4, k % 3, k * 100, 1) for k in range(100)])
+    assert rows(transforms.roi(s, 1, 0, 2, 2)) == [r for r in rows(s) if 1 <= r[0] < 3 and r[1] < 2]
+    assert rows(transforms.rate_cap(s, 4000)) == [r for r in rows(s) if r[2] % 1000 < 400]
+
+
+def test_clouds(spark):
+    s = stream(spark, [(0, 0, 0, 1), (1, 0, 50, 0), (1, 0, 100, 1)])
+    assert sorted(r["z"] for r in represent.event_cloud(s, 2.0).collect()) == [0.0, 1.0, 2.0]
+    assert sorted(tuple(r) for r in represent.cloud(represent.count(s)).collect()) == [(0, 0, 0, 1), (1, 0, 0, 2)]
+
+
+def test_simulator_frame_by_frame(spark):
+    rng = np.random.default_rng(2)
+    luma, cfg = rng.integers(0, 256, (6, 5, 4)).astype(float), simulate.SimulatorConfig.ideal(upsample="adaptive", refractory_us=300)
+    f = spark.createDataFrame([(k, k * 2000, y, x, float(luma[k, y, x])) for k in range(6) for y in range(5) for x in range(4)], "frame int, t long, y int, x int, luma double")
+    sim, got = simulate.Simulator(4, 5, cfg), []
+    for k in range(6):
+        got += [tuple(map(int, e)) for e in zip(*sim.push(k * 2000, luma[k]))]
+    assert sorted(got) == sorted(rows(simulate.simulate(f, 4, 5, cfg))) and len(got) > 50
+    with pytest.raises(ValueError):
+        sim.push(0, luma[0, :2])
+
+
 def test_units():
     assert scale_us("milliseconds") == 1000 and duration_us("dt", dt_s=0.5) == 500_000 and duration_us("dt", 2) == 2000
     assert infer_unit(1.5, True) == "s" and infer_unit(2e6, False) == "us"

@@ -158,6 +158,57 @@ def test_e2vid_archive(spark, tmp_path):
     assert len(turned) == 401 and int(turned[1].split()[1]) == w - 1 - first[0]
 
 
+@pytest.mark.parametrize("name", ["a.dat", "a.txt", "a.raw"])
+def test_data_source(spark, tmp_path, name):
+    from retinaspark.sources.datasource import EventFiles
+
+    spark.dataSource.register(EventFiles)
+    save(stream(spark), str(tmp_path / name))
+    df = spark.read.format("events").load(str(tmp_path / name))
+    assert [tuple(map(int, r)) for r in df.orderBy("seq").select("x", "y", "t", F.col("p").cast("int")).collect()] == rows(stream(spark))
+    kind = {"dat": "dat", "txt": "text", "raw": "raw"}[name[2:]]
+    stream(spark).df.repartitionByRange(3, "t").sortWithinPartitions("t", "seq").write.format("events").options(width=60, height=40, format=kind).mode("append").save(str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob(f"part-*.{name[2:]}"))
+    back = [rows(load(spark, str(p), sensor_size=(60, 40))) for p in parts]
+    assert len(parts) == 3 and sorted(r for p in back for r in p) == sorted(rows(stream(spark)))
+
+
+def test_stateful_background_filter(spark, tmp_path):
+    ev = np.column_stack([RNG.integers(0, 40, 600), RNG.integers(0, 40, 600), np.sort(RNG.choice(100_000, 600, False)), RNG.integers(0, 2, 600)])
+    s = stream(spark, ev, (40, 40))
+    want = rows(filters.background_activity_filter(s, 2000))
+    for i, (lo, hi) in enumerate(((0, 30_000), (30_000, 70_000), (70_000, 100_000))):
+        s.df.where(f"t >= {lo} and t < {hi}").coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    live_df = spark.readStream.schema(s.df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "b=*"))
+    live.live_background(live_df, SensorMeta(40, 40), 2000, tile=16).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("x", "y", "t", F.col("p").cast("int")).collect()
+    assert [tuple(map(int, r)) for r in got] == want and 0 < len(want) < 600
+
+
+def test_hot_pixels_add_up_over_batches(spark, tmp_path):
+    s, kept = stream(spark), []
+    run = live.hot_pixel_batches(lambda batch, n: kept.append(batch.count()), str(tmp_path), 1.0)
+    for _ in range(2):
+        kept.clear()
+        run(s.df.where("t < 150000"), 0)
+        run(s.df.where("t >= 150000"), 1)
+    first = s.with_(s.df.where("t < 150000"))
+    hot = [(r["x"], r["y"]) for r in filters.hot_pixels(s, 1.0).collect()]
+    assert kept == [filters.hot_pixel_filter(first, 1.0).n_events(), sum((x, y) not in hot for x, y, t, _ in rows(s) if t >= 150_000)]
+
+
+def test_windows_on_a_grid_and_by_number(spark, tmp_path):
+    s = stream(spark)
+    s.df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    first = rows(s)[0][2]
+    source = spark.readStream.schema(s.df.schema).parquet(str(tmp_path / "in"))
+    for name, made in (("grid", live.live_counts(source, SensorMeta(60, 40), 10.0, origin=first)), ("number", live.live_count_windows(source, SensorMeta(60, 40), 70))):
+        made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert all((r["t0"] - first) % 10_000 == 0 for r in spark.table("grid").collect())
+    sums = {r["window"]: r["n"] for r in spark.table("number").groupBy("window").agg(F.sum("value").alias("n")).collect()}
+    assert sums == {k: min(70, 400 - 70 * k) for k in range(6)}
+
+
 def test_added_formats(spark, tmp_path):
     from retinaspark.sources import files
 
@@ -171,6 +222,32 @@ def test_added_formats(spark, tmp_path):
         del files.FORMATS[".mine"], files.READERS["mine"]
 
 
+def write_gif_bytes(image):
+    import io
+
+    from retinaspark.functions.video import write_gif
+
+    out = io.BytesIO()
+    write_gif(out, [image], 30)
+    return out.getvalue()
+
+
+def gif_pixels(data, n):
+    """The colour numbers of the first image: codes of nine bits between clear codes."""
+    at = data.index(b"!\xf9\x04") + 8 + 10 + 1
+    body = b""
+    while data[at]:
+        body += data[at + 1: at + 1 + data[at]]
+        at += 1 + data[at]
+    bits = np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little")
+    codes = (bits[: len(bits) // 9 * 9].reshape(-1, 9) << np.arange(9)).sum(1)
+    assert codes[0] == 256 and 257 in codes
+    out = codes[: list(codes).index(257)]
+    out = out[out != 256]
+    assert len(out) == n
+    return out
+
+
 def test_command_line_and_video(spark, tmp_path, capsys):
     from retinaspark.cli import main
     from retinaspark.functions.video import save_video
@@ -185,6 +262,11 @@ def test_command_line_and_video(spark, tmp_path, capsys):
     frames = open_stream(stream(spark), dt_ms=50).with_repr("count").frames()
     assert save_video(frames, str(tmp_path / "v.png")) == 6
     assert (tmp_path / "v.png").read_bytes().count(b"fcTL") == 6
+    assert save_video(frames, str(tmp_path / "v.gif")) == 6
+    data = (tmp_path / "v.gif").read_bytes()
+    assert data[:6] == b"GIF89a" and data[-1:] == b";" and data.count(b"!\xf9\x04") == 6
+    image = np.arange(40 * 30 * 3, dtype=np.uint8).reshape(30, 40, 3)
+    assert (gif_pixels(write_gif_bytes(image), 40 * 30) < 252).all()
 
 
 def test_model_needs_a_file():
