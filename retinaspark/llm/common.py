@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,11 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one in ``spark.checkpoint.dir``.  Where that is unset, as in
-    tests on one machine, a folder of this machine is used and set.
+    It is the one in ``spark.checkpoint.dir``.  Where that is unset a folder of
+    this machine is used and set, if the master is local, as in tests; on a
+    cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -33,9 +37,49 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For each open ``temporary``, the folders that go with it.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Folders written inside go at the end, but for those written with ``stays``: what reads the others has to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _scopes.pop())
+
+
+@contextmanager
+def recorded():
+    """Gives the list of folders written inside; they stay."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.pop()
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders below the shared root, by the cluster's own file system."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def noted(path: str, stays: bool = False) -> str:
+    """Remember a folder for the innermost ``temporary``, or if it ``stays`` for the one around that."""
+    for scope in reversed(_scopes[:-1] if stays else _scopes):
+        scope.append(path)
+        break
+    return path
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` below the shared root and read it back: its lineage ends there."""
-    path = fresh_dir(df.sparkSession, name)
+    path = noted(fresh_dir(df.sparkSession, name), stays)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -32,13 +32,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links may repeat and go either way; nulls and links to oneself don't count.
     """
+    spark, seen, before = links.sparkSession, None, []
     now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
-    now, seen = common.written(now, "links"), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
-        if state[0] == 0 or state == seen:
-            break
-        seen = state
-        now = common.written(_small(_large(now)), "links")
+    with common.recorded() as made:
+        now = common.written(now, "links")
+        while True:
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
+            if state[0] == 0 or state == seen:
+                break
+            seen, before = state, [*made]
+            now = common.written(_small(_large(now)), "links")
+            # a round needs the one before it alone
+            common.remove(spark, before)
+            del made[: len(before)]
+    for path in made:
+        common.noted(path)
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -115,9 +115,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]):
         at += batch.num_rows
 
 
-def _aside(df: DataFrame, name: str) -> str:
+def _aside(df: DataFrame, name: str, stays: bool = False) -> str:
     """Write a table with ``row_no`` to a folder for each partition of the documents."""
-    uri = common.fresh_dir(df.sparkSession, name)
+    uri = common.noted(common.fresh_dir(df.sparkSession, name), stays)
     parts = df.withColumn("part", F.shiftright("row_no", 33).cast("int"))
     parts.repartition("part").sortWithinPartitions("part", "row_no").write.partitionBy("part").option("compression", "zstd").parquet(uri)
     return uri
@@ -290,7 +290,8 @@ def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
 def dedup(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, n_words, n_removed, spans, kept_sha256) of each row; ``text`` is what is left, words joined by one space."""
     rows = prepared(docs, key, text)
-    cut_uri = _aside(spans(rows, window=window), "spans")
+    with common.temporary(docs.sparkSession):
+        cut_uri = _aside(spans(rows, window=window), "spans", stays=True)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = {"row_no": np.zeros(0, np.int64), "check": np.zeros(0, np.int64), "lo": np.zeros(0, np.int32), "hi": np.zeros(0, np.int32)}
