@@ -218,9 +218,7 @@ def spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretches' factors: long ones are spans; ends come with the hashes of the windows across them."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             row, check, key, ref_key, x0, lo, hi, ref_x, block_x = (batch.column(c).to_numpy().astype(np.int64) for c in ("row_no", "check", "key", "ref_key", "x", "lo", "hi", "ref_x", "block_x"))
             w, first = _unpacked(batch.column("words"))
             ref, ref_first = _unpacked(batch.column("ref_words"))
