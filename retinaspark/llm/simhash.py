@@ -23,7 +23,8 @@ from stars (see components.py); nothing is gathered on the driver.
 Nulls: a null text has no words, like an empty one: fingerprint zero, which
 links as any other.  A null doc_id is kept and gets its component's smallest
 doc_id that isn't null (null if there is none).  Rows with equal doc_ids each
-stay.  Extra columns are not looked at.
+stay.  Extra columns are not looked at.  Very long texts are hashed some words at
+a time.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -127,7 +128,9 @@ def links(nodes: DataFrame, *, crowd: int = 48) -> DataFrame:
 def cluster(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     marked = common.written(fingerprints(docs, key=key, text=text, shingle=shingle), "fingerprints")
-    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    # short rows that each become many: dealt out so that all cores have some
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, marked.count() // 50_000 + 1)
+    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts), "nodes")
     roots = components(links(nodes.select("fp")))
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
