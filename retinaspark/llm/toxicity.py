@@ -7,13 +7,18 @@ ratio of its smoothed share in toxic texts to that in others.  Buckets in too
 few texts, or that tell too little, are left out.  A logistic model is then fit
 on the features times r, and its weights times r are what scoring adds up.
 
-Fitting takes at most ``max_rows`` labelled texts, those with the smallest
-hashes of the id; scoring takes all texts, whole, in bounded memory.
+Fitting takes a bounded sample: at most ``max_rows`` labelled texts, those with
+the smallest hashes of the id, none longer than ``longest`` bytes, and of their
+features the ``most`` (20,000) that tell most.  Scoring takes all texts, whole;
+long ones go piece by piece, so beside a text's own bytes, some copies of them,
+memory is bounded.
 
 Nulls: a null text counts as empty.  An empty text gets the score of the bias
 alone.  Labels null or for missing documents are not used; a document labelled
 twice counts each time.  With no labels, or labels of one kind, the score is the
-share of toxic ones (0 with none).  Extra columns are not looked at.
+share of toxic ones (0 with none).  Repeated rows score alike.  Other columns stay
+as they are; the score's name gets an underscore before it if it is taken.  An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -124,7 +129,14 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     out = np.full(len(texts), model.bias)
     keep = model.weight != 0
     for lo, hi in common.chunks(texts, _CHUNK):
-        row, bucket = features(*_prepared(texts.slice(lo, hi - lo)), keep)
+        data, at = _prepared(texts.slice(lo, hi - lo))
+        if hi - lo == 1 and len(data) > 4 * _CHUNK:
+            # pieces that share as many bytes as a feature may lack
+            parts = [data[i: i + _CHUNK + max(SIZES) - 1] for i in range(0, len(data), _CHUNK)]
+            found = np.unique(np.concatenate([features(p, np.array([0, len(p)]), keep)[1] for p in parts]))
+            out[lo] += model.weight[found].sum(dtype=np.float64)
+            continue
+        row, bucket = features(data, at, keep)
         out[lo:hi] += np.bincount(row, weights=model.weight[bucket], minlength=hi - lo)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -134,18 +146,19 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000) -> Model:
-    """Fit on at most ``max_rows`` labelled documents that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, longest: int = 200_000) -> Model:
+    """Fit on at most ``max_rows`` labelled documents that aren't held out, of at most ``longest`` bytes each."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("double").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0.0, 1.0))
     # the limit below bounds what is broadcast
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    texts = common.only(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    texts = common.only(docs, doc_id="doc_id", text="text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     column = texts["text"].combine_chunks() if texts.num_rows else pa.array([], pa.string())
     return fit(column, texts["toxic"].to_numpy())
 
 
 def classify(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs``, and its texts' score from 0 to 1."""
+    score_col = common.free_name(docs, score_col)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weight), model.weight[model.weight != 0], model.bias))
