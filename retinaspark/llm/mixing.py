@@ -43,12 +43,33 @@ from . import common
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Factors on a source's weight by training time, in turn with the weights.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.0)))
-#: More sources than this can't be weighed on the driver.
-MOST_SOURCES = 1_000_000
+
+
+def weighed(sources: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """``sources`` (source, n) with sid, source_size and target.
+
+    In the end some sources are at ``most`` times their size and the others at
+    one multiple of their weights.  Taken by the multiple at which each would be
+    full, those that are full come first; the multiple of the rest is what is
+    left over their weights, at the first source that this doesn't fill.
+    """
+    # windows over a row for each source, not for each document
+    sid = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long") - 1
+    rows = sources.select("source", F.col("n").cast("long").alias("source_size"), sid.alias("sid"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("weight", weight).withColumn("full", F.lit(float(most)) * F.col("source_size") / F.col("weight"))
+    order = Window.orderBy("full", "sid")
+    before = F.coalesce(F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(most))
+    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    whole = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(min(share, most)))
+    steps = common.written(rows.withColumn("at", (whole - before) / rest), "sources")
+    level = steps.where(F.col("full") > F.col("at")).agg(F.min_by("at", F.struct("full", "sid")).alias("level"))
+    target = F.least(F.lit(float(most)) * F.col("source_size"), F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf"))))
+    return steps.join(F.broadcast(level), F.lit(True)).select("source", "sid", "source_size", target.alias("target"))
 
 
 def targets(sizes: list[float], weights: list[float], total: float, most: float = 2.0) -> list[float]:
-    """Split ``total`` by weight, no part above ``most`` times its size; the excess goes to the rest by weight."""
+    """The same, step by step: split ``total`` by weight, no part above ``most`` times its size; the excess goes to the rest by weight."""
     out, open_ = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0]
     left = min(total, most * sum(sizes))
     while open_:
@@ -91,29 +112,22 @@ def _time(asked, schedule):
 
 
 def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, seed: int = 7, bucket_rows: int = 2000, key: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False) -> DataFrame:
-    """Of each row: key, size, source_size, target, copies, taken, first_position, last_position; with ``keep`` the row itself in ``row``.
+    """Of each row: key, source, size, source_size, target, copies, taken, positions; with ``keep`` the row itself in ``row``.
 
-    ``first_position``: of the first copy, from 0 to 1, null with no copies;
-    further copies stand ``last_position`` and between, see ``placed``.
+    ``positions``: of each copy, from 0 to 1, in order; see ``placed``.
     """
-    spark = docs.sparkSession
     made = [docs[key].alias("key"), docs[source].alias("source"), common.count_words(docs[text]).alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[key].cast("string"), docs[text]), 1).alias("h")]
     sized = common.written(docs.select(*made), "sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(by_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    # code point order is the order of UTF-8 bytes
-    by_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    turn = [weights[i % len(weights)] for i in range(len(by_source))]
-    sizes = [float(r["n"]) for r in by_source]
-    goal = targets(sizes, turn, share * sum(sizes), most)
-    table = spark.createDataFrame([(r["source"], i, r["n"], g, i % len(schedules)) for i, (r, g) in enumerate(zip(by_source, goal))], "s_ string, sid long, source_size long, target double, turn int")
-    n_rows = sum(r["rows"] for r in by_source)
+    # strings compare by their UTF-8 bytes, which is code point order
+    table = weighed(sized.groupBy("source").agg(F.sum("size").alias("n")), weights, share, most)
+    table = common.written(table.select(F.col("source").alias("s_"), "sid", "source_size", "target", (F.col("sid") % len(schedules)).cast("int").alias("turn")), "targets")
+    n_sources, n_rows = table.count(), sized.count()
+    few = n_sources <= 10_000
     bits = max(0, (max(1, n_rows // bucket_rows) - 1).bit_length())
 
     def slotted(rows: DataFrame) -> DataFrame:
         # short rows, and so few that they may be broadcast
-        small = F.broadcast(table) if len(by_source) <= 10_000 else table
+        small = F.broadcast(table) if few else table
         rows = rows.join(small, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
         bucket = F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long")
         return rows.withColumn("slot", F.shiftleft("sid", 42).bitwiseOR(bucket))
@@ -142,7 +156,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float
     gaps = common.written(gaps, "gaps")
 
     def gapped(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(gaps) if len(by_source) <= 10_000 else gaps, "sid")
+        return rows.join(F.broadcast(gaps) if few else gaps, "sid")
 
     little = open_ & ~front & ~across & (F.col("size") <= F.col("gap") / 8)
     ordered = gapped(ordered)
@@ -153,7 +167,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float
     choice = common.written(after.select("sid", (F.abs(F.col("gap") - F.col("across")) < F.abs(F.col("gap") - F.col("n"))).alias("by_across")), "choice")
     rows = slotted(docs.select(*made, F.struct(*[docs[c] for c in docs.columns]).alias("row"))) if keep else sized
     rows = running(running(gapped(rows), F.col("size"), "before", first_bases), fill, "filled", second_bases)
-    rows = rows.join(F.broadcast(choice) if len(by_source) <= 10_000 else choice, "sid")
+    rows = rows.join(F.broadcast(choice) if few else choice, "sid")
     extra = front | (across & F.col("by_across")) | (filler & ~F.col("by_across"))
     rows = rows.withColumn("copies", whole + F.coalesce(extra, F.lit(False)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 

@@ -353,6 +353,21 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert toxicity.score(none, pa.array(["x", None])).max() < 1e-6
 
 
+def test_long_and_odd_texts_score_alike(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    texts = [prose(40, rng) + (" awful nasty words" if i % 3 == 0 else "") for i in range(90)]
+    model = toxicity.fit(pa.array(texts), np.array([float(i % 3 == 0) for i in range(90)]))
+    long = prose(3000, rng) + " awful nasty words " + prose(3000, rng)
+    whole = toxicity.score(model, pa.array([long, "", None]))
+    monkeypatch.setattr(toxicity, "_CHUNK", 512)
+    assert toxicity.score(model, pa.array([long, "", None])) == pytest.approx(whole)
+    got = toxicity.classify(table(spark, [long, long, None]).withColumn("_SCORE", F.lit(1)), model)
+    assert got.columns[-1] == "__score" and got.drop("n_chars").count() == 3
+    a, b, c = [r["__score"] for r in got.orderBy("doc_id").collect()]
+    assert a == b == pytest.approx(whole[0]) and c == pytest.approx(whole[1])
+    assert toxicity.classify(table(spark, [long]).limit(0), model).count() == 0
+
+
 # 7: substrings
 
 def brute_substrings(ids, texts, window):
@@ -566,6 +581,55 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_weighed_sources_are_the_steps(spark):
+    rng = np.random.default_rng(12)
+    for share, most in ((1.5, 2.0), (0.4, 1.0), (3.0, 2.0), (1.9, 2.0)):
+        sizes = {name: int(n) for name, n in zip([f"s{i}" for i in range(40)] + [None, "", "é", "z"], rng.choice([0, 1, 5, 40, 1000, 30_000], 44))}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, n long")
+        got = mixing.weighed(rows, (5.0, 2.0, 1.0), share, most).orderBy("sid").collect()
+        names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+        assert [r["source"] for r in got] == names and [r["sid"] for r in got] == list(range(44))
+        want = mixing.targets([sizes[n] for n in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(44)], share * sum(sizes.values()), most)
+        assert [r["target"] for r in got] == pytest.approx(want)
+
+
+def brute_mix(rows, target, most=2):
+    """Copies of one source's rows (h, key, size), as the module says."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    total = sum(r[2] for r in rows)
+    whole = int(target // total) if total else 0
+    rest, before, front, across = target - whole * total, 0, [], None
+    if whole >= most:
+        return [(r[1], whole) for r in rows]
+    for i, (_, _, n) in enumerate(rows):
+        if before + n <= rest:
+            front.append(i)
+        elif before < rest:
+            across = i
+        before += n
+    gap, filled, filler = rest - sum(rows[i][2] for i in front), 0, []
+    for i, (_, _, n) in enumerate(rows):
+        if i not in set(front) and i != across and n <= gap / 8:
+            if filled + n / 2 < gap:
+                filler.append(i)
+            filled += n
+    by_across = abs(gap - (rows[across][2] if across is not None else 0)) < abs(gap - sum(rows[i][2] for i in filler))
+    extra = set(front) | ({across} - {None} if by_across else set(filler))
+    return [(r[1], whole + (i in extra)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("bucket_rows", [2000, 20])
+def test_mixing_against_brute_force(spark, bucket_rows):
+    rng = np.random.default_rng(bucket_rows)
+    texts = [prose(int(n), rng) for n in rng.integers(1, 120, 500)] + [None, "", " "]
+    docs = table(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 11 == 0, None).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)))
+    got = mixing.plan(docs, bucket_rows=bucket_rows).toPandas()
+    for source, rows in got.groupby("source", dropna=False):
+        want = brute_mix(list(zip(rows["h"], rows["key"], rows["size"])), rows["target"].iloc[0])
+        assert dict(want) == dict(zip(rows["key"], rows["copies"]))
+        assert (rows["positions"].map(len) == rows["copies"]).all()
+
+
 def test_positions_invert_the_schedule(spark):
     for schedule in mixing.SCHEDULES:
         for asked in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
