@@ -242,6 +242,10 @@ def load(spark: SparkSession, path: str, *, format: str | None = None, sensor_si
         df, size = _raw(spark, path)
     elif kind == "aedat2":
         df, size = _aedat2(spark, path, sensor_size)
+    elif kind == "aedat4":
+        from . import aedat4
+
+        df, size = aedat4.read(spark, path)
     elif kind == "rosbag":
         from .rosbag import read_bag
 
@@ -317,7 +321,7 @@ class EventSink:
 
     def __init__(self, path: str, width: int, height: int, *, format: str | None = None, evt: int = 2) -> None:
         self.kind, self.path, self.size, self.evt = format or detect_format(path), path, (width, height), evt
-        if self.kind not in ("text", "npz", "dat", "raw", "aedat2", "e2vid-text", "e2vid"):
+        if self.kind not in ("text", "npz", "dat", "raw", "aedat2", "e2vid-text", "e2vid", "aedat4"):
             raise NotImplementedError(f"{self.kind} files can't be written")
         f, p = _fs(path)
         self.out, self.n_events, self.last, self.parts = f.open_output_stream(p), 0, None, []
@@ -326,7 +330,7 @@ class EventSink:
             # one text file in the archive, packed as it comes
             self.file, self.zip = self.out, zipfile.ZipFile(_Forward(self.out), "w", zipfile.ZIP_DEFLATED)
             self.out = self.zip.open("events.txt", "w", force_zip64=True)
-        self.out.write({"dat": codecs.dat_header(width, height), "raw": codecs.pack_header(f"evt {evt}.0", f"geometry {width}x{height}"), "aedat2": b"#!AER-DAT2.0\r\n# geometry %dx%d\r\n" % (width, height), "e2vid-text": f"{width} {height}\n".encode(), "e2vid": f"{width} {height}\n".encode()}.get(self.kind, b""))
+        self.out.write({"dat": codecs.dat_header(width, height), "raw": codecs.pack_header(f"evt {evt}.0", f"geometry {width}x{height}"), "aedat2": b"#!AER-DAT2.0\r\n# geometry %dx%d\r\n" % (width, height), "e2vid-text": f"{width} {height}\n".encode(), "e2vid": f"{width} {height}\n".encode(), "aedat4": b""}.get(self.kind, b""))
 
     def append(self, s: EventStream) -> None:
         if s.sensor_size != self.size:
@@ -350,6 +354,13 @@ class EventSink:
             self.out.write(codecs.encode_dat(x, y, t, p))
         elif self.kind == "raw":
             self.out.write((codecs.encode_evt2 if self.evt == 2 else codecs.encode_evt3)(x, y, t, p))
+        elif self.kind == "aedat4":
+            from . import aedat4
+
+            if self.n_events == len(t):
+                self.out.write(aedat4.file_header(*self.size))
+            for i in range(0, len(t), 8192):
+                self.out.write(aedat4.packet(*(c[i: i + 8192] for c in (x, y, t, p))))
         elif self.kind == "aedat2":
             self.out.write(codecs.encode_aedat2(x, y, t, p, self.size[1]))
         else:
@@ -359,6 +370,10 @@ class EventSink:
         self.out.flush()
 
     def finish(self) -> None:
+        if self.kind == "aedat4" and not self.n_events:
+            from . import aedat4
+
+            self.out.write(aedat4.file_header(*self.size))
         if self.kind == "npz":
             cols = [np.concatenate(c) if self.parts else np.zeros(0) for c in (zip(*self.parts) if self.parts else [()] * 4)]
             buffer = io.BytesIO()

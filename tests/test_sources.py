@@ -1,5 +1,7 @@
 """Formats to files and back, and live streams."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def rows(s):
     return [tuple(map(int, r)) for r in s.df.orderBy("seq").select("x", "y", "t", F.col("p").cast("int")).collect()]
 
 
-@pytest.mark.parametrize("name", ["a.txt", "a.npz", "a.dat", "a.raw", "a.aedat", "a.bag", "a.parquet"])
+@pytest.mark.parametrize("name", ["a.txt", "a.npz", "a.dat", "a.raw", "a.aedat", "a.aedat4", "a.bag", "a.parquet"])
 def test_round_trip(spark, tmp_path, name):
     s = stream(spark)
     save(s, str(tmp_path / name))
@@ -209,6 +211,24 @@ def test_windows_on_a_grid_and_by_number(spark, tmp_path):
     assert sums == {k: min(70, 400 - 70 * k) for k in range(6)}
 
 
+@pytest.mark.parametrize("packing", [0, 1, 3])
+def test_aedat4_packets(spark, tmp_path, monkeypatch, packing):
+    from retinaspark.sources import aedat4, files
+
+    path, (x, y, t, p) = tmp_path / "a.aedat4", EV.T
+    other = aedat4.packet(x[:9], y[:9], t[:9], p[:9], packing)
+    parts = [aedat4.packet(x[i: i + 50], y[i: i + 50], t[i: i + 50], p[i: i + 50], packing) for i in range(0, 400, 50)]
+    path.write_bytes(aedat4.file_header(60, 40, packing) + b"".join(b"\x07\0\0\0" + other[4:] + q for q in parts))
+    monkeypatch.setattr(files, "RANGE", 1500)
+    s = load(spark, str(path))
+    assert s.sensor_size == (60, 40) and rows(s) == [tuple(map(int, e)) for e in EV] and s.df.rdd.getNumPartitions() > 2
+    # numbers of eight bytes stand at places that eight divides
+    assert (aedat4.file_header(1, 1).index(struct.pack("<q", -1)) - len(aedat4.MAGIC)) % 8 == 0
+    path.write_bytes(b"#!AER-DAT2.0")
+    with pytest.raises(ValueError):
+        load(spark, str(path))
+
+
 def test_added_formats(spark, tmp_path):
     from retinaspark.sources import files
 
