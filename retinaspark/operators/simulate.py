@@ -52,10 +52,16 @@ def lin_log(v):
     return np.where(v <= LINEAR_UP_TO, v * (math.log(LINEAR_UP_TO) / LINEAR_UP_TO), np.log(np.maximum(v, 1e-9)))
 
 
-def interpolate(frames: DataFrame, factor: int = 2) -> DataFrame:
-    """Linear frames between each two: (frame, t, y, x, luma), numbered anew."""
+def interpolate(frames: DataFrame, factor: int = 2, between=None) -> DataFrame:
+    """Frames between each two: (frame, t, y, x, luma), numbered anew; linear, or by ``between``.
+
+    ``between(a, b, share)`` makes the [H, W] luma at a share of the way between
+    two frames, by a model for one; each pair of frames is a group of its own.
+    """
     if factor <= 1:
         return frames
+    if between is not None:
+        return _modelled(frames, factor, between)
     w = Window.partitionBy("y", "x").orderBy("frame")
     pairs = frames.withColumns({"t1": F.lead("t").over(w), "l1": F.lead("luma").over(w)})
     steps = pairs.select("frame", "t", "y", "x", "luma", "t1", "l1", F.explode(F.sequence(F.lit(0), F.when(F.col("t1").isNull(), 0).otherwise(factor - 1))).alias("k"))
@@ -63,6 +69,30 @@ def interpolate(frames: DataFrame, factor: int = 2) -> DataFrame:
     return steps.select((F.col("frame") * factor + F.col("k")).alias("frame"), F.when(F.col("k") == 0, F.col("t")).otherwise(F.round(F.col("t") + (F.col("t1") - F.col("t")) * a).cast("long")).alias("t"), "y", "x", F.when(F.col("k") == 0, F.col("luma")).otherwise(F.col("luma") + (F.col("l1") - F.col("luma")) * a).alias("luma"))
 
 
+def _modelled(frames: DataFrame, factor: int, between) -> DataFrame:
+    both = frames.select("*", F.explode(F.array(F.col("frame"), F.col("frame") - 1)).alias("pair"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["pair"].iloc[0])
+        images, times = {}, {}
+        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        for n, g in pdf.groupby("frame"):
+            images[n] = np.zeros((h, w))
+            images[n][g["y"], g["x"]] = g["luma"]
+            times[n] = int(g["t"].iloc[0])
+        if first not in images:
+            return pd.DataFrame(columns=["frame", "t", "y", "x", "luma"])
+        made = [(first * factor, times[first], images[first])]
+        if first + 1 in images:
+            for k in range(1, factor):
+                share = k / factor
+                made.append((first * factor + k, int(math.floor(times[first] + (times[first + 1] - times[first]) * share + 0.5)), np.asarray(between(images[first], images[first + 1], share), float)))
+        y, x = np.divmod(np.arange(h * w), w)
+        return pd.concat([pd.DataFrame({"frame": n, "t": t, "y": y, "x": x, "luma": image.ravel()}) for n, t, image in made])
+
+    return both.groupBy("pair").applyInPandas(run, "frame long, t long, y int, x int, luma double")
+
+
 def substeps(frames: DataFrame, config: SimulatorConfig) -> DataFrame:
     """frame and steps: into how many steps the way to each frame is cut."""
     if config.upsample == "off":

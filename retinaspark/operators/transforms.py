@@ -12,6 +12,10 @@ from ..functions.camera import Camera
 from ..stream import EventStream
 
 
+#: Time units of a range that one task sorts: 50 ms, five million events at the rate of the fastest sensors.
+SORT_BIN = 50_000
+
+
 def _half_away(c):
     # Spark rounds halves away from zero, as geometry here wants
     return F.round(c).cast("long")
@@ -175,7 +179,7 @@ def sort_by_time(s: EventStream) -> EventStream:
     if s.keys:
         return s.with_(s.df.withColumn("seq", order).select(*s.columns))
     # ranges of t are sorted apart, and the counts before them added
-    ranked = s.df.withColumn("_bin", F.floor(F.col("t") / 1_000_000))
+    ranked = s.df.withColumn("_bin", F.floor(F.col("t") / SORT_BIN))
     counts = ranked.groupBy("_bin").agg(F.count("*").alias("_n"))
     starts = counts.select("_bin", (F.sum("_n").over(s.over().orderBy("_bin")) - F.col("_n")).alias("_start"))
     within = F.row_number().over(s.over("_bin").orderBy("t", "seq")).cast("long") - 1

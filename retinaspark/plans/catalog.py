@@ -291,6 +291,19 @@ def iwe(s):
 _SLICE = "s AS (SELECT *, (t - t0) // 100000 AS slice_id FROM ev, b)"
 
 
+class Balance:
+    """A fold of one's own: ON less OFF events, and the last time."""
+
+    def __init__(self) -> None:
+        self.balance, self.last = 0, 0
+
+    def push(self, x: int, y: int, t: int, p: bool) -> None:
+        self.balance, self.last = self.balance + (1 if p else -1), max(self.last, t)
+
+    def result(self) -> tuple[int, int]:
+        return self.balance, self.last
+
+
 def _tumbling(s) -> EventReader:
     return EventReader(s, Slicing(dt=100_000))
 
@@ -347,6 +360,16 @@ def windows_flip(s):
     return cells(_tumbling(s).flip_x().with_repr("count").windows(step_ms=50, span_ms=120).frames())
 
 
+@query(f"WITH {EV}{BOUND}, w AS (SELECT unnest(range((t1 - t0) // 50000 + 1)) AS slice_id, t0 FROM b) SELECT slice_id, {PLANE} AS c, y, (15 - x)::INTEGER AS x, count(*) AS value FROM w JOIN ev ON t >= t0 + slice_id * 50000 AND t < t0 + slice_id * 50000 + 120000 GROUP BY ALL")
+def sliding_counts(s):
+    return _tumbling(s).flip_x().windows(50_000, 120_000).sliding_counts(by_polarity=True)
+
+
+@query(f"WITH {EV}{BOUND}, {_SLICE} SELECT slice_id, count(*) FILTER (WHERE p) - count(*) FILTER (WHERE NOT p) AS balance, max(t) AS last_t FROM s GROUP BY slice_id")
+def consumed(s):
+    return _tumbling(s).stream.consume(Balance, "balance long, last_t long")
+
+
 @query(f"WITH {EV}, k AS (SELECT (11 - y)::INTEGER AS x, x AS y, p FROM ev WHERE t >= 200000 AND t < 900000) SELECT {PLANE} AS c, y, x, count(*) AS value FROM k GROUP BY ALL")
 def slice_time_ops(s):
     return cells(_tumbling(s).rotate90().with_repr("polarity", normalize=False).slice_time(200_000, 900_000))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +192,27 @@ class EventReader:
             length = max(1, int(self.slices.agg(F.max(F.col("t1") - F.col("t0"))).first()[0] or 1))
         return clock.alongside(self.slices, samples, length, t)
 
+    def sliding_counts(self, by_polarity: bool = False) -> DataFrame:
+        """slice_id, c, y, x, value of the slices' event counts, for windows that overlap.
+
+        Events are counted once, in panes as long as windows have in common;
+        windows add up their panes, so a wide window costs no more events.
+        """
+        dt, step = self.slicing.dt, self.slicing.step or self.slicing.dt
+        if not dt:
+            raise ValueError("sliding counts are of windows of time")
+        pane = math.gcd(dt, step)
+        plain = reduce(lambda x, f: f(x), self.operators, EventReader(self.source, Slicing(dt=pane, offset=self.slicing.offset)).stream)
+        c = F.when(F.col("p"), 0).otherwise(1) if by_polarity else F.lit(0)
+        panes = plain.df.groupBy("slice_id", c.alias("c"), "y", "x").agg(F.count("*").alias("value"))
+        last = self.slices.agg(F.max("slice_id").alias("_last"))
+        # pane k is in the windows that start after k * pane - dt and not after k * pane
+        first = F.greatest(F.floor((F.col("slice_id") * pane - dt) / step) + 1, F.lit(0)).cast("long")
+        ends = F.least(F.floor(F.col("slice_id") * pane / step), F.col("_last")).cast("long")
+        windows = F.explode(F.when(first <= ends, F.sequence(first, ends)).otherwise(F.array().cast("array<bigint>")))
+        spread = panes.join(F.broadcast(last), F.lit(True)).select(windows.alias("window"), "c", "y", "x", "value")
+        return spread.groupBy(F.col("window").alias("slice_id"), "c", "y", "x").agg(F.sum("value").alias("value"))
+
     def summary(self) -> DataFrame:
         """n_events of every slice, empty ones included."""
         counts = self.stream.df.groupBy("slice_id").agg(F.count("*").alias("n_events"))
@@ -248,6 +271,39 @@ OPERATORS = {f.__name__: f for f in (
 )}
 
 
+def _save(s: EventStream, path: str, **options) -> None:
+    """Write the stream, a simulation's result for one, in any format."""
+    from ..sources.files import save
+
+    save(s, path, **options)
+
+
+def consume(s: EventStream, make, schema: str) -> DataFrame:
+    """Fold each slice's events, in order, by an object of one's own.
+
+    ``make()`` gives an object with ``push(x, y, t, p)`` and ``result()``, a row
+    or rows as ``schema`` says; slices are folded in parallel, each in a task.
+    """
+    from pyspark.sql.types import StructType
+
+    if not s.keys:
+        raise ValueError("slices are folded; open the stream with dt_ms or max_events")
+    out = StructType([*s.df.select(*s.keys).schema.fields, *StructType.fromDDL(schema).fields])
+    names, keys = [f.name for f in StructType.fromDDL(schema).fields], s.keys
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        consumer, pdf = make(), pdf.sort_values("seq")
+        for x, y, t, p in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["t"].tolist(), pdf["p"].tolist()):
+            consumer.push(x, y, t, p)
+        rows = consumer.result()
+        made = pd.DataFrame(rows if isinstance(rows, list) else [rows], columns=names)
+        for i, k in enumerate(keys):
+            made.insert(i, k, pdf[k].iloc[0])
+        return made
+
+    return s.df.select(*s.columns).groupBy(*s.keys).applyInPandas(run, out)
+
+
 def _attach() -> None:
     for name, f in OPERATORS.items():
         setattr(EventStream, name, f)
@@ -255,6 +311,8 @@ def _attach() -> None:
     more = (transforms.concat, transforms.max_events, transforms.skip_before, motion.optical_flow, motion.iwe, motion.contrast_maximise, represent.flatten, represent.count, represent.voxel, represent.tsurf, represent.atsurf, represent.tencode, represent.countmask, represent.redblue, represent.mcts, represent.pset, represent.raw_image, represent.event_rate, represent.pixel_counts)
     for f in more:
         setattr(EventStream, f.__name__, f)
+    EventStream.save = _save
+    EventStream.consume = consume
     for f in (frames.resize, frames.connected_components, frames.numpy, frames.dense, frames.filled, frames.blobs):
         setattr(represent.Frame, f.__name__, f)
 

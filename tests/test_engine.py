@@ -448,6 +448,13 @@ def test_simulator_frame_by_frame(spark):
         sim.push(0, luma[0, :2])
 
 
+def test_frames_between_by_a_model(spark):
+    f = spark.createDataFrame([(k, k * 1000, y, x, float(10 * k + x)) for k in range(3) for y in range(2) for x in range(3)], "frame int, t long, y int, x int, luma double")
+    made = {(r["frame"], r["y"], r["x"]): (r["t"], r["luma"]) for r in simulate.interpolate(f, 4, lambda a, b, share: a + (b - a) * share).collect()}
+    plain = {(r["frame"], r["y"], r["x"]): (r["t"], r["luma"]) for r in simulate.interpolate(f, 4).collect()}
+    assert made.keys() == plain.keys() and all(made[k] == pytest.approx(plain[k]) for k in made)
+
+
 def test_units():
     assert scale_us("milliseconds") == 1000 and duration_us("dt", dt_s=0.5) == 500_000 and duration_us("dt", 2) == 2000
     assert infer_unit(1.5, True) == "s" and infer_unit(2e6, False) == "us"
