@@ -109,6 +109,20 @@ def test_pipeline_of_windows_equals_the_whole(spark):
     assert out == whole and pipe.lookback == 20_000
 
 
+def test_bias_settings():
+    from retinaspark.streaming import biases
+
+    assert biases.preset("evk4").throttle_range == (0, 235) and biases.preset("davis346", step=3, patience=None).step == 3
+    assert biases.preset("evk4", target_rate=(1e5, 1e6)).calibrate == 0 and biases.preset("evk4", target_rate=(1e5, 1e6), calibrate=2).calibrate == 2
+    for wrong in ({"target_rate": (2.0, 1.0)}, {"max_slew": 0}, {"follower": (9, 3)}):
+        with pytest.raises(ValueError):
+            biases.preset("evk4", **wrong)
+    with pytest.raises(ValueError):
+        biases.preset("other")
+    with pytest.raises(TypeError):
+        biases.preset("evk4", pace=3)
+
+
 def test_bias_control(spark):
     rates = spark.createDataFrame([(i, 5e6) for i in range(40)], "t long, rate double")
     states = live.bias_series(rates).orderBy("t").collect()
