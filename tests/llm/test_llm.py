@@ -556,6 +556,40 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    import base64
+    import gzip
+
+    def made(kind, url, block, *more, type_="application/http; msgtype=response"):
+        head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), ("WARC-Target-URI", url), ("Content-Type", type_), *more, ("Content-Length", len(block))])
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    body, http = b"y" * 300, b"HTTP/1.1 200 OK\r\nX: z\r\n\r\n"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    text = b"plain " * 40
+    plain = made("warcinfo", "i", b"software: q", type_="application/warc-fields") + made("response", "a", http + body, ("WARC-Payload-Digest", sha1)) + made("request", "a", b"GET / HTTP/1.1\r\n\r\n")
+    packed = [made("revisit", "b", http, ("WARC-Payload-Digest", sha1)), made("response", "c", http + body, ("WARC-Payload-Digest", sha1)), made("resource", "d", text, type_="text/plain"), made("revisit", "e", http, ("WARC-Payload-Digest", "sha1:" + "A" * 32)), made("response", "f", http, ("WARC-Payload-Digest", "md5:00"))]
+    (tmp_path / "one.warc").write_bytes(plain)
+    (tmp_path / "two.warc.gz").write_bytes(b"".join(map(gzip.compress, packed)))
+    got = {r["url"]: r for r in warc.read(spark, f"file://{tmp_path}", payloads=True).collect()}
+    assert set(got) == set("abcdef") and all(r["key"] is None for r in got.values())
+    assert [got[u]["record_type"] for u in "abcdef"] == ["response", "revisit", "response", "response", "revisit", "response"]
+    assert bytes(got["b"]["payload"]) == body and got["b"]["payload_digest"] == hashlib.sha256(body).hexdigest() and got["b"]["payload_bytes"] == 300
+    assert bytes(got["d"]["payload"]) == text and got["f"]["payload_bytes"] == 0
+    assert got["e"]["payload"] is None and got["e"]["payload_digest"] == "00" * 20
+    (tmp_path / "bad.warc").write_bytes(made("response", "a", http + b"other", ("WARC-Payload-Digest", sha1)))
+    with pytest.raises(Exception, match="digest"):
+        warc.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_warc_keys_of_any_text(spark):
+    pages = spark.createDataFrame([("None", "u", "x" * 200), ("a", "u", "x" * 200), (None, "u", "y")], "page_id string, url string, html string")
+    out = common.fresh_dir(spark, "w")
+    warc.archive(pages, out)
+    got = {r["key"]: (r["record_type"], r["refers_to"]) for r in warc.read(spark, out, key_type="string").collect()}
+    assert got == {"None": ("response", None), "a": ("revisit", "None"), None: ("response", None)}
+
+
 # 10: mixing
 
 def test_targets():
