@@ -86,27 +86,32 @@ def fit(texts: pa.Array, labels: np.ndarray, *, min_texts: int = 4, most: int =
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(size, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    pos, neg = np.zeros(size), np.zeros(size)
+    # texts that have a bucket, all and toxic ones: a few bytes for each bucket, floats for those that count alone
+    held, pos = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for lo, hi in common.chunks(texts, _CHUNK):
         r, b = features(*_prepared(texts.slice(lo, hi - lo)))
-        toxic = y[r + lo] == 1
-        pos += np.bincount(b[toxic], minlength=size)
-        neg += np.bincount(b[~toxic], minlength=size)
+        for counts, here in ((held, b), (pos, b[y[r + lo] == 1])):
+            bucket, n = np.unique(here, return_counts=True)
+            counts[bucket] += n.astype(np.int32)
     n1, n0 = y.sum(), len(y) - y.sum()
-    ratio = np.log((pos + 1) / (n1 + 2)) - np.log((neg + 1) / (n0 + 2))
+    seen = np.flatnonzero(held >= max(min_texts, 1))
+    total, toxic = held[seen].astype(float), pos[seen].astype(float)
+    del held, pos
     # how surprising the split of a bucket's texts is
-    total = pos + neg
-    told = np.where(total >= min_texts, (pos - total * n1 / len(y)) ** 2 / (total * n1 * n0 / len(y) ** 2 + 1e-9), 0)
+    told = (toxic - total * n1 / len(y)) ** 2 / (total * n1 * n0 / len(y) ** 2 + 1e-9)
     chosen = np.flatnonzero(told > 6.6)
     if len(chosen) > most:
         chosen = np.sort(chosen[np.argsort(-told[chosen], kind="stable")[:most]])
+    ratio = np.log((toxic[chosen] + 1) / (n1 + 2)) - np.log((total[chosen] - toxic[chosen] + 1) / (n0 + 2))
+    chosen = seen[chosen]
     slot, keep, parts = np.zeros(size, np.int32), np.zeros(size, bool), []
     slot[chosen], keep[chosen] = np.arange(len(chosen)), True
     for lo, hi in common.chunks(texts, _CHUNK):
         r, b = features(*_prepared(texts.slice(lo, hi - lo)), keep)
         parts.append(((r + lo).astype(np.int32), slot[b]))
     row, col = (np.concatenate(x) for x in zip(*parts))
-    x = ratio[chosen][col]
+    del slot, keep, parts
+    x = ratio[col]
     # full-batch accelerated gradient descent on the logistic loss
     norm = np.bincount(row, weights=x * x, minlength=len(y)).max() + 1
     w, v, bias, vb = np.zeros(len(chosen)), np.zeros(len(chosen)), float(np.log(n1 / n0)), 0.0
@@ -120,7 +125,7 @@ def fit(texts: pa.Array, labels: np.ndarray, *, min_texts: int = 4, most: int =
         w = v - step * (np.bincount(col, weights=x * g[row], minlength=len(chosen)) / len(y) * 20 + ridge * v)
         bias = vb - step * g.mean() * 20
     weight = np.zeros(size, np.float32)
-    weight[chosen] = w * ratio[chosen]
+    weight[chosen] = w * ratio
     return Model(weight, bias)
 
 
@@ -153,7 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, longest:
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     texts = common.only(docs, doc_id="doc_id", text="text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     column = texts["text"].combine_chunks() if texts.num_rows else pa.array([], pa.string())
-    return fit(column, texts["toxic"].to_numpy())
+    model = fit(column, texts["toxic"].to_numpy())
+    del texts, column
+    common.release()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: str = "text", score_col: str = "score") -> DataFrame:
