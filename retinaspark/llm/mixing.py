@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bits of the hash that documents are ordered by.
+ORDER_BITS = 60
 #: Sources' weights, in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Factors on a source's weight by training time, in turn with the weights.
@@ -86,6 +88,11 @@ def targets(sizes: list[float], weights: list[float], total: float, most: float
     return out
 
 
+def _order(seed: int, key, text):
+    """The keyed random order: the leading bits of an MD5 sum, which any engine can make."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), key.cast("string"), text)), 1, ORDER_BITS // 4), 16, 10).cast("long")
+
+
 def _pieces(schedule) -> list[tuple[float, float, float, float]]:
     """(time, factor, slope, integral before, as a share of the whole) of each line of a schedule."""
     lines, total = [], 0.0
@@ -116,7 +123,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float
 
     ``positions``: of each copy, from 0 to 1, in order; see ``placed``.
     """
-    made = [docs[key].alias("key"), docs[source].alias("source"), common.count_words(docs[text]).alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[key].cast("string"), docs[text]), 1).alias("h")]
+    made = [docs[key].alias("key"), docs[source].alias("source"), common.count_words(docs[text]).alias("size"), _order(seed, docs[key], docs[text]).alias("h")]
     sized = common.written(docs.select(*made), "sizes")
     # strings compare by their UTF-8 bytes, which is code point order
     table = weighed(sized.groupBy("source").agg(F.sum("size").alias("n")), weights, share, most)
@@ -129,7 +136,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, schedules=SCHEDULES, share: float
         # short rows, and so few that they may be broadcast
         small = F.broadcast(table) if few else table
         rows = rows.join(small, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-        bucket = F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long")
+        bucket = F.shiftright("h", ORDER_BITS - bits) if bits else F.lit(0).cast("long")
         return rows.withColumn("slot", F.shiftleft("sid", 42).bitwiseOR(bucket))
 
     def running(rows: DataFrame, what, name: str, bases: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
     found = mixing.plan(common.table(spark, sf_dir, "documents"))
-    return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", F.try_element_at("positions", F.lit(1)).alias("position")).orderBy("position", "doc_id")
+    return found.select(F.col("key").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position")).orderBy("position", "doc_id")
 
 
 QUERIES = {
@@ -102,8 +102,73 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
+def _time_sql(asked: str, schedule) -> str:
+    """The time at which a share of a source's words has been asked for, as mixing's."""
+    from .mixing import _pieces
+
+    out, follows = None, None
+    for t, f, slope, before in reversed(_pieces(schedule)):
+        due = f"greatest({asked} - {before!r}::DOUBLE, 0)"
+        step = f"CASE WHEN {due} = 0 THEN 0 ELSE 2 * {due} / ({f!r}::DOUBLE + sqrt(greatest({f * f!r}::DOUBLE + {due} * {2 * slope!r}::DOUBLE, 0))) END"
+        here = f"{t!r}::DOUBLE + {step}"
+        out = here if out is None else f"CASE WHEN {asked} < {follows!r}::DOUBLE THEN {here} ELSE {out} END"
+        follows = before
+    return f"least({out}, 1)"
+
+
+def _mixing_sql() -> str:
+    from .mixing import SCHEDULES, WEIGHTS
+
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    turns = " ".join(f"WHEN {i} THEN {w!r}::DOUBLE" for i, w in enumerate(WEIGHTS))
+    times = " ".join(f"WHEN {i} THEN {_time_sql('asked', s)}" for i, s in enumerate(SCHEDULES))
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   ('0x' || substr(md5(concat_ws(chr(31), '7', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS h FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source
+        ), r AS (
+            SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS sid FROM s
+        ), w AS (
+            SELECT *, CASE sid % {len(WEIGHTS)} {turns} END AS weight FROM r
+        ), u AS (
+            SELECT *, 2 * n / weight AS brim FROM w
+        ), l AS (
+            SELECT *, (sum(n) OVER () * 1.5::DOUBLE - coalesce(sum(n) OVER (ORDER BY brim, sid {before}), 0) * 2)
+                      / sum(weight) OVER (ORDER BY brim, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM u
+        ), v AS (
+            SELECT arg_min(lvl, sid) AS level FROM (SELECT lvl, row_number() OVER (ORDER BY brim, sid) AS sid FROM l WHERE brim > lvl)
+        ), t AS (
+            SELECT source, sid, n AS source_size, least(2.0::DOUBLE * n, coalesce(weight * level, 'inf'::DOUBLE)) AS target FROM l, v
+        ), o AS (
+            SELECT doc_id, size, h, sid, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
+                   coalesce(sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id NULLS FIRST, size {before}), 0)::BIGINT AS sofar
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), f AS (
+            SELECT *, target - whole * source_size AS rest, whole < 2 AND sofar + size <= target - whole * source_size AS front,
+                   whole < 2 AND sofar < target - whole * source_size AND sofar + size > target - whole * source_size AS across FROM o
+        ), g AS (
+            SELECT sid, any_value(rest) - coalesce(sum(size) FILTER (front), 0) AS gap, coalesce(max(size) FILTER (across), 0) AS one FROM f GROUP BY sid
+        ), x AS (
+            SELECT f.*, gap, one, whole < 2 AND NOT front AND NOT across AND size <= gap / 8 AS little FROM f JOIN g USING (sid)
+        ), y AS (
+            SELECT *, little AND coalesce(sum(CASE WHEN little THEN size ELSE 0 END) OVER (PARTITION BY sid ORDER BY h, doc_id NULLS FIRST, size {before}), 0) + size / 2.0::DOUBLE < gap AS filler FROM x
+        ), z AS (
+            SELECT sid, abs(any_value(gap) - any_value(one)) < abs(any_value(gap) - coalesce(sum(size) FILTER (filler), 0)) AS by_across FROM y GROUP BY sid
+        ), c AS (
+            SELECT *, whole + (front OR across AND by_across OR filler AND NOT by_across)::BIGINT AS copies,
+                   CASE WHEN target > 0 THEN least((sofar + size / 2.0::DOUBLE) / target, 1) ELSE 0 END AS asked FROM y JOIN z USING (sid)
+        )
+        SELECT doc_id, size, source_size, round(target, 6) AS target, copies * size AS taken, copies,
+               CASE WHEN copies > 0 THEN round(CASE sid % {len(SCHEDULES)} {times} END, 9) END AS position
+        FROM c
+    """
+
+
 #: DuckDB SQL for those that it can express.
 ORACLE_SQL: dict[str, str] = {
+    "op10_mixing": _mixing_sql(),
     "op7_substrings": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
