@@ -444,6 +444,16 @@ l AS (SELECT seq, slot, last_value(tu IGNORE NULLS) OVER (PARTITION BY p, cx, cy
 r AS (SELECT seq, list(coalesce(last_t, -9223372036854775808) ORDER BY slot) AS a FROM l WHERE slot IS NOT NULL GROUP BY seq), h AS (SELECT seq, a[1:16] AS r3, a[17:36] AS r4 FROM r)
 SELECT x, y, t, p, seq FROM ev WHERE seq IN (SELECT seq FROM h WHERE {_arc_sql("r3", 16, *features.ARC_3)} AND {_arc_sql("r4", 20, *features.ARC_4)})"""
 
+QUERIES["harris_corners"] = lambda spark, d: features.harris_corners(fronts(spark, d)).df.select("x", "y", "t", "p", "seq")
+ORACLE_SQL["harris_corners"] = f"""WITH {_FRONT}, o(dx, dy) AS (SELECT a.i, b.i FROM range(-5, 6) a(i), range(-5, 6) b(i)),
+q AS (SELECT seq, dx, dy, x + dx AS cx, y + dy AS cy, NULL::BIGINT AS tu FROM ev, o WHERE x BETWEEN 5 AND 26 AND y BETWEEN 5 AND 26 UNION ALL SELECT seq, NULL, NULL, x, y, t FROM ev),
+l AS (SELECT seq, dx, dy, last_value(tu IGNORE NULLS) OVER (PARTITION BY cx, cy ORDER BY seq, dx IS NOT NULL ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 0.001::DOUBLE AS v FROM q),
+z AS (SELECT * FROM l WHERE dx IS NOT NULL AND v IS NOT NULL),
+g AS (SELECT c.seq, (e.v - w.v) / 2 AS gx, (s.v - n.v) / 2 AS gy FROM z c JOIN z e ON e.seq = c.seq AND e.dx = c.dx + 1 AND e.dy = c.dy JOIN z w ON w.seq = c.seq AND w.dx = c.dx - 1 AND w.dy = c.dy
+  JOIN z s ON s.seq = c.seq AND s.dx = c.dx AND s.dy = c.dy + 1 JOIN z n ON n.seq = c.seq AND n.dx = c.dx AND n.dy = c.dy - 1 WHERE abs(c.dx) <= 4 AND abs(c.dy) <= 4),
+m AS (SELECT seq, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS c FROM g GROUP BY seq HAVING count(*) >= 3)
+SELECT x, y, t, p, seq FROM ev JOIN m USING (seq) WHERE a + c > 0 AND (a * c - b * b) / ((a + c) * (a + c)) - 0.04 > 0"""
+
 _FLOW = """sf AS (SELECT {k}y, x, max(t) * 0.001::DOUBLE AS v FROM {src} GROUP BY {k}y, x),
 g AS (SELECT {ck}c.y, c.x, (e.v - w.v) / 2 AS gx, (s.v - n.v) / 2 AS gy FROM sf c JOIN sf e ON {je}e.x = c.x + 1 AND e.y = c.y JOIN sf w ON {jw}w.x = c.x - 1 AND w.y = c.y JOIN sf s ON {js}s.x = c.x AND s.y = c.y + 1 JOIN sf n ON {jn}n.x = c.x AND n.y = c.y - 1),
 z AS (SELECT {pk}p.y, p.x, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS c, sum(gx) AS u, sum(gy) AS w, count(*) AS n FROM sf p JOIN g ON {jg}abs(g.x - p.x) <= 3 AND abs(g.y - p.y) <= 3 GROUP BY {pk}p.y, p.x),
@@ -476,11 +486,6 @@ def time_reversal(s):
 
 
 # order-dependent operators without SQL
-@query()
-def harris_corners(s):
-    return features.harris_corners(s).df
-
-
 @query()
 def contrast_maximise(s):
     return motion.contrast_maximise(EventReader(s, Slicing(dt=500_000)).stream)
