@@ -243,6 +243,30 @@ def test_aedat4_packets(spark, tmp_path, monkeypatch, packing):
         load(spark, str(path))
 
 
+def test_udp_as_a_stream(spark, tmp_path):
+    import socket
+    import time
+
+    from retinaspark.sources.udp import UdpEvents
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    spark.dataSource.register(UdpEvents)
+    q = spark.readStream.format("udp-events").option("port", port).option("wait_ms", 300).load().writeStream.format("memory").queryName("udp").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        sender, until = UdpSender("127.0.0.1", port, timestamps=True), time.monotonic() + 60
+        while time.monotonic() < until and spark.table("udp").count() < 400:
+            sender.send(stream(spark))
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    got = [tuple(map(int, r)) for r in spark.table("udp").orderBy("seq").select("x", "y", "t", F.col("p").cast("int")).limit(400).collect()]
+    want = rows(stream(spark))
+    # sending may begin while the port isn't open yet, with any datagram
+    assert len(got) == 400 and set(got) <= set(want) and [r["seq"] for r in spark.table("udp").orderBy("seq").limit(400).collect()] == list(range(400))
+
+
 def test_added_formats(spark, tmp_path):
     from retinaspark.sources import files
 
