@@ -161,7 +161,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, m
         entries = _entries(rows, order, ranges, False, True).union(_entries(common.only(corpus, text=text), order, ranges, True, False))
     folder_uri = common.fresh_dir(spark, "ngram-counts")
     # a folder for each task of step 3, with its chunks' counts
-    _answered(entries, order, ranges, min_count).repartition(ranges, "part").sortWithinPartitions("part", "n", "k", "r").write.partitionBy("part").option("compression", "zstd").parquet(folder_uri)
+    _answered(entries, order, ranges, min_count).repartitionById(ranges, F.pmod("part", F.lit(ranges)).cast("int")).sortWithinPartitions("part", "n", "k", "r").write.partitionBy("part").option("compression", "zstd").parquet(folder_uri)
     schema = "part int, n int, k int, r int, check long, counts binary"
     total = spark.read.schema(schema).parquet(folder_uri).where("part = -1").agg(F.sum("check")).first()[0] or 1
 
