@@ -49,6 +49,7 @@ def temporary(spark: SparkSession):
         yield
     finally:
         remove(spark, _scopes.pop())
+        let_go(spark)
 
 
 @contextmanager
@@ -62,6 +63,14 @@ def recorded():
         _scopes.pop()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have shuffles deleted that no DataFrame needs any more: Spark finds them by the JVM's collector."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folders: list[str]) -> None:
     """Delete folders below the shared root, by the cluster's own file system."""
     for folder in folders:
