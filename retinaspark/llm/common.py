@@ -78,6 +78,18 @@ def remove(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows that JVM and Python hand to each other at a time, in what is written inside: long ones fill memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def noted(path: str, stays: bool = False) -> str:
     """Remember a folder for the innermost ``temporary``, or if it ``stays`` for the one around that."""
     for scope in reversed(_scopes[:-1] if stays else _scopes):

@@ -58,7 +58,7 @@ from . import common, hashing
 
 _LAST = 2**63 - 1
 #: Entries that a task puts in one batch, or so.
-_GATHER = 1 << 16
+_GATHER = 1 << 14
 #: Words of a reference block.
 BLOCK = 128
 
@@ -288,7 +288,7 @@ def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
 def dedup(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, n_words, n_removed, spans, kept_sha256) of each row; ``text`` is what is left, words joined by one space."""
     rows = prepared(docs, key, text)
-    with common.temporary(docs.sparkSession):
+    with common.temporary(docs.sparkSession), common.batches_of(docs.sparkSession, 1000):
         cut_uri = _aside(spans(rows, window=window), "spans", stays=True)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
