@@ -276,8 +276,22 @@ def spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
     windows = factors.where("end is not null").join(ends, "end", "left_semi").select("end", "row_no", "check", "key", "lo", "windows").mapInArrow(across, "end long, row_no long, check long, key long, lo int, h long")
     windows = common.written(windows, "windows")
     least = common.written(windows.groupBy("end", "h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("end", "h", "least"), "least")
-    more = windows.join(least, ["end", "h"]).where("key > least").select("row_no", "check", "lo", (F.col("lo") + window).alias("hi"))
-    return whole.union(more)
+    # windows overlap and are found by several ends: their starts become bits, 64 in a row
+    more = windows.join(least, ["end", "h"]).where("key > least").select("row_no", "check", F.expr("lo div 64").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lo") % 64).alias("bit"))
+    more = more.groupBy("row_no", "check", "at").agg(F.bit_or("bit").alias("bits"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches that runs of windows cover."""
+        for batch in batches:
+            bits = np.ascontiguousarray(batch.column("bits").to_numpy())
+            edge = np.diff(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8), axis=1, prepend=0, append=0)
+            r, first = np.nonzero(edge == 1)
+            after = np.nonzero(edge == -1)[1]
+            base = batch.column("at").to_numpy()[r] * 64
+            columns = [batch.column(c).to_numpy()[r] for c in ("row_no", "check")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array((base + first).astype(np.int32)), pa.array((base + after - 1 + window).astype(np.int32))], names=["row_no", "check", "lo", "hi"])
+
+    return whole.union(more.mapInArrow(merged, "row_no long, check long, lo int, hi int"))
 
 
 def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -317,7 +331,7 @@ def dedup(docs: DataFrame, *, window: int = 50, key: str = "doc_id", text: str =
 
         for batch, base in _numbered(batches):
             # a few texts at a time: their words and what is left are held as Python objects
-            for lo, hi in common.chunks(batch.column("text")):
+            for lo, hi in common.chunks(batch.column("text"), 1 << 19):
                 out = [row(t, base + lo + i) for i, t in enumerate(batch.column("text").slice(lo, hi - lo))]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *columns], names=["key", "text", "n_words", "n_removed", "spans", "kept_sha256"])
