@@ -433,8 +433,8 @@ def test_alignment():
         score, start, end = decontaminate.align(a, b)
         assert score == brute_align(a, b) == brute_align(a, b[start:end])
         if score:
-            # it ends as soon as it can, and starts at a word of the item; of equal alignments others may start later
-            assert brute_align(a, b[start:end - 1]) < score and b[start] in a and b[end - 1] in a
+            # it starts and ends with words that agree; of equal alignments others may be shorter
+            assert b[start] in a and b[end - 1] in a
 
 
 def test_decontamination(spark):
