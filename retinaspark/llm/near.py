@@ -4,11 +4,17 @@ Texts are sets of ``shingle`` lower-case words in a row (all words, if there are
 fewer).  Two are near if their sets' Jaccard similarity is 0.8 or more, in whole
 numbers: 9 |A and B| >= 4 (|A| + |B|).
 
+Near texts share four fifths of their shingles, so a text with more than a fifth
+of its own is near none.  Shingles of the whole table are counted for that, packed
+and in turns, and only the other texts go on: unrelated texts that have lines in
+common would make candidates by the square of the table.
+
 Candidates come from prefixes: in any order of all shingles, near sets share one
 of the first n // 5 + 1 of each.  Rare shingles come first, by their counts in a
 sample, so that common lines make few candidates; the order costs time, never
 results.  A candidate also has to be near by its size and by the places of the
-shared shingle, else it can't be; the rest are compared, text by text.
+shared shingle, else it can't be; the rest are compared, text by text, in parts that bound the
+texts sent at once.
 
 A shingle that very many prefixes have is first asked of its smallest text alone:
 what is near that one goes, so a large group of copies takes as many comparisons
@@ -21,6 +27,8 @@ no shingles and stay.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +40,12 @@ from .components import components
 
 #: Texts of the sample, and how often it must have a shingle to be set back.
 SAMPLE, COMMON = 20_000, 3
+#: Shingles are counted in so many turns, by their hash, in 2**BUCKETS buckets each; a turn's shuffle goes before the next.
+TURNS, BUCKETS = 2, 11
+#: In place of a text's place in its chunk: of more than one there.
+_KNOWN = 0xFFFF
+#: Candidates are compared in parts of this many a text of the table, at least LEAST_PAIRS: each brings two texts with it.
+PAIRS_A_TEXT, LEAST_PAIRS = 0.25, 10_000
 
 
 def _sets(column: pa.Array, shingle: int):
@@ -60,6 +74,129 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return g[order], n[order]
 
 
+def _runs(batches, key: str, columns: list[str]):
+    """(key, rows) of each run of equal keys in sorted batches; a row holds the columns' values."""
+    held, now = [], None
+    for batch in batches:
+        for k, *row in zip(batch.column(key).to_pylist(), *[batch.column(c).to_pylist() for c in columns]):
+            if held and k != now:
+                yield now, held
+                held = []
+            now = k
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values, the first to ends[0], the next to ends[1] and so on."""
+    where = np.concatenate([[0], ends]).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _repeats(texts: DataFrame, shingle: int, turn: int) -> DataFrame:
+    """(id, n, r): each text's number of shingles, and how many of this turn's it shares with another text.
+
+    Shingles are sent by chunks of texts, packed, to the bucket of their upper
+    bits; back to the chunk go the places of texts whose shingles were met twice.
+    A chunk sends a shingle once, so none is many in its bucket.
+    """
+    def cut(batches):
+        for batch in batches:
+            for lo, hi in _chunked(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                sets = list(_sets(part.column("text"), shingle))
+                if not sets:
+                    continue
+                own = [s[s % np.uint64(TURNS) == turn] for _, s in sets]
+                g, at = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own]).astype(np.uint16)
+                order = np.argsort(g)
+                g, at = g[order], at[order]
+                first = np.ones(len(g), bool)
+                first[1:] = g[1:] != g[:-1]
+                again = ~first
+                again[:-1] |= ~first[1:]
+                known = at[again]
+                sent = np.where(again, _KNOWN, at)[first].astype(np.uint16)
+                g = g[first]
+                bucket = (g >> np.uint64(64 - BUCKETS)).astype(np.int32)
+                ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1 if len(g) else np.zeros(0, np.int64)
+                ids = part.column("id").take(pa.array([i for i, _ in sets]))
+                chunk = ids[0].as_py()
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([pa.array(bucket[ends - 1]), pa.array([chunk % (1 << BUCKETS)], pa.int32())]),
+                    pa.array([chunk] * (len(ends) + 1), pa.int64()),
+                    pa.concat_arrays([_blobs(g, ends), pa.nulls(1, pa.binary())]),
+                    pa.concat_arrays([_blobs(sent, ends), pa.array([known.tobytes()])]),
+                    pa.concat_arrays([pa.nulls(len(ends), pa.binary()), pa.array([ids.to_numpy().tobytes()])]),
+                    pa.concat_arrays([pa.nulls(len(ends), pa.binary()), pa.array([np.array([len(s) for _, s in sets], np.int32).tobytes()])]),
+                ], names=["bucket", "chunk", "g", "at", "ids", "n"])
+        common.release()
+
+    def back(found: dict):
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([np.concatenate(x).tobytes() for x in found.values()], pa.binary()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.binary())], names=["chunk", "at", "ids", "n"])
+
+    def met(batches):
+        found, size = {}, 0
+        for _, rows in _runs(batches, "bucket", ["chunk", "g", "at", "ids", "n"]):
+            facts = [(c, at, ids, n) for c, g, at, ids, n in rows if g is None]
+            if facts:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in facts], pa.int64()), *[pa.array([x[k] for x in facts], pa.binary()) for k in (1, 2, 3)]], names=["chunk", "at", "ids", "n"])
+            rows = [(c, np.frombuffer(g, np.uint64), np.frombuffer(at, np.uint16)) for c, g, at, *_ in rows if g is not None]
+            if len(rows) < 2:
+                continue
+            g = np.concatenate([x[1] for x in rows])
+            order = np.argsort(g)
+            same = g[order[1:]] == g[order[:-1]]
+            twice = np.zeros(len(g), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            lo = 0
+            for c, own, at in rows:
+                at = at[twice[lo: lo + len(own)]]
+                at = at[at != _KNOWN]
+                lo += len(own)
+                if len(at):
+                    found.setdefault(c, []).append(at)
+                    size += len(at)
+            if size > 1 << 21:
+                yield back(found)
+                found, size = {}, 0
+        if found:
+            yield back(found)
+        common.release()
+
+    def summed(batches):
+        for _, rows in _runs(batches, "chunk", ["at", "ids", "n"]):
+            ids, n = next((np.frombuffer(ids, np.int64), np.frombuffer(n, np.int32)) for _, ids, n in rows if ids is not None)
+            r = sum(np.bincount(np.frombuffer(at, np.uint16), minlength=len(ids)) for at, *_ in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(r.astype(np.int32))], names=["id", "n", "r"])
+
+    sent = texts.select("id", "text").mapInArrow(cut, "bucket int, chunk long, g binary, at binary, ids binary, n binary")
+    returned = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "chunk long, at binary, ids binary, n binary")
+    return returned.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "id long, n int, r int")
+
+
+def _chunked(column: pa.Array):
+    """Chunks of a text column whose places fit in 16 bits, below the mark."""
+    for lo, hi in common.chunks(column, 1 << 23):
+        for at in range(lo, hi, _KNOWN):
+            yield at, min(at + _KNOWN, hi)
+
+
+def _sharing(texts: DataFrame, shingle: int) -> DataFrame:
+    """The texts that can be near others: near texts share four fifths of their shingles, so no more than a fifth is a text's own."""
+    spark = texts.sparkSession
+    found = []
+    for turn in range(TURNS):
+        with common.batches_of(spark, 2000):
+            found.append(common.written(_repeats(texts, shingle, turn), "near-repeats"))
+        common.let_go(spark)
+    counts = functools.reduce(DataFrame.union, found).groupBy("id").agg(F.first("n").alias("n"), F.sum("r").alias("r"))
+    able = counts.where("n - r <= n div 5").select("id")
+    return common.written(texts.join(able, "id", "left_semi"), "near-sharing", stays=True)
+
+
 def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
     """(g, id, n, at): the shingles of each text's prefix, the number of all its shingles, and the place among them."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
@@ -91,10 +228,18 @@ def _may(n, at, m, bt):
     return F.lit(9) * F.least(n - at, m - bt) >= F.lit(4) * (n + m)
 
 
-def _near(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose texts are near, written."""
-    with common.temporary(texts.sparkSession):
-        return common.written(_compared(common.written(pairs.distinct(), "near-candidates"), texts, shingle), "near-links", stays=True)
+def _near(pairs: DataFrame, texts: DataFrame, shingle: int, whole: int) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose texts are near, written.  ``whole``: the number of texts of the whole table."""
+    spark = texts.sparkSession
+    with common.temporary(spark):
+        asked = common.written(pairs.distinct(), "near-candidates")
+        parts = int(asked.count() // max(LEAST_PAIRS, PAIRS_A_TEXT * whole)) + 1
+        done = []
+        for part in range(parts):
+            with common.temporary(spark):
+                some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+                done.append(common.written(_compared(some, texts, shingle), "near-compared", stays=True))
+        return common.written(functools.reduce(DataFrame.union, done), "near-links", stays=True)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -119,6 +264,10 @@ def copies(texts: DataFrame, *, shingle: int = 5, crowd: int = 24) -> DataFrame:
 
 
 def _gone(texts: DataFrame, shingle: int, crowd: int) -> DataFrame:
+    common.let_go(texts.sparkSession)
+    whole = texts.count()
+    with common.temporary(texts.sparkSession):
+        texts = _sharing(texts, shingle)
     with common.temporary(texts.sparkSession):
         # what stands in one prefix alone makes no candidates: most goes after two shuffles of short rows
         keys = common.written(prefixes(texts, shingle), "prefixes")
@@ -129,9 +278,9 @@ def _gone(texts: DataFrame, shingle: int, crowd: int) -> DataFrame:
         keys = common.written(keys, "near-keys", stays=True)
     least = common.written(keys.where(F.col("c") > crowd).groupBy("g").agg(F.min(F.struct("id", "n", "at")).alias("l")), "near-least")
     first = keys.join(least, "g").where((F.col("id") != F.col("l.id")) & _may(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
-    roots = components(_near(first.select(F.col("id").alias("a"), F.col("l.id").alias("b")), texts, shingle))
+    roots = components(_near(first.select(F.col("id").alias("a"), F.col("l.id").alias("b")), texts, shingle, whole))
     gone = common.written(roots.where("node != root").select(F.col("node").alias("id")), "near-first")
     met = keys.join(gone, "id", "left_anti").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "n", "at"))).alias("m")).where(F.size("m") > 1)
     pairs = met.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.filter(F.slice("m", F.col("i") + 2, F.size("m")), lambda y: _may(y.n, y.at, F.col("x.n"), F.col("x.at")))).alias("y"))
-    roots = components(_near(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), texts, shingle))
+    roots = components(_near(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), texts, shingle, whole))
     return gone.union(roots.where("node != root").select(F.col("node").alias("id")))

@@ -53,3 +53,36 @@ def test_no_near_copies_pass_the_pipeline(spark):
         docs = common.written(stage(spark, docs, SF), name)
     s = [shingles(r["text"]) for r in docs.select("text").collect()]
     assert not any(similar(a, b) for i, a in enumerate(s) for b in s[:i])
+
+
+def _watched(monkeypatch):
+    """Rows of every table that is written from now on, by its name."""
+    rows, write = {}, common.written
+
+    def written(df, name, stays=False):
+        out = write(df, name, stays)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    return rows
+
+
+def test_texts_with_many_shingles_of_their_own_are_not_compared(spark, monkeypatch):
+    """Two texts each have 40 words in common, and 60 of their own: the candidates grew faster than the table."""
+    texts = [(i, " ".join([f"w{i}-{k}" for k in range(60)] + [f"s{i // 2}-{k}" for k in range(40)])) for i in range(300)]
+    table = common.written(spark.createDataFrame(texts, "id long, text string"), "t")
+    rows = _watched(monkeypatch)
+    assert near.copies(table).count() == 0
+    assert sum(rows["near-candidates"]) == 0 and rows["near-sharing"] == [0]
+
+
+def test_candidates_are_compared_in_parts(spark, monkeypatch):
+    base = [[f"w{i}-{k}" for k in range(60)] for i in range(40)]
+    texts = [(i, " ".join(base[i // 5][: 60 - i % 5])) for i in range(200)]
+    table = common.written(spark.createDataFrame(texts, "id long, text string"), "t")
+    whole = sorted(r["id"] for r in near.copies(table).collect())
+    monkeypatch.setattr(near, "LEAST_PAIRS", 100)
+    rows = _watched(monkeypatch)
+    assert sorted(r["id"] for r in near.copies(table).collect()) == whole == [i for i in range(200) if i % 5]
+    assert max(rows["near-candidates"]) == 400 and len(rows["near-compared"]) > 4
