@@ -10,11 +10,11 @@ and in turns, and only the other texts go on: unrelated texts that have lines in
 common would make candidates by the square of the table.
 
 Candidates come from prefixes: in any order of all shingles, near sets share one
-of the first n // 5 + 1 of each.  Rare shingles come first, by their counts in a
-sample, so that common lines make few candidates; the order costs time, never
-results.  A candidate also has to be near by its size and by the places of the
-shared shingle, else it can't be; the rest are compared, text by text, in parts that bound the
-texts sent at once.
+of the first n // 5 + 1 of each.  Rare shingles come first, by the number of all
+those texts that have them, and of equal ones the smaller hash, so that common
+lines make few candidates.  A candidate also has to be near by its size and by
+the places of the shared shingle, else it can't be; the rest are compared, text
+by text, in parts that bound the texts sent at once.
 
 A shingle that very many prefixes have is first asked of its smallest text alone:
 what is near that one goes, so a large group of copies takes as many comparisons
@@ -32,14 +32,12 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, hashing
 from .components import components
 
-#: Texts of the sample, and how often it must have a shingle to be set back.
-SAMPLE, COMMON = 20_000, 3
 #: Shingles are counted in so many turns, by their hash, in 2**BUCKETS buckets each; a turn's shuffle goes before the next.
 TURNS, BUCKETS = 2, 11
 #: In place of a text's place in its chunk: of more than one there.
@@ -57,23 +55,6 @@ def _sets(column: pa.Array, shingle: int):
                 yield lo + i, np.unique(hashing.grams(hashes[a:b], min(shingle, b - a)))
 
 
-def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample have, sorted, and how many have them."""
-    part = max(1, texts.count() // SAMPLE)
-
-    def run(batches):
-        for batch in batches:
-            found = [s for _, s in _sets(batch.column("text"), shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["g"])
-
-    counted = texts.where(F.pmod("id", F.lit(part)) == 0).select("text").mapInArrow(run, "g long").groupBy("g").count().where(F.col("count") >= COMMON)
-    # only the order hangs on it, so the commonest are enough
-    rows = counted.orderBy(F.desc("count"), "g").limit(300_000).toArrow()
-    g, n = rows["g"].to_numpy().view(np.uint64), rows["count"].to_numpy()
-    order = np.argsort(g)
-    return g[order], n[order]
-
-
 def _runs(batches, key: str, columns: list[str]):
     """(key, rows) of each run of equal keys in sorted batches; a row holds the columns' values."""
     held, now = [], None
@@ -198,29 +179,23 @@ def _sharing(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
-    """(g, id, n, at): the shingles of each text's prefix, the number of all its shingles, and the place among them."""
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
-
+    """(g, id, n, at): the shingles of each text's prefix that another text has, the number of all its shingles, and the place among them."""
     def run(batches):
-        often, counts = shared.value
         for batch in batches:
-            out: list = []
-            for row, s in _sets(batch.column("text"), shingle):
-                rank = np.zeros(len(s), np.int64)
-                if len(often):
-                    k = np.searchsorted(often, s)
-                    k[k == len(often)] = 0
-                    rank = np.where(often[k] == s, counts[k], 0)
-                m = len(s) // 5 + 1
-                out.append((row, len(s), s[np.argsort(rank, kind="stable")[:m]]))
-            sizes = [len(x[2]) for x in out]
-            ids = batch.column("id").take(pa.array(np.repeat([x[0] for x in out], sizes).astype(np.int64)))
-            g = np.concatenate([x[2] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
-            at = np.concatenate([np.arange(m) for m in sizes]) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), ids, pa.array(np.repeat([x[1] for x in out], sizes).astype(np.int32)), pa.array(at.astype(np.int32))], names=["g", "id", "n", "at"])
+            found = list(_sets(batch.column("text"), shingle))
+            sizes = np.array([len(s) for _, s in found], np.int32)
+            ids = batch.column("id").take(pa.array(np.repeat([i for i, _ in found], sizes).astype(np.int64)))
+            g = np.concatenate([s for _, s in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g), ids, pa.array(np.repeat(sizes, sizes))], names=["g", "id", "n"])
         common.release()
 
-    return texts.mapInArrow(run, "g long, id long, n int, at int")
+    sets = common.written(texts.select("id", "text").mapInArrow(run, "g long, id long, n int"), "near-sets")
+    often = common.written(sets.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "near-often")
+    common.let_go(texts.sparkSession)
+    # a text's own shingles come first, as many as it has in common with none
+    text = Window.partitionBy("id")
+    placed = sets.join(often, "g").select("g", "id", "n", (F.row_number().over(text.orderBy("c", "g")) - 1 + F.col("n") - F.count("*").over(text)).cast("int").alias("at"))
+    return placed.where("at <= n div 5")
 
 
 def _may(n, at, m, bt):

@@ -86,3 +86,14 @@ def test_candidates_are_compared_in_parts(spark, monkeypatch):
     rows = _watched(monkeypatch)
     assert sorted(r["id"] for r in near.copies(table).collect()) == whole == [i for i in range(200) if i % 5]
     assert max(rows["near-candidates"]) == 400 and len(rows["near-compared"]) > 4
+
+
+def test_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    """A line that 30 texts have, none of them in a sample by even ids, comes after what two of them have."""
+    line = [f"line{k}" for k in range(60)]
+    odd = [(2 * i + 1, " ".join([f"w{i // 2}-{k}" for k in range(40)] + line + ["end"] * (i % 2))) for i in range(30)]
+    even = spark.range(0, 80_000, 2).selectExpr("id", "concat('f', id div 4) AS text")
+    table = common.written(even.union(spark.createDataFrame(odd, "id long, text string")), "t")
+    rows = _watched(monkeypatch)
+    assert near.copies(table, crowd=1000).where("id % 2 = 1").count() == 15
+    assert sum(rows["near-candidates"]) == 20_000 + 15
