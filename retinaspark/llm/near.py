@@ -16,13 +16,15 @@ lines make few candidates.  A candidate also has to be near by its size and by
 the places of the shared shingle, else it can't be; the rest are compared, text
 by text, in parts that bound the texts sent at once.
 
-A shingle that very many prefixes have is first asked of its smallest text alone:
-what is near that one goes, so a large group of copies takes as many comparisons
-as it has members.  What then stays is compared in pairs.
-
-Of linked texts the one with the smallest hash stays: no two that stay are near, and each that
-goes is linked, if by way of others, to one that stays.  Texts without words have
-no shingles and stay.
+Linked texts are one class, and texts of a class needn't be compared any more.
+Where more than ``crowd`` prefixes have a shingle, first the ``crowd`` that have it
+nearest to their front ask all others, then twice as many, until that finds no link:
+a large group of near copies is then a class or few, after comparisons in proportion
+to its members.  At last all texts that aren't in the largest class of a shingle's
+prefixes ask those of other classes, so no link between classes is left out.
+
+Of the texts that links connect, be it by way of others, the one with the smallest
+hash stays.  Texts without words have no shingles and stay.
 """
 
 from __future__ import annotations
@@ -251,11 +253,40 @@ def _gone(texts: DataFrame, shingle: int, crowd: int) -> DataFrame:
         packed = keys.select("g", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("na")).join(shared, "g")
         keys = packed.select("g", "id", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("at"), "c")
         keys = common.written(keys, "near-keys", stays=True)
-    least = common.written(keys.where(F.col("c") > crowd).groupBy("g").agg(F.min(F.struct("id", "n", "at")).alias("l")), "near-least")
-    first = keys.join(least, "g").where((F.col("id") != F.col("l.id")) & _may(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
-    roots = components(_near(first.select(F.col("id").alias("a"), F.col("l.id").alias("b")), texts, shingle, whole))
-    gone = common.written(roots.where("node != root").select(F.col("node").alias("id")), "near-first")
-    met = keys.join(gone, "id", "left_anti").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "n", "at"))).alias("m")).where(F.size("m") > 1)
-    pairs = met.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.filter(F.slice("m", F.col("i") + 2, F.size("m")), lambda y: _may(y.n, y.at, F.col("x.n"), F.col("x.at")))).alias("y"))
-    roots = components(_near(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), texts, shingle, whole))
-    return gone.union(roots.where("node != root").select(F.col("node").alias("id")))
+    crowds = common.written(keys.where(F.col("c") > crowd).withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("at", "id"))), "near-crowds")
+    classes, done, more = None, 0, crowd
+    while True:
+        members = _classed(crowds.where(F.col("rank") > done), classes).withColumn("asks", F.col("rank") <= done + more)
+        links = _near(_pairs(members), texts, shingle, whole)
+        if links.isEmpty():
+            break
+        classes = _joined(links, classes)
+        done, more = done + more, 2 * more
+    members = common.written(_classed(keys, classes), "near-classed")
+    most = members.groupBy("g", "class").agg(F.count("*").alias("size")).groupBy("g").agg(F.max(F.struct("size", "class")).alias("most"))
+    members = common.written(members.join(most, "g").withColumn("asks", F.col("class") != F.col("most.class")).drop("most"), "near-members")
+    classes = _joined(_near(_pairs(members), texts, shingle, whole), classes)
+    return classes.where("node != root").select(F.col("node").alias("id"))
+
+
+def _classed(keys: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Keys with the class of their text: the smallest text that it is linked to so far, or itself."""
+    if classes is None:
+        return keys.withColumn("class", F.col("id"))
+    return keys.join(classes, keys["id"] == classes["node"], "left").withColumn("class", F.coalesce("root", "id")).drop("node", "root")
+
+
+def _joined(links: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """(node, root): the classes that further links make, written."""
+    if classes is not None:
+        links = links.union(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return common.written(components(links), "near-classes")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(a, b): of two texts of different classes that meet in a shingle, and of which one asks, those that can be near."""
+    x, y = members.where("asks").alias("x"), members.alias("y")
+    once = ~F.col("y.asks") | (F.col("x.id") < F.col("y.id"))
+    may = _may(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    both = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.class") != F.col("y.class")) & once & may)
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))

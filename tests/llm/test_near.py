@@ -97,3 +97,27 @@ def test_shingles_are_counted_in_all_texts(spark, monkeypatch):
     rows = _watched(monkeypatch)
     assert near.copies(table, crowd=1000).where("id % 2 = 1").count() == 15
     assert sum(rows["near-candidates"]) == 20_000 + 15
+
+
+def test_a_large_group_of_near_copies_is_not_compared_in_pairs(spark, monkeypatch):
+    """400 copies, each with three of 30 places edited, few of them near the smallest: the rest was compared in pairs."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(400):
+        w = list(base)
+        for k in rng.integers(0, 30, 3) * 5:
+            w[k] = f"edit{k}-{rng.integers(0, 2)}"
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    table = common.written(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "t")
+    rows = _watched(monkeypatch)
+    gone = {r["id"] for r in near.copies(table).collect()}
+    s = [shingles(t) for t in texts]
+    least = list(range(len(s)))
+    for i in range(len(s)):
+        for j in range(i):
+            if least[i] != least[j] and similar(s[i], s[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    assert gone == {i for i in range(len(s)) if least[i] != i} and len(gone) > 390
+    assert sum(rows["near-candidates"]) < 40 * len(s)
