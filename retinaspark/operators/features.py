@@ -1,4 +1,4 @@
-"""Corners: eFAST as windows over pixels, Harris over tiles."""
+"""Corners: eFAST and Harris on the latest times around each event."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..stream import EventStream
-from .filters import latest_around
+from .around import Around, around_events
 from .tiles import by_tile
 
 # The circles of radius 3 and 4 around a pixel, clockwise from the top.
@@ -17,31 +17,36 @@ RING_4 = [(0, 4), (1, 4), (2, 3), (3, 2), (4, 1), (4, 0), (4, -1), (3, -2), (2,
 ARC_3, ARC_4, BORDER = (3, 6), (4, 8), 4
 
 
-def _has_arc(times, lo: int, hi: int):
-    """Whether some arc of lo..hi places is strictly newer than all the rest of the ring."""
-    n = F.size(times)
-    twice = F.concat(times, times)
-
-    def at(start, length):
-        arc = F.slice(twice, start + 1, length)
-        rest = F.slice(twice, start + length + 1, n - length)
-        return F.array_min(arc) > F.array_max(rest)
-
-    return F.exists(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.exists(F.sequence(F.lit(0), n - 1), lambda i: at(i, k)))
+def _has_arc(times: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Whether some arc of lo..hi places is strictly newer than all the rest of its ring; a ring is a column."""
+    n = len(times)
+    twice = np.concatenate([times, times])
+    found = np.zeros(times.shape[1], bool)
+    # least and latest of the k + 1 places from each one on
+    least, most = [times], [times]
+    for k in range(1, n - lo):
+        least.append(np.minimum(least[-1], twice[k: k + n]))
+        most.append(np.maximum(most[-1], twice[k: k + n]))
+    for k in range(lo, hi + 1):
+        found |= (least[k - 1] > np.roll(most[n - k - 1], -k, axis=0)).any(axis=0)
+    return found
 
 
 def efast(s: EventStream) -> EventStream:
     """Keep events at corners of the surface of latest times of their polarity."""
-    w, h = s.sensor_size
-    inner = s.with_(s.df.where((F.col("x") >= BORDER) & (F.col("x") < w - BORDER) & (F.col("y") >= BORDER) & (F.col("y") < h - BORDER)))
-    # all events are seen, only inner ones ask
-    ring = RING_3 + RING_4
-    slots = latest_around(s, ring, by_polarity=True).where((F.col("x") >= BORDER) & (F.col("x") < w - BORDER) & (F.col("y") >= BORDER) & (F.col("y") < h - BORDER))
-    never = F.lit(-(2**63))
-    times = slots.groupBy(*s.keys, "seq").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("last_t", never).alias("t")))).alias("a"))
-    rings = times.select(*s.keys, "seq", F.slice("a.t", 1, 16).alias("r3"), F.slice("a.t", 17, 20).alias("r4"))
-    corners = rings.where(_has_arc(F.col("r3"), *ARC_3)).where(_has_arc(F.col("r4"), *ARC_4))
-    return s.with_(inner.df.join(corners.select(*s.keys, "seq"), [*s.keys, "seq"], "left_semi").select(*s.columns))
+    size, columns, never = s.sensor_size, s.columns, -(2**63)
+
+    def work(a: Around) -> pd.DataFrame:
+        keep = np.zeros(a.n, bool)
+        for at in a.pieces(a.inside(BORDER, size)):
+            for ring, arc in ((RING_3, ARC_3), (RING_4, ARC_4)):
+                at = at[_has_arc(np.stack([np.where(*a.latest(at, dx, dy), never) for dx, dy in ring]), *arc)]
+            keep[at] = True
+        return a.rows.loc[keep, columns]
+
+    # events without a polarity have a surface of their own
+    polarity = F.coalesce(F.col("p").cast("int"), F.lit(2))
+    return s.with_(around_events(s, work, s.df.select(*columns).schema, BORDER, polarity))
 
 
 def harris_corners(s: EventStream, threshold: float = 0.0) -> EventStream:

@@ -133,6 +133,34 @@ def test_efast_is_the_fold(spark):
     assert want and rows(features.efast(stream(spark, ev, (40, 40)))) == want
 
 
+def records_written(df):
+    """Rows that the shuffles of a frame wrote, after it was run."""
+    def walk(plan):
+        m = plan.metrics().get("shuffleRecordsWritten")
+        down = [plan.executedPlan()] if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [plan.plan()] if "QueryStage" in plan.getClass().getSimpleName() else [plan.children().apply(i) for i in range(plan.children().size())]
+        return (m.get().value() if m.isDefined() and "ShuffleExchange" in plan.getClass().getSimpleName() else 0) + sum(map(walk, down))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def leaping(s):
+    """The stream with ``seq`` far apart, so that it falls into many blocks."""
+    return s.with_(s.df.withColumn("seq", F.col("seq") * 5000))
+
+
+def test_efast_sends_no_copies_for_neighbours(spark):
+    ev = [(x, y, t * 10, 1) for t, (x, y) in enumerate((x, y) for _ in range(20) for x in range(12) for y in range(12))]
+    s = stream(spark, ev, (12, 12))
+    assert records_written(features.efast(s).df) < 3 * len(ev)
+    ev = shape()
+    many = leaping(stream(spark, ev, (40, 40)))
+    assert rows(features.efast(many)) == efast_fold(ev, 40, 40)
+    wide = [(x * 4 + 20, y * 4 + 20, t, p) for x, y, t, p in ev] + [(x + 50, y + 50, t + 5000, p) for x, y, t, p in ev] + [(150, 3, 9000, 1)]
+    want = efast_fold(wide[:-1], 150, 150)
+    assert want and rows(features.efast(leaping(stream(spark, wide, (150, 150))))) == want
+
+
 def test_harris_does_not_depend_on_tiles(spark):
     s = stream(spark, shape(), (40, 40))
     assert features.harris_corners(s).df.count() > 0
