@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..stream import EventStream
 from .around import Around, around_events
-from .tiles import by_tile
 
 # The circles of radius 3 and 4 around a pixel, clockwise from the top.
 RING_3 = [(0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1), (-3, 0), (-3, 1), (-2, 2), (-1, 3)]
@@ -55,28 +54,26 @@ def harris_corners(s: EventStream, threshold: float = 0.0) -> EventStream:
     Over a 9 x 9 window, central differences count where a pixel and its four
     neighbours have fired; det / trace**2 - 0.04 must be above the threshold.
     """
-    w, h = s.sensor_size
-    scale, margin, columns = s.meta.scale_ms, 5, s.columns
+    size, scale, margin, columns = s.sensor_size, s.meta.scale_ms, 5, s.columns
+    around = range(-margin, margin + 1)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
-        sae = np.full((int(pdf["y"].max()) - y0 + 1 + 2 * margin, int(pdf["x"].max()) - x0 + 1 + 2 * margin), np.nan)
-        keep = np.zeros(len(pdf), bool)
-        own = pdf["own"].to_numpy()
-        for i, (x, y, t) in enumerate(zip(pdf["x"], pdf["y"], pdf["t"])):
-            u, v = x - x0 + margin, y - y0 + margin
-            sae[v, u] = t * scale
-            if not own[i] or not (margin <= x < w - margin and margin <= y < h - margin):
-                continue
-            p = sae[v - 5: v + 6, u - 5: u + 6]
+    def work(a: Around) -> pd.DataFrame:
+        keep = np.zeros(a.n, bool)
+        for at in a.pieces(a.inside(margin, size)):
+            # times of each event's window by row and column; its corners aren't needed
+            p = np.full((len(around), len(around), len(at)), np.nan)
+            for dy in around:
+                for dx in around:
+                    if abs(dx) + abs(dy) < 2 * margin:
+                        there, t = a.latest(at, dx, dy)
+                        p[dy + margin, dx + margin, there] = t[there] * scale
             gx, gy = (p[1:-1, 2:] - p[1:-1, :-2]) / 2, (p[2:, 1:-1] - p[:-2, 1:-1]) / 2
             ok = ~(np.isnan(gx) | np.isnan(gy) | np.isnan(p[1:-1, 1:-1]))
-            if ok.sum() < 3:
-                continue
-            gx, gy = gx[ok], gy[ok]
-            a, b, c = (gx * gx).sum(), (gx * gy).sum(), (gy * gy).sum()
-            tr = a + c
-            keep[i] = tr > 0 and (a * c - b * b) / (tr * tr) - 0.04 > threshold
-        return pdf.loc[keep, columns]
+            gx, gy = np.where(ok, gx, 0.0), np.where(ok, gy, 0.0)
+            xx, xy, yy = (gx * gx).sum((0, 1)), (gx * gy).sum((0, 1)), (gy * gy).sum((0, 1))
+            tr = xx + yy
+            with np.errstate(invalid="ignore", divide="ignore"):
+                keep[at] = (ok.sum((0, 1)) >= 3) & (tr > 0) & ((xx * yy - xy * xy) / (tr * tr) - 0.04 > threshold)
+        return a.rows.loc[keep, columns]
 
-    return s.with_(by_tile(s, work, s.df.select(*s.columns).schema, margin))
+    return s.with_(around_events(s, work, s.df.select(*columns).schema, margin))

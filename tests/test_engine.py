@@ -166,6 +166,36 @@ def test_harris_does_not_depend_on_tiles(spark):
     assert features.harris_corners(s).df.count() > 0
 
 
+def tasks_with_rows(spark, df):
+    """How many tasks a frame's rows come from, if small ones aren't merged."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return df.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def harris_fold(ev, w, h, scale=0.001):
+    sae, out = np.full((h, w), np.nan), []
+    for x, y, t, p in ev:
+        sae[y, x] = t * scale
+        if 5 <= x < w - 5 and 5 <= y < h - 5:
+            q = sae[y - 5: y + 6, x - 5: x + 6]
+            gx, gy = (q[1:-1, 2:] - q[1:-1, :-2]) / 2, (q[2:, 1:-1] - q[:-2, 1:-1]) / 2
+            ok = ~(np.isnan(gx) | np.isnan(gy) | np.isnan(q[1:-1, 1:-1]))
+            a, b, c = (gx * gx)[ok].sum(), (gx * gy)[ok].sum(), (gy * gy)[ok].sum()
+            if ok.sum() >= 3 and a + c > 0 and (a * c - b * b) / (a + c) ** 2 - 0.04 > 0:
+                out.append((x, y, t, p))
+    return out
+
+
+def test_harris_parts_a_tile_by_blocks(spark):
+    ev = shape()
+    want, many = harris_fold(ev, 40, 40), leaping(stream(spark, ev, (40, 40)))
+    assert want and rows(features.harris_corners(many)) == want == rows(features.harris_corners(stream(spark, ev, (40, 40))))
+    assert tasks_with_rows(spark, features.harris_corners(many).df) > 1
+
+
 def test_components_and_blobs(spark):
     ev = [(x, y, 0, 1) for x in range(6) for y in range(6)] + [(x, y, 0, 1) for x in range(10, 16) for y in range(10, 16)]
     f = represent.count(stream(spark, ev, (20, 20)))
