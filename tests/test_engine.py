@@ -274,6 +274,48 @@ def test_feast_learns(spark):
     assert m.histogram(s).agg(F.sum("count")).first()[0] == m.transform(s).where("feature >= 0").count()
 
 
+def feast_fold(m, ev, w, h, scale=0.001):
+    """Units, thresholds and share of misses by the rule, an event at a time."""
+    r, rng = m.patch // 2, np.random.default_rng(m.seed)
+    u = rng.random((2, m.n_features, m.patch**2))
+    u /= np.linalg.norm(u, axis=2, keepdims=True)
+    th, sae, missed, seen = np.full((2, m.n_features), 0.5), np.full((2, h, w), -np.inf), 0, 0
+    for x, y, t, p in ev:
+        b = 0 if p else 1
+        sae[b, y, x] = t * scale
+        if r <= x < w - r and r <= y < h - r:
+            v = np.exp((sae[b, y - r: y + r + 1, x - r: x + r + 1] - t * scale) / m.tau_ms).ravel()
+            v /= np.linalg.norm(v)
+            d, seen = 1 - u[b] @ v, seen + 1
+            if (d > th[b]).all():
+                missed, th[b] = missed + 1, th[b] + m.delta_e
+                continue
+            k = int(np.where(d > th[b], np.inf, d).argmin())
+            u[b, k] = (1 - m.eta) * u[b, k] + m.eta * v
+            u[b, k] /= np.linalg.norm(u[b, k])
+            th[b, k] = max(th[b, k] - m.delta_i, 0)
+    return u, th, missed / seen
+
+
+def test_feast_is_the_fold_in_pieces(spark):
+    import pandas as pd
+
+    ev = shape()
+    new = lambda: feast.FEAST(n_features=6, patch=5, seed=1)
+    u, th, missed = feast_fold(new(), ev, 40, 40)
+    many = leaping(stream(spark, ev, (40, 40)))
+    m = new().fit(many)
+    assert np.allclose(m.weights, u, atol=1e-12) and np.allclose(m.thresholds, th, atol=1e-12) and m.missed_rate == missed
+    assert tasks_with_rows(spark, m.transform(many)) > 1
+    key = ["seq", "feature"]
+    assert sorted(map(tuple, m.transform(many).select(F.col("seq") / 5000, "feature").collect())) == sorted(map(tuple, m.transform(stream(spark, ev, (40, 40))).select(*key).collect()))
+    # batches as they come give what the whole gives
+    on = pd.DataFrame([e[:3] for e in ev * 6 if e[3]], columns=["x", "y", "t"])
+    start = np.random.default_rng(0).random((6, 25)), np.full(6, 0.5)
+    whole, parts = (new()._learn(iter(x), *start, (40, 40), 0.001) for x in ([on], [on[i: i + 700] for i in range(0, len(on), 700)]))
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1]) and whole[2:] == parts[2:]
+
+
 def test_reader(spark):
     s = stream(spark, [(0, 0, 0, 1), (1, 0, 10_000, 1), (2, 0, 49_000, 0)], (4, 2))
     r = open_stream(s, dt_ms=10)
