@@ -6,51 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stream import EventStream
 from . import masks
+from .around import Around, around_events
 
 BLOCK = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
 CROSS = [(0, -1), (-1, 0), (1, 0), (0, 1)]
 
 
-def latest_around(s: EventStream, offsets, by_polarity: bool = False) -> DataFrame:
-    """Each event once for each offset: the latest time at the pixel there before the event, in ``last_t``.
-
-    Events are looked up and looked at in one window per cell, so pixels, not
-    the sensor, part the work.  Times before a cell's first event are null.
-    """
-    cell = ["cx", "cy"] + ["p"] * by_polarity
-    seen = s.df.select(*s.columns, F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(None).cast("int").alias("slot"), F.col("t").alias("tu"))
-    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(offsets)]))
-    asked = s.df.select(*s.columns, slots.alias("o")).select(*s.columns, (F.col("x") + F.col("o.dx")).alias("cx"), (F.col("y") + F.col("o.dy")).alias("cy"), F.col("o.slot").alias("slot"), F.lit(None).cast("long").alias("tu"))
-    w, h = s.sensor_size
-    asked = asked.where((F.col("cx") >= 0) & (F.col("cx") < w) & (F.col("cy") >= 0) & (F.col("cy") < h))
-    before = Window.partitionBy(*s.keys, *cell).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return seen.unionByName(asked).withColumn("last_t", F.last("tu", ignorenulls=True).over(before)).where(F.col("slot").isNotNull()).drop("tu")
-
-
 def background_activity_filter(s: EventStream, dt: int, neighbourhood: str = "block") -> EventStream:
-    """Keep an event if a neighbouring pixel, not its own, had one at most ``dt`` before.
-
-    Questions go to their neighbours with ``seq`` and ``t`` alone; those with a
-    good answer meet the events again in one aggregation.
-    """
-    offsets = {"block": BLOCK, "cross": CROSS}[neighbourhood]
-    w, h = s.sensor_size
-    rest = [c for c in s.columns if c not in ("t", "seq", *s.keys)]
-    seen = s.df.select(*s.keys, "seq", "t", F.col("x").alias("cx"), F.col("y").alias("cy"), F.struct(*rest).alias("own"))
-    around = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in offsets]))
-    asked = s.df.select(*s.keys, "seq", "t", around.alias("o")).where((F.col("o.x") >= 0) & (F.col("o.x") < w) & (F.col("o.y") >= 0) & (F.col("o.y") < h))
-    asked = asked.select(*s.keys, "seq", "t", F.col("o.x").alias("cx"), F.col("o.y").alias("cy"), F.lit(None).cast(seen.schema["own"].dataType).alias("own"))
-    before = Window.partitionBy(*s.keys, "cx", "cy").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    told = seen.unionByName(asked).withColumn("last_t", F.last(F.when(F.col("own").isNotNull(), F.col("t")), ignorenulls=True).over(before))
-    near = F.col("own").isNull() & (F.col("t") - F.col("last_t") <= F.lit(int(dt)))
-    told = told.select(*s.keys, "seq", "t", "own", near.alias("near")).where(F.col("near") | F.col("own").isNotNull())
-    kept = told.groupBy(*s.keys, "seq", "t").agg(F.max("own").alias("own"), F.max("near").alias("near")).where("near")
-    return s.with_(kept.select(*[F.col(f"own.{c}").alias(c) if c in rest else F.col(c) for c in s.columns]))
+    """Keep an event if a neighbouring pixel, not its own, had one at most ``dt`` before."""
+    offsets, dt, size, columns = {"block": BLOCK, "cross": CROSS}[neighbourhood], int(dt), s.sensor_size, s.columns
+
+    def work(a: Around) -> pd.DataFrame:
+        keep = np.zeros(a.n, bool)
+        for at in a.pieces(a.timed):
+            for dx, dy in offsets:
+                there, t = a.latest(at, dx, dy)
+                keep[at] |= there & (a.t[at] - t <= dt)
+        return a.rows.loc[keep, columns]
+
+    return s.with_(around_events(s, work, s.df.select(*columns).schema, 1))
 
 
 def kept_apart(ts: np.ndarray, new: np.ndarray, dt: int, last: int | None = None) -> np.ndarray:

@@ -104,6 +104,22 @@ def test_background_activity_is_the_fold(spark):
         assert rows(filters.background_activity_filter(stream(spark, ev, (40, 40)), dt, name)) == want
 
 
+def test_background_activity_sends_no_copies_for_neighbours(spark):
+    ev = [(2 + k % 2, 0, k * 10 + 50_000 * (k // 500), 1) for k in range(4000)] + [(3, 1, 400_001, 0), (0, 2, 400_002, 0)]
+    last, want = {}, []
+    for e in ev:
+        if any(e[2] - last.get((e[0] + dx, e[1] + dy), -1e18) <= 30_000 for dx, dy in filters.BLOCK):
+            want.append(e)
+        last[e[0], e[1]] = e[2]
+    s = leaping(stream(spark, ev, (4, 3)))
+    assert len(want) > 3000 and rows(filters.background_activity_filter(s, 30_000)) == want
+    assert records_written(filters.background_activity_filter(stream(spark, ev, (4, 3)), 30_000).df) < 3 * len(ev)
+    # slices don't see each other, and an event without a time neither asks nor answers
+    keyed = spark.createDataFrame([(0, 0, 10, True, 0, 1), (1, 0, 20, True, 1, 2), (1, 1, 30, True, 2, 1), (0, 0, None, True, 3, 1), (1, 0, 45, False, 4, 1)], "x int, y int, t long, p boolean, seq long, slice int")
+    kept = filters.background_activity_filter(s.with_(keyed).__class__(keyed, s.meta, ("slice",)), 20).df
+    assert sorted(r["seq"] for r in kept.collect()) == [2, 4]
+
+
 def test_refractory_is_the_fold(spark):
     ev = [(0, 0, t, 1) for t in (0, 4, 8, 12, 16, 30)] + [(1, 0, 5, 0)]
     kept = rows(filters.refractory_filter(stream(spark, ev), 10))
